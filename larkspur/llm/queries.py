@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import chat, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
 
 #: Production parameters: the shards that documents are dealt to.
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.summary(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ FROM escaped GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
     "op7_minhash_dedup": op7_minhash_dedup,
