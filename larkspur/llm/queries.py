@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
+from . import binary_search, chat, embedding_dedup, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
 
 #: Production parameters: the shards that documents are dealt to.
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.summary(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS)
 
 
+def op6_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), binary_search.sign_code(F.col("embedding")).alias("code"))
+    found = binary_search.top_k(codes, codes.where("id % 50 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -70,15 +80,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP2_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN roots r ON r.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
+OP6_SQL = """
+WITH codes AS (SELECT vec_id, [(x > 0)::INT FOR x IN embedding[1:64]] AS bits FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([abs(x[1] - x[2]) FOR x IN list_zip(q.bits, c.bits)])::INT AS distance
+  FROM codes q, codes c WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
+    "op6_binary_search": op6_binary_search,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_chat_formatting": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op6_binary_search": OP6_SQL, "op10_chat_formatting": OP10_SQL}
