@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import analytics, retrieval, routing
+
+_ALL = {k: q for part in (routing, retrieval, analytics) for k, q in part.QUERIES.items()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query for k, (query, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {k: sql for k, (_, sql) in _ALL.items() if sql is not None}
