@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +81,6 @@ def simhash(v: Column, planes: list[list[float]]) -> Column:
 
 def embed_with(docs: DataFrame, embedder, id_col: str, text_col: str) -> DataFrame:
     """Vectors of a pluggable model: embedder maps a list of texts to a list of vectors, by Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(embedder(texts.fillna("").tolist())))
@@ -90,9 +90,6 @@ def embed_with(docs: DataFrame, embedder, id_col: str, text_col: str) -> DataFra
 
 def perturb(df: DataFrame, vec: str, sigma: float, seed: int, *keys: str) -> DataFrame:
     """Gaussian noise on every component, drawn from a generator of the row's keys; sigma 0 copies, below 0 is an error."""
-    import numpy as np
-    import pandas as pd
-
     if sigma < 0:
         raise ValueError("sigma must not be negative")
     if sigma == 0:
