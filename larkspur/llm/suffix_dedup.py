@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ LEAD = 20
 STRETCH = 1 << 20
 #: Documents whose suffixes are sampled for splitters, and suffixes that one bucket should hold.
 SAMPLE_DOCS, BUCKET_SUFFIXES = 2_000, 200_000
+#: Suffixes that a task gathers before it sends them off: neighbours' contexts are alike and compress well together.
+GATHERED = 100_000
 #: Suffixes of one row that carries part of a lead that fills whole buckets.
 CHUNK = 2_048
 
@@ -286,9 +289,10 @@ _SUFFIX = ("contexts", "docs", "rows", "places", "lows", "highs")
 
 
 def _unpack(frame: pd.DataFrame, size: int) -> list[np.ndarray]:
-    kinds = ("u1", "<i8", "<i8", "<i4", "u1", "u1")
-    out = [_joined(frame[c], k) for c, k in zip(_SUFFIX, kinds, strict=True)]
-    return [out[0].reshape(-1, 2 * size - LEAD), *out[1:]]
+    kinds = ("<i8", "<i8", "<i4", "u1", "u1")
+    wide = 2 * size - LEAD
+    raw = b"".join(pa.decompress(c, len(low) * wide, codec="zstd", asbytes=True) for c, low in zip(frame["contexts"], frame["lows"], strict=True))
+    return [np.frombuffer(raw, "u1").reshape(-1, wide), *(_joined(frame[c], k) for c, k in zip(_SUFFIX[1:], kinds, strict=True))]
 
 
 def _compare(frames: DataFrame, splitters: np.ndarray, min_bytes: int, parts: int) -> DataFrame:
@@ -379,9 +383,14 @@ def _across_buckets(compared: DataFrame, min_bytes: int, parts: int) -> DataFram
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of stages whose results are already staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of stages whose results are already staged.
+
+    The second turn collects what the first, by freeing Python's references, made garbage.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
@@ -413,11 +422,25 @@ def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
     splitters = np.unique(np.stack([k[order[picks]] for k in keys], 1), axis=0).reshape(-1, wide + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> pa.RecordBatch:
+            context, docs, rows, places, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            words = _words(context, min_bytes - LEAD)
+            order = np.argsort(words[0], kind="stable")
+            context, docs, rows, places, low, high = (x[order] for x in (context, docs, rows, places, low, high))
+            bucket = _bucket_of([*(w[order] for w in words), docs.view(np.uint64) ^ np.uint64(1 << 63)], splitters)
+            packed = [(p, pa.compress(c, codec="zstd", asbytes=True), *more) for p, c, *more in _pack([context, docs, rows, places.astype("<i4"), low, high], bucket, len(splitters) + 1)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in packed], pa.int32() if not k else pa.binary()) for k in range(7)], names=["bucket", *_SUFFIX])
+
         for batch in batches:
-            for context, docs, rows, places, low, high in _suffixes(batch, anchors):
-                bucket = _bucket_of([*_words(context, min_bytes - LEAD), docs.view(np.uint64) ^ np.uint64(1 << 63)], splitters)
-                packed = list(_pack([context, docs, rows, places.astype("<i4"), low, high], bucket, len(splitters) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in packed], pa.int32() if not k else pa.binary()) for k in range(7)], names=["bucket", *_SUFFIX])
+            for found in _suffixes(batch, anchors):
+                held.append(found)
+                if sum(len(x[0]) for x in held) >= GATHERED:
+                    yield send()
+        if held:
+            yield send()
 
     dealt = with_text.mapInArrow(deal, "bucket int, " + ", ".join(f"{c} binary" for c in _SUFFIX))
     compared = staged(_compare(dealt, splitters, min_bytes, parts), "compared")
