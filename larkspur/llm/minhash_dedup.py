@@ -20,6 +20,8 @@ BANDS, ROWS = 10, 2
 HASHES = 2 * BANDS * ROWS
 #: Bounds for broadcasting the candidates' ids to the texts; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Entries of one table key that a batch sends on; of a key that more of its rows have, only the smallest id goes.
+SENT = 64
 #: Counters that order shingles from rare to frequent: a fixed size whatever the input.
 COUNTER_BITS = 18
 #: Signature agreement from which a table's pair is verified at once. What falls short is left to the exact search.
@@ -99,8 +101,8 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _table_pairs(classes: DataFrame, parts: int) -> DataFrame:
     """Pairs (member, smallest member) of every table key that several classes have.
 
-    Entries travel as packed arrays, a row for each range of keys. Each batch first combines its own entries, so a key
-    that a third of all documents have sends one entry from each batch.
+    Entries travel as packed arrays, a row for each range of keys. A batch combines its own entries of a key that more
+    than SENT of its rows have, so a key that a third of all documents have sends one entry from each batch.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,11 @@ def _table_pairs(classes: DataFrame, parts: int) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, HASHES)
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             keys = table_keys(sig)
-            keys, least, member, pivot = _stars(keys.ravel(), np.repeat(ids, keys.shape[1]))
+            keys, ids = keys.ravel(), np.repeat(ids, keys.shape[1])
+            _, slot, count = np.unique(keys, return_inverse=True, return_counts=True)
+            many = (count > SENT)[slot]
+            hot, least, member, pivot = _stars(keys[many], ids[many])
+            keys, least = np.r_[keys[~many], hot], np.r_[ids[~many], least]
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
