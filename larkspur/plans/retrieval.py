@@ -110,7 +110,7 @@ def k6_hybrid(spark, sf):
 K6 = f"""WITH {BM25}, p AS (SELECT b.*, round(1 / (1 + n_chars / 1000.0::DOUBLE), 6) AS cosine FROM bm25 b JOIN documents USING (doc_id)),
 z AS (SELECT query_id, doc_id, CASE WHEN count(*) OVER w < 2 THEN cosine ELSE
   CASE WHEN stddev_pop(cosine) OVER w <= 1e-12 THEN 0 ELSE (cosine - avg(cosine) OVER w) / stddev_pop(cosine) OVER w END + 0.5 * CASE WHEN stddev_pop(bm25) OVER w <= 1e-12 THEN 0 ELSE (bm25 - avg(bm25) OVER w) / stddev_pop(bm25) OVER w END END AS score FROM p WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, doc_id, round(score, 4) AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 5"""
+SELECT query_id, doc_id, round(round(score, 6), 4) AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 5"""
 
 
 def v6_feature_hashing(spark, sf):
