@@ -25,8 +25,12 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def _segments(n_codes: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments: about as many bits each as the number of codes has."""
-    width = max(8, min(24, round(math.log2(max(n_codes, 2)))))
+    """(shift, width) of the segments: a little fewer bits each than the number of codes has.
+
+    A probe is a row of its own, a candidate only a comparison in the join; so a few candidates for each probe cost less
+    than the many more probes that wider segments need.
+    """
+    width = max(8, min(24, round(math.log2(max(n_codes, 2)) - 1.5)))
     count = max(1, round(BITS / width))
     cuts = [BITS * k // count for k in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
