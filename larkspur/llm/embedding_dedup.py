@@ -23,6 +23,8 @@ NEIGHBOURS, MOST_NEIGHBOURS, ROUNDS = 8, 64, 6
 AUDIT, RECALL = 256, 0.995
 #: Vectors of one block of the exact counts.
 BLOCK = 1024
+#: Vectors of one block when gaps are closed, and the fewest blocks that share the work.
+GAP_BLOCK, GAP_BLOCKS = 16384, 8
 
 
 def _unit(packed: pd.Series) -> np.ndarray:
@@ -47,11 +49,11 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInPandas(pack, "id long, x binary").groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
 
 
-def first_graph(vectors: DataFrame, n: int, width: int, threshold: float, floor: float, seed: int) -> DataFrame:
-    """Neighbours (a, b, cosine >= floor) that meet in buckets of random hyperplanes.
+def first_graph(vectors: DataFrame, n: int, width: int, threshold: float, floor: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Neighbours (a, b, cosine >= floor) that meet in buckets of random hyperplanes, and the vectors (rep) of split buckets.
 
     Hyperplanes per table and tables grow with the number of vectors, so that buckets stay small and a pair at the
-    threshold misses all tables with chance MISS. A crowded bucket is split by hash; the descent closes such gaps.
+    threshold misses all tables with chance MISS. A crowded bucket is split by hash; close_gaps compares the vectors of such.
     """
     bits = max(1, min(24, round(math.log2(max(n, 2) / BUCKET))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
@@ -95,7 +97,8 @@ def first_graph(vectors: DataFrame, n: int, width: int, threshold: float, floor:
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     found = split.withColumn("g", group).groupBy("t", "g").applyInPandas(near, "a long, b long")
-    return with_cosine(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vectors, floor)
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return with_cosine(pairs, vectors, floor), split.where(F.col("size").isNotNull()).select("rep").distinct()
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -115,7 +118,8 @@ def descend(graph: DataFrame, vectors: DataFrame, threshold: float, floor: float
     """Refines a neighbour graph (a < b, cosine): neighbours of neighbours are compared until few new links turn up.
 
     Every vector keeps its best neighbours. A list full of links is saturated, and may hide more: it is made twice as
-    long. Only pairs that are not in the graph yet are compared.
+    long. Only pairs that are not in the graph yet are compared. Lists may stay too short where many links are, so
+    close_gaps compares all saturated vectors afterwards: where the descent stops is a matter of time, not of results.
     """
     sizes = None
     for _ in range(ROUNDS):
@@ -137,6 +141,89 @@ def descend(graph: DataFrame, vectors: DataFrame, threshold: float, floor: float
     return graph
 
 
+def saturated(graph: DataFrame, threshold: float) -> DataFrame:
+    """Vectors (rep) with NEIGHBOURS links or more. A full list drops a link only if both ends are such vectors."""
+    close = graph.where(F.col("cosine") >= threshold - 1e-5)  # lists are ranked in single precision
+    ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep")))
+    return ends.groupBy("rep").agg(F.count("*").alias("links")).where(F.col("links") >= NEIGHBOURS).select("rep")
+
+
+def close_gaps(asked: DataFrame, graph: DataFrame, vectors: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between asked vectors (rep) of different components: one or more for every two components that have any.
+
+    Each asked vector joins the ball of one vector that it links with, or is a ball of its own. Every vector is
+    compared with the centres of other components, in blocks, and with a ball's members only if the ball's angular
+    radius allows a link. One link joins two components, so no more are looked for in a block; nothing else is skipped.
+    """
+    span = math.acos(threshold)
+    close = graph.where(F.col("cosine") >= threshold)
+    both = close.select(F.col("a").alias("rep"), F.col("b").alias("ball"), "cosine").unionByName(close.select(F.col("b").alias("rep"), F.col("a").alias("ball"), "cosine"))
+    own = asked.select("rep", F.col("rep").alias("ball"), F.lit(1.0).alias("cosine"))
+    joins = both.join(asked, "rep", "left_semi").unionByName(own).groupBy("rep").agg(F.min(F.struct(F.xxhash64("ball").alias("h"), "ball", "cosine")).alias("m"))
+    named = vectors.join(components.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("rep", F.coalesce("component_id", "rep").alias("component"), "x")
+    members = staged(joins.select("rep", "m.ball", "m.cosine").join(named, "rep"), "members")
+    sizes = members.groupBy("ball").agg(F.count("*").alias("size"))
+    members = members.join(sizes, "ball").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    balls = members.groupBy("ball", "chunk").agg(F.min("cosine").alias("least")).join(named.withColumnRenamed("rep", "ball"), "ball")
+    balls = staged(balls, "balls")
+    n_asked, n_balls = members.count(), balls.count()
+    across, down = (max(1, min(GAP_BLOCKS, math.ceil(n / 256)), math.ceil(n / GAP_BLOCK)) for n in (n_asked, n_balls))
+    left = members.select(F.lit(0).alias("side"), "rep", F.lit(0).alias("chunk"), "component", "x", F.lit(1.0).alias("least"), F.pmod(F.xxhash64("rep"), F.lit(across)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("j"))
+    right = balls.select(F.lit(1).alias("side"), F.col("ball").alias("rep"), "chunk", "component", "x", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("ball", "chunk"), F.lit(down)).alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q, out = frame[frame["side"] == 0], frame[frame["side"] == 1], []
+        if len(p) and len(q):
+            x, y, cp, cq = _unit(p["x"]), _unit(q["x"]), p["component"].to_numpy(), q["component"].to_numpy()
+            reach = np.cos(np.minimum(np.pi, np.arccos(np.clip(q["least"].to_numpy(), -1, 1)) + span + 1e-6))
+            pairs, linked = [], []
+            for a in range(0, len(x), BLOCK):
+                c = x[a : a + BLOCK] @ y.T
+                r, s = np.nonzero((c >= reach) & (cp[a : a + BLOCK, None] < cq))
+                pairs.append(np.stack([r + a, s], 1))
+                linked.append(c[r, s] >= threshold)
+            pairs, linked = np.concatenate(pairs), np.concatenate(linked)
+            ends = pd.MultiIndex.from_arrays([cp[pairs[:, 0]], cq[pairs[:, 1]]])
+            joined = np.zeros(len(pairs), bool)
+            joined[np.flatnonzero(linked)[~ends[linked].duplicated()]] = True
+            use = joined | ~ends.isin(ends[linked])
+            r, s = pairs[use].T
+            out = [p["rep"].to_numpy()[r], q["rep"].to_numpy()[s], q["chunk"].to_numpy()[s], joined[use]]
+        return pd.DataFrame(dict(zip(["a", "ball", "chunk", "linked"], out or [[], [], [], []], strict=True))).assign(i=frame["i"].iloc[0])
+
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(compare, "a long, ball long, chunk int, linked boolean, i long")
+    found = staged(found, "gaps")
+    open_ = found.where("not linked")
+    here = members.select("ball", "chunk", F.lit(1).alias("side"), "rep", "component", "x").join(open_.select("ball", "chunk", "i").distinct(), ["ball", "chunk"])
+    there = open_.select(F.col("a").alias("rep"), "ball", "chunk", "i", F.lit(0).alias("side")).join(members.select("rep", "component", "x"), "rep")
+    group = F.pmod(F.xxhash64("ball", "chunk", "i"), F.lit(4096))
+
+    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        for _, part in frame.groupby(["ball", "chunk", "i"], sort=False):
+            p, q = part[part["side"] == 0], part[part["side"] == 1]
+            y, cp, b = _unit(q["x"]), p["component"].to_numpy(), q["rep"].to_numpy()
+            for a in range(0, len(p), BLOCK):
+                hit = (_unit(p["x"].iloc[a : a + BLOCK]) @ y.T) >= threshold
+                rows = np.flatnonzero(hit.any(axis=1))
+                rows = rows[np.unique(cp[a + rows], return_index=True)[1]]
+                out.append(np.stack([p["rep"].to_numpy()[a + rows], b[hit[rows].argmax(axis=1)]], 1))
+        pairs = np.concatenate(out)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    checked = here.unionByName(there, allowMissingColumns=True).withColumn("g", group).groupBy("g").applyInPandas(verify, "a long, b long")
+    return staged(found.where("linked").select("a", F.col("ball").alias("b")).unionByName(checked), "closed")
+
+
+def with_gaps_closed(asked: DataFrame, graph: DataFrame, vectors: DataFrame, links: DataFrame, components: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those that close_gaps adds."""
+    more = close_gaps(asked, graph, vectors, components, threshold)
+    if more.isEmpty():
+        return links, components
+    links = links.unionByName(more)
+    return links, staged(connected_components(links), "components")
+
+
 def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     """Links of each vector within its component (rep, component, n, x): rep, linked (rows that have a linked vector).
 
@@ -196,9 +283,11 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
 
     Vectors of cosine threshold or more link, in double precision. Equal vectors go on as one. NN-descent starts from
     buckets of random hyperplanes, keeps edges from which a link of a link can lead on (the floor is the cosine of
-    twice the threshold's angle), and compares neighbours of neighbours; links form components. A bounded sample is
-    audited against all vectors, and more buckets are added while its recall falls short. Links are then counted
-    exactly within components, so long neighbour lists are not needed for the counts and nothing is capped.
+    twice the threshold's angle), and compares neighbours of neighbours; links form components. Vectors whose lists may
+    have dropped links are then compared exactly across components (close_gaps). A bounded sample is audited against
+    all vectors, and more buckets are added while its recall falls short; if it does after the last ones too, all
+    vectors are compared so. Links are then counted exactly within components, so long neighbour lists are not needed
+    for the counts and nothing is capped.
 
     Unusable vectors (null, empty, zero, with a null or non-finite component) and null ids link with nothing and are
     kept, the latter with a null component. Rows of a repeated id are nodes of one name. An empty table gives an empty
@@ -215,14 +304,18 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
         raise ValueError("vectors must have one length")
     graph = None
     for seed in range(3 if n else 0):
-        seeded = first_graph(vectors, n, int(width), threshold, floor, seed)
+        seeded, split = first_graph(vectors, n, int(width), threshold, floor, seed)
         graph = staged(seeded if graph is None else graph.unionByName(seeded).dropDuplicates(["a", "b"]), "first-graph")
         graph = descend(graph, vectors, threshold, floor)
         links = graph.where(F.col("cosine") >= threshold).select("a", "b")
         components = staged(connected_components(links), "components")
+        asked = staged(saturated(graph, threshold).unionByName(split).distinct(), "asked")
+        links, components = with_gaps_closed(asked, graph, vectors, links, components, threshold)
         total, found = audit(vectors, components, threshold)
         if found >= RECALL * total:
             break
+    else:
+        links, components = with_gaps_closed(vectors.select("rep"), graph, vectors, links, components, threshold) if n else (links, components)
     members = vectors.join(components, vectors["rep"] == components["id"]).select("rep", F.col("component_id").alias("component"), "n", "x")
     counted = exact_counts(members, threshold)
     named = vectors.join(counted, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")

@@ -63,3 +63,36 @@ def test_unusable_vectors_repeats_and_clashing_names(spark):
     assert e.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         e.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], SCHEMA))
+
+
+def linked_groups(rng, size, width=64, spread=0.01):
+    """Two tight groups whose members link with all of their own group, and with some of the other."""
+    a = rng.standard_normal(width)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(width)
+    b -= (b @ a) * a
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * b / np.linalg.norm(b)
+    noise = rng.standard_normal((2, size, width)) * spread / np.sqrt(width)
+    return np.concatenate([a + noise[0], b + noise[1]])
+
+
+def test_two_linked_groups_beyond_the_lists_are_one_component(spark):
+    size, rng = 400, np.random.default_rng(8)
+    x = np.concatenate([linked_groups(rng, size), rng.standard_normal((400, 64))])
+    ids = [int(i) for i in rng.permutation(5000)[: len(x)]]
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in zip(ids, x, strict=True)], SCHEMA).repartition(5)
+    want, got = brute(ids, x), result(df)
+    assert len({want[i][1] for i in ids[: 2 * size]}) == 1
+    assert got == want
+
+
+def test_gaps_are_closed_through_members_only(spark):
+    """No member links with the other group's centre; a single pair of members links the groups."""
+    turn = lambda d: [np.cos(np.radians(d)), np.sin(np.radians(d)), 0.0]
+    degrees = {1: 0, 2: 20, 3: 44, 4: 64, 5: 150, 6: 170}
+    vectors = spark.createDataFrame([(i, 1, np.asarray(turn(d), "<f8").tobytes()) for i, d in degrees.items()], "rep long, n long, x binary")
+    near = lambda a, b: (a, b, float(np.cos(np.radians(degrees[a] - degrees[b]))))
+    graph = spark.createDataFrame([near(1, 2), near(3, 4), near(5, 6)], "a long, b long, cosine double")
+    components = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "id long, component_id long")
+    got = e.close_gaps(vectors.select("rep"), graph, vectors, components, 0.9).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(2, 3)}
