@@ -89,8 +89,10 @@ class OpenBins:
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing for all pieces at once: (length, first rank, pieces, first bin, offset).
 
-    Pieces of one length are interchangeable, so a run of them goes to a run of equally full bins in one step. The
-    result is what one piece at a time gives; the number of steps depends on the capacity, not on the documents.
+    Pieces of one length are interchangeable, so a run of them goes to a run of equally full bins in one step. A bin
+    that just took a piece is the tightest while another fits, so each bin of a run is filled to the end before the
+    next. The result is what one piece at a time gives; the number of steps depends on the capacity, not on the
+    documents.
     """
     bins, plan, opened = OpenBins(capacity), [], 0
     for size in sorted(counts, reverse=True):
@@ -113,12 +115,16 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
                     bins.put(room, opened, made)
                 opened += made
                 continue
-            first, n = bins.take(left, todo)
-            plan.append((size, rank, n, first, capacity - left))
-            rank += n
-            todo -= n
-            if left > size:
-                bins.put(left - size, first, n)
+            per = left // size
+            # the last bin of a run may take fewer pieces: it is a run of its own
+            first, n = bins.take(left, max(todo // per, 1))
+            each = min(per, todo)
+            for k in range(each):
+                plan.append((size, rank, n, first, capacity - left + k * size))
+                rank += n
+            todo -= n * each
+            if left > each * size:
+                bins.put(left - each * size, first, n)
     return plan
 
 

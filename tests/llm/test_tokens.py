@@ -105,6 +105,20 @@ def test_plan_equals_best_fit_one_piece_at_a_time(seed):
     assert sorted(capacity - x for x in filled.values()) == simple_best_fit(lengths.tolist(), capacity)
 
 
+@pytest.mark.parametrize("times", [1, 7, 30])
+def test_repeated_short_lengths_fill_a_bin_before_the_next(times):
+    lengths = [600] * 2 * times + [130] * 2 * times + [100] * 5 * times
+    plan = packing.best_fit_plan({600: 2 * times, 130: 2 * times, 100: 5 * times}, 1024)
+    filled, ranks = {}, {}
+    for size, rank, n, first, offset in plan:
+        ranks.setdefault(size, []).extend(range(rank, rank + n))
+        for b in range(first, first + n):
+            assert filled.get(b, 0) == offset
+            filled[b] = offset + size
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(c * times)) for k, c in ((600, 2), (130, 2), (100, 5))}
+    assert sorted(1024 - x for x in filled.values()) == simple_best_fit(lengths, 1024)
+
+
 def test_pack_is_whole_gapless_and_cut_from_the_front(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(-1, None), (None, "x"), (-2, "a b c"), (-2, "a b c")], SCHEMA)
