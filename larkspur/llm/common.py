@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
@@ -26,13 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are dropped when it ends, since nothing reads them afterwards.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for base in bases:
+        while base.lower() in taken:
+            base += "_"
+        taken.add(base.lower())
+        out.append(base)
+    return out
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes in one text column, a longer text alone, and so many rows."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, side="right"))
+        b = max(a + 1, min(b, a + most_rows))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every id that occurs in an edge: (id, component_id).
 

@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import byte_slices, free_names, shared_dir, staged
 
 #: Leading bytes by which suffixes are told apart, partitioned and sorted.
 LEAD = 20
-#: Bytes of text that one numpy pass works on; longer texts go through in overlapping stretches.
-STRETCH = 1 << 20
-#: Documents whose suffixes are sampled for splitters, and suffixes that one bucket should hold.
-SAMPLE_DOCS, BUCKET_SUFFIXES = 2_000, 200_000
-#: Suffixes that a task gathers before it sends them off: neighbours' contexts are alike and compress well together.
-GATHERED = 100_000
-#: Suffixes of one row that carries part of a lead that fills whole buckets.
-CHUNK = 2_048
+#: Bytes of text that one numpy pass works on (longer texts go through in overlapping stretches), that a task takes at
+#: once when it combines leads, and whose leads meet in one group.
+STRETCH, BATCH_BYTES, PART_BYTES = 1 << 18, 1 << 24, 1 << 24
+#: Suffixes that a task gathers before it sends them off (neighbours' contexts are alike and compress well together), that
+#: one bucket should hold, and that are compared at once unless one lead has more.
+GATHERED, BUCKET_SUFFIXES, SLICE = 100_000, 120_000, 8_192
+#: Suffixes whose windows are hashed at once.
+WINDOW_ROWS = 4_096
+#: Sampled suffixes a splitter, the fewest in all, and the most splitters that every task is sent (32 bytes each).
+SAMPLED, LEAST_SAMPLE, MOST_SPLITTERS = 16, 50_000, 1 << 17
 
 _M = 0x9E3779B97F4A7C15
 _MULTIPLY = np.uint64(_M)
-_BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTES = np.random.default_rng(11).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _NO_REPLY = 0xFFFF
 
 
@@ -82,7 +82,7 @@ class Anchors:
         raw = np.frombuffer(b"".join(x[2] for x in stretch), np.uint8)
         n, size = len(raw), self.size
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[raw] * self.up[:n], out=prefix[1:])
+        np.cumsum(_BYTES[0][raw] * self.up[:n], out=prefix[1:])
         lead = _mix((prefix[LEAD:] - prefix[:-LEAD]) * self.down[: n - LEAD + 1])
         least = (lead & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(lead), dtype=np.uint64)
         step = 1
@@ -106,13 +106,18 @@ class Anchors:
         return number, place + shift, starts[first] + shift, starts[last] + shift, lead[place]
 
 
-def _pack(columns: list[np.ndarray], part: np.ndarray, parts: int) -> Iterator[tuple]:
+def _pack(columns: list[np.ndarray], part: np.ndarray) -> Iterator[tuple]:
     """(part, bytes of each column) for each part that has entries."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        o = order[cuts[p] : cuts[p + 1]]
-        yield (int(p), *(c[o].tobytes() for c in columns))
+    if len(part):
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            o = order[a:b]
+            yield (int(part[o[0]]), *(c[o].tobytes() for c in columns))
+
+
+def _part(rows: np.ndarray, parts: int) -> np.ndarray:
+    return (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32)
 
 
 def _joined(values: pd.Series, kind: str) -> np.ndarray:
@@ -130,7 +135,7 @@ def _shared_leads(texts: DataFrame, min_bytes: int, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(k, 60_000) for k in range(0, whole.num_rows, 60_000)):
+            for batch in byte_slices(whole, 1, BATCH_BYTES, 60_000):
                 ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
                 found = [(x[4], x[0]) for x in anchors.of([(t or "").encode() for t in batch.column(1).to_pylist()])]
                 if not found:
@@ -145,7 +150,7 @@ def _shared_leads(texts: DataFrame, min_bytes: int, parts: int) -> DataFrame:
                 several = np.repeat(count > 1, count)
                 rows = []
                 done = ids[number[several]]
-                for p, r, x in _pack([done, (lead[several] >> np.uint64(32)).astype("<u4")], (done.view(np.uint64) % np.uint64(parts)).astype(np.int32), parts):
+                for p, r, x in _pack([done, (lead[several] >> np.uint64(32)).astype("<u4")], _part(done, parts)):
                     rows.append((p, True, r, b"", x))
                 ask, who = lead[first], np.where(count > 1, _NO_REPLY, number[first]).astype("<u2")
                 part = (ask % np.uint64(parts)).astype(np.int32)
@@ -175,7 +180,7 @@ def _shared_leads(texts: DataFrame, min_bytes: int, parts: int) -> DataFrame:
             again = np.zeros(len(lead), bool)
             again[order] = ~(new & np.r_[new[1:], True])
             hit = again & asked
-            rows += _pack([who[hit], lead[hit]], (who[hit].view(np.uint64) % np.uint64(parts)).astype(np.int32), parts)
+            rows += _pack([who[hit], lead[hit]], _part(who[hit], parts))
         return pd.DataFrame(rows, columns=["part", "ids", "leads"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
@@ -245,44 +250,70 @@ def multikey_sort(columns: list[np.ndarray]) -> np.ndarray:
 
 def _bucket_of(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
     """Number of splitters (rows of as many values as there are keys) that are not above each row."""
-    out = np.searchsorted(splitters[:, 0], keys[0], side="left").astype(np.int32)
-    for value in np.unique(splitters[:, 0]):
-        rows = np.flatnonzero(keys[0] == value)
-        if not len(rows):
-            continue
-        for s in splitters[splitters[:, 0] == value]:
-            above, same = np.zeros(len(rows), bool), np.ones(len(rows), bool)
-            for key, x in zip(keys[1:], s[1:], strict=True):
-                above |= same & (key[rows] > x)
-                same &= key[rows] == x
-            out[rows] += above | same
+    out = np.searchsorted(splitters[:, 0], keys[0], side="left").astype(np.int64)
+    tied = np.flatnonzero(np.isin(keys[0], splitters[:, 0]))  # the other keys decide
+    if len(tied):
+        columns = [np.r_[s, key[tied]] for s, key in zip(splitters.T, keys, strict=True)]
+        row = np.arange(len(columns[0])) >= len(splitters)
+        order = np.lexsort((row, *columns[::-1]))
+        below = np.cumsum(~row[order])
+        out[tied[order[row[order]] - len(splitters)]] = below[row[order]]
     return out
 
 
-def _windows(context: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix number, bytes before its place, hash of the window) of all windows that suffixes stand for."""
+def _windows(context: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, tables: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(suffix number, bytes before its place, hashes by each byte table) of all windows that suffixes stand for."""
+    before, wide = size - LEAD, context.shape[1]
+    up, down = _powers(_M, wide), _powers(pow(_M, -1, 2**64), wide)
+    found = []
+    for a in range(0, len(context), WINDOW_ROWS):
+        c, least, count = context[a : a + WINDOW_ROWS], low[a : a + WINDOW_ROWS].astype(np.int64), high[a : a + WINDOW_ROWS].astype(np.int64) + 1
+        count -= least
+        n = np.repeat(np.arange(len(c)), count)
+        o = np.arange(len(n)) - np.repeat(np.cumsum(count) - count - least, count)
+        at, keys = before - o, []
+        for t in range(tables):
+            prefix = np.zeros((len(c), wide + 1), np.uint64)
+            np.cumsum(_BYTES[t][c] * up, axis=1, out=prefix[:, 1:])
+            keys.append(_mix((prefix[n, at + size] - prefix[n, at]) * down[at]) + o.astype(np.uint64) * _MULTIPLY)
+        found.append((n + a, o.astype(np.uint8), *keys))
+    n, o, *keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    return n, o, keys
+
+
+def _confirmed(context: np.ndarray, n: np.ndarray, o: np.ndarray, partner: np.ndarray, size: int) -> bool:
+    """Whether each window (o bytes before the place of suffix n) has the same bytes as that of its partner (-1: none)."""
     before = size - LEAD
-    prefix = np.zeros((len(context), context.shape[1] + 1), np.uint64)
-    np.cumsum(_BYTES[context] * up[: context.shape[1]], axis=1, out=prefix[:, 1:])
-    number, offset, key = [], [], []
-    for o in range(before + 1):
-        rows = np.flatnonzero((low <= o) & (o <= high))
-        a = before - o
-        key.append(_mix((prefix[rows, a + size] - prefix[rows, a]) * down[a]) + np.uint64(o) * _MULTIPLY)
-        number.append(rows)
-        offset.append(np.full(len(rows), o, np.int64))
-    return np.concatenate(number), np.concatenate(offset), np.concatenate(key)
-
-
-def _spans(rows: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unions (row, start, end) of windows that overlap or touch."""
+    asked = np.flatnonzero(partner >= 0)
+    n, o, partner = n[asked], o[asked], partner[asked]
+    new = np.r_[True, (n[1:] != n[:-1]) | (partner[1:] != partner[:-1])] if len(n) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    reach = np.zeros((2, len(first)), np.int16)  # equal bytes before the place, and from it on
+    for a in range(0, len(first), WINDOW_ROWS):
+        f = first[a : a + WINDOW_ROWS]
+        differ = context[n[f]] != context[partner[f]]
+        for k, d in enumerate((differ[:, before - 1 :: -1] if before else differ[:, :0], differ[:, before:])):
+            reach[k, a : a + len(f)] = np.where(d.any(axis=1), d.argmax(axis=1), d.shape[1]) if d.shape[1] else 0
+    run = np.cumsum(new) - 1
+    return bool(np.all((reach[0][run] >= o) & (reach[1][run] >= size - o.astype(np.int64))))
+
+
+def _classes(context: np.ndarray, n: np.ndarray, o: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the different windows by their bytes."""
+    view = np.lib.stride_tricks.sliding_window_view(context, size, axis=1)
+    windows = np.ascontiguousarray(view[n, size - LEAD - o.astype(np.int64)]).view(f"V{size}").ravel()
+    return np.unique(windows, return_inverse=True)[1].astype(np.uint64)
+
+
+def _spans(docs: np.ndarray, rows: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Unions (doc, row, start, end) of windows that overlap or touch."""
     if not len(rows):
-        return rows, starts.astype("<i4"), starts.astype("<i4")
-    order = np.lexsort((starts, rows))
-    rows, starts = rows[order], starts[order]
-    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + size)])
+        return [docs, rows, starts.astype("<i4"), starts.astype("<i4")]
+    order = np.lexsort((starts, rows, docs))
+    docs, rows, starts = docs[order], rows[order], starts[order]
+    new = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + size)])
     last = np.r_[new[1:], len(rows)] - 1
-    return rows[new], starts[new].astype("<i4"), (starts[last] + size).astype("<i4")
+    return [docs[new], rows[new], starts[new].astype("<i4"), (starts[last] + size).astype("<i4")]
 
 
 _SUFFIX = ("contexts", "docs", "rows", "places", "lows", "highs")
@@ -295,134 +326,122 @@ def _unpack(frame: pd.DataFrame, size: int) -> list[np.ndarray]:
     return [np.frombuffer(raw, "u1").reshape(-1, wide), *(_joined(frame[c], k) for c, k in zip(_SUFFIX[1:], kinds, strict=True))]
 
 
+_FOUND = "ask boolean, part int, keys binary, more binary, docs binary, rows binary, starts binary, ends binary"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
 def _compare(frames: DataFrame, splitters: np.ndarray, min_bytes: int, parts: int) -> DataFrame:
-    """Bucket by bucket: spans that repeat (part, rows, starts, ends), and chunks of leads that cross buckets.
+    """Bucket by bucket: spans that repeat (docs, rows, starts, ends), and windows to ask other buckets about (ask true).
 
-    A lead on a splitter may lie in several buckets. Its suffixes leave as chunks (chunk true) with each bucket's
-    smallest document for each of its windows; all others are settled here.
+    A lead on a splitter may lie in several buckets. Of its windows those that a smaller document of the bucket has too
+    are settled; what is left of each different window is asked about, so that a passage that a third of all documents
+    hold is a few entries a bucket.
     """
-    anchors = Anchors(min_bytes)
-    crossing = {tuple(s[:-1]) for s in splitters}
-    up, down = anchors.up[: 2 * min_bytes], anchors.down[: 2 * min_bytes]
+    heads = np.unique(splitters[:, 0])
+    crossing = {tuple(s[:-1]) for s in splitters.tolist()}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        context, docs, rows, places, low, high = _unpack(frame, min_bytes)
-        words = _words(context, min_bytes - LEAD)
-        order = multikey_sort([*words, docs.view(np.uint64) ^ np.uint64(1 << 63)])
+        found = _unpack(frame, min_bytes)
+        words = _words(found[0], min_bytes - LEAD)
+        order = multikey_sort([*words, found[1].view(np.uint64) ^ np.uint64(1 << 63)])
         words = [w[order] for w in words]
-        new = np.r_[True, np.any([w[1:] != w[:-1] for w in words], axis=0)]
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(order)] - 1
+        context, docs, rows, places, low, high = (x[order] for x in found)
+        edges = np.flatnonzero(np.r_[True, np.any([w[1:] != w[:-1] for w in words], axis=0), True])
+        first, last = edges[:-1], edges[1:] - 1
         crosses = np.zeros(len(first), bool)
-        heads = {w for c in crossing for w in c[:1]}
-        for g in np.flatnonzero(np.isin(words[0][first], np.array(list(heads) or [0], np.uint64))):
+        for g in np.flatnonzero(np.isin(words[0][first], heads)):
             crosses[g] = tuple(int(w[first[g]]) for w in words) in crossing
-        use = (docs[order[first]] != docs[order[last]]) | crosses  # neighbours of one document alone repeat nothing
         out = []
-        take = order[use[group] & ~crosses[group]]
-        if len(take):
-            # documents ascend within a lead, so the first of equal windows has the smallest
-            n, o, key = _windows(context[take], low[take], high[take], min_bytes, up, down)
-            key ^= _mix(group[use[group] & ~crosses[group]].astype(np.uint64) * _MULTIPLY)[n]
-            sort = np.lexsort((docs[take][n], key))
-            n, o, key = n[sort], o[sort], key[sort]
-            head = np.r_[True, key[1:] != key[:-1]]
-            who = docs[take][n]
-            least = who[head][np.cumsum(head) - 1]
-            gone = who > least
-            r, s, e = _spans(rows[take][n[gone]], places[take][n[gone]].astype(np.int64) - o[gone], min_bytes)
-            out += [(False, p, b"", *x, b"", b"", b"", b"", b"") for p, *x in _pack([r, s, e], (r.view(np.uint64) % np.uint64(parts)).astype(np.int32), parts)]
-        for g in np.flatnonzero(crosses):
-            mine = order[first[g] : last[g] + 1]
-            name = np.array([w[first[g]] for w in words], ">u8").tobytes()
-            n, _, key = _windows(context[mine], low[mine], high[mine], min_bytes, up, down)
-            sort = np.lexsort((docs[mine][n], key))
-            head = np.r_[True, key[sort][1:] != key[sort][:-1]]
-            keys, least = key[sort][head], docs[mine][n[sort]][head]
-            for k, a in enumerate(range(0, len(mine), CHUNK)):
-                x = mine[a : a + CHUNK]
-                fields = [context[x], docs[x], rows[x], places[x].astype("<i4"), low[x], high[x]]
-                out.append((True, 0, name, b"" if k else keys.tobytes(), b"" if k else least.tobytes(), b"", *(f.tobytes() for f in (fields[0], fields[1], fields[2], fields[3])), fields[4].tobytes() + fields[5].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "part", "lead", "x", "y", "z", "contexts", "docs", "rows", "places", "bounds"])
-
-    schema = "chunk boolean, part int, lead binary, x binary, y binary, z binary, contexts binary, docs binary, rows binary, places binary, bounds binary"
-    return frames.groupBy("bucket").applyInPandas(run, schema)
-
-
-def _across_buckets(compared: DataFrame, min_bytes: int, parts: int) -> DataFrame:
-    """Spans of the leads that cross buckets: compares each chunk with the smallest documents of all buckets."""
-    anchors = Anchors(min_bytes)
-    up, down = anchors.up[: 2 * min_bytes], anchors.down[: 2 * min_bytes]
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        key, least = _joined(frame["x"], "<u8"), _joined(frame["y"], "<i8")
-        sort = np.lexsort((least, key))
-        head = np.r_[True, key[sort][1:] != key[sort][:-1]]
-        return pd.DataFrame({"lead": frame["lead"][:1], "keys": [key[sort][head].tobytes()], "least": [least[sort][head].tobytes()]})
-
-    chunks = compared.where("chunk")
-    known = chunks.where("length(x) > 0").select("lead", "x", "y").groupBy("lead").applyInPandas(merge, "lead binary, keys binary, least binary")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                n = len(r.docs) // 8
-                docs, rows, places = np.frombuffer(r.docs, "<i8"), np.frombuffer(r.rows, "<i8"), np.frombuffer(r.places, "<i4")
-                bounds, context = np.frombuffer(r.bounds, "u1"), np.frombuffer(r.contexts, "u1").reshape(n, -1)
-                k, o, key = _windows(context, bounds[:n], bounds[n:], min_bytes, up, down)
-                keys, least = np.frombuffer(r.keys, "<u8"), np.frombuffer(r.least, "<i8")
-                gone = docs[k] > least[np.searchsorted(keys, key)]
-                got = _spans(rows[k[gone]], places[k[gone]].astype(np.int64) - o[gone], min_bytes)
-                out += list(_pack(list(got), (got[0].view(np.uint64) % np.uint64(parts)).astype(np.int32), parts))
-            yield pd.DataFrame(out, columns=["part", "x", "y", "z"])
-
-    both = chunks.join(known, "lead").select("contexts", "docs", "rows", "places", "bounds", "keys", "least")
-    return both.mapInPandas(run, "part int, x binary, y binary, z binary")
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of stages whose results are already staged.
-
-    The second turn collects what the first, by freeing Python's references, made garbage.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
 
+        def settle(take: np.ndarray, ask: bool) -> None:
+            c = context[take]
+            n, o, (key, *more) = _windows(c, low[take], high[take], min_bytes, 2 if ask else 1)
+            who, starts, same = docs[take][n], places[take][n].astype(np.int64) - o, key
+            for exact in (False, True):
+                sort = np.lexsort((who, same))
+                head = np.r_[True, same[sort][1:] != same[sort][:-1]]
+                heads = sort[head][np.cumsum(head) - 1]
+                gone = who[sort] > who[heads]
+                partner = np.full(len(n), -1, np.int64)
+                partner[sort[gone]] = n[heads[gone]]
+                if exact or _confirmed(c, n, o, partner, min_bytes):
+                    break
+                same = _classes(c, n, o, min_bytes)  # two different windows have one hash
+            w = sort[gone]
+            spans = _spans(who[w], rows[take][n[w]], starts[w], min_bytes)
+            out.extend((False, p, b"", b"", *x) for p, *x in _pack(spans, _part(spans[1], parts)))
+            if ask:
+                w = sort[~gone]
+                out.extend((True, *x, b"") for x in _pack([key[w], more[0][w], who[w], rows[take][n[w]], starts[w].astype("<i4")], _part(key[w], parts)))
+
+        several = (docs[first] != docs[last]) & ~crosses  # neighbours of one document alone repeat nothing
+        group = np.repeat(np.arange(len(first)), np.diff(edges))
+        for ask, take in ((False, np.flatnonzero(several[group])), (True, np.flatnonzero(crosses[group]))):
+            whole = np.flatnonzero(np.r_[True, group[take][1:] != group[take][:-1]]) if len(take) and not ask else np.arange(0, len(take), SLICE)
+            a = 0
+            while a < len(take):
+                at = np.searchsorted(whole, a + SLICE)
+                b = whole[at] if at < len(whole) else len(take)
+                settle(take[a:b], ask)
+                a = b
+        return pd.DataFrame(out, columns=_NAMES)
+
+    return frames.groupBy("bucket").applyInPandas(run, _FOUND)
+
+
+def _across_buckets(asked: DataFrame, min_bytes: int, parts: int) -> DataFrame:
+    """Spans of windows that a smaller document of another bucket has; windows are told by 128 bits of hashes."""
 
-def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
-    """Per row of texts (doc_id, row, text) that has any: row and spans, packed (start, end) byte pairs in order."""
-    spark = texts.sparkSession
-    anchors = Anchors(min_bytes)
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / 2**25))
-    shared = staged(_shared_leads(texts, min_bytes, parts), "shared-leads")
-    release(spark)
-    n, suffixes = shared.agg(F.count("*"), F.sum(F.length("leads") / 4)).first()
-    with_text = texts.join(shared, "row").select("doc_id", "row", "text", "leads")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        key, more = _joined(frame["keys"], "<u8"), _joined(frame["more"], "<u8")
+        docs, rows, starts = _joined(frame["docs"], "<i8"), _joined(frame["rows"], "<i8"), _joined(frame["starts"], "<i4")
+        sort = np.lexsort((docs, more, key))
+        head = np.r_[True, (key[sort][1:] != key[sort][:-1]) | (more[sort][1:] != more[sort][:-1])]
+        w = sort[docs[sort] > docs[sort[head]][np.cumsum(head) - 1]]
+        spans = _spans(docs[w], rows[w], starts[w].astype(np.int64), min_bytes)
+        return pd.DataFrame(list(_pack(spans, _part(spans[1], parts))), columns=["part", "docs", "rows", "starts", "ends"])
+
+    return asked.groupBy("part").applyInPandas(run, "part int, docs binary, rows binary, starts binary, ends binary")
+
+
+def _splitters(texts: DataFrame, shared: DataFrame, anchors: Anchors, min_bytes: int) -> tuple[np.ndarray, int]:
+    """Splitters over (lead, doc_id), and the parts by hash of the lead that each range between them is dealt to.
+
+    Rows are sampled by hash, so that about SAMPLED suffixes a splitter come to the driver; there are at most
+    MOST_SPLITTERS, and beyond them ranges are dealt on by hash.
+    """
+    names = [f"w{k}" for k in range(math.ceil(LEAD / 8))]
+    suffixes = shared.agg(F.sum(F.length("leads") / 4)).first()[0] or 0
+    buckets = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(suffixes / BUCKET_SUFFIXES))
+    ranges = min(buckets, MOST_SPLITTERS)
+    every = max(1, int(suffixes // (4 * max(LEAST_SAMPLE, SAMPLED * ranges))))
+    some = F.pmod(F.xxhash64("row"), F.lit(every)) == 0
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for context, docs, *_ in _suffixes(batch, anchors):
                 words = _words(context[::4], min_bytes - LEAD)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)) for w in words] + [pa.array(docs[::4])], names=[f"w{k}" for k in range(len(words))] + ["doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)) for w in words] + [pa.array(docs[::4])], names=[*names, "doc_id"])
 
-    wide = math.ceil(LEAD / 8)
-    names = [f"w{k}" for k in range(wide)]
-    some = shared.where(F.pmod(F.hash("row"), F.lit(max(1, (n or 0) // SAMPLE_DOCS))) == 0)
-    picked = texts.join(F.broadcast(some), "row").select("doc_id", "row", "text", "leads")
+    picked = texts.where(some).join(shared.where(some), "row").select("doc_id", "row", "text", "leads")
     got = picked.mapInArrow(sample, ", ".join(f"{c} long" for c in [*names, "doc_id"])).toPandas()
-    buckets = max(spark.sparkContext.defaultParallelism, math.ceil((suffixes or 0) / BUCKET_SUFFIXES))
     keys = [got[c].to_numpy(np.int64).view(np.uint64) for c in names] + [got["doc_id"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)]
     order = multikey_sort(keys)
-    picks = np.unique(np.linspace(0, len(order), buckets + 1)[1:-1].astype(np.int64)) if len(order) else np.zeros(0, np.int64)
-    splitters = np.unique(np.stack([k[order[picks]] for k in keys], 1), axis=0).reshape(-1, wide + 1)
+    picks = np.unique(np.linspace(0, len(order), ranges + 1)[1:-1].astype(np.int64)) if len(order) else np.zeros(0, np.int64)
+    return np.unique(np.stack([k[order[picks]] for k in keys], 1), axis=0).reshape(-1, len(keys)), math.ceil(buckets / ranges)
+
+
+def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
+    """Per row of texts (doc_id, row, text) that has any: doc_id, row and spans, packed (start, end) byte pairs in order."""
+    anchors = Anchors(min_bytes)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PART_BYTES))
+    shared = staged(_shared_leads(texts, min_bytes, parts), "shared-leads")
+    splitters, dealt_on = _splitters(texts, shared, anchors, min_bytes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        at_splitter = np.unique(splitters[:, 0])
 
         def send() -> pa.RecordBatch:
             context, docs, rows, places, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -430,9 +449,13 @@ def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
             words = _words(context, min_bytes - LEAD)
             order = np.argsort(words[0], kind="stable")
             context, docs, rows, places, low, high = (x[order] for x in (context, docs, rows, places, low, high))
-            bucket = _bucket_of([*(w[order] for w in words), docs.view(np.uint64) ^ np.uint64(1 << 63)], splitters)
-            packed = [(p, pa.compress(c, codec="zstd", asbytes=True), *more) for p, c, *more in _pack([context, docs, rows, places.astype("<i4"), low, high], bucket, len(splitters) + 1)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in packed], pa.int32() if not k else pa.binary()) for k in range(7)], names=["bucket", *_SUFFIX])
+            words = [w[order] for w in words]
+            bucket = _bucket_of([*words, docs.view(np.uint64) ^ np.uint64(1 << 63)], splitters)
+            if dealt_on > 1:  # a lead that may lie on a splitter is compared across buckets, so its documents may part
+                apart = np.where(np.isin(words[0], at_splitter), docs.view(np.uint64), np.uint64(0))
+                bucket = bucket * dealt_on + _part(_mix(words[0] * _MULTIPLY + _mix(words[1] * _MULTIPLY + apart)), dealt_on)
+            packed = [(p, pa.compress(c, codec="zstd", asbytes=True), *more) for p, c, *more in _pack([context, docs, rows, places.astype("<i4"), low, high], bucket)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in packed], pa.int64() if not k else pa.binary()) for k in range(7)], names=["bucket", *_SUFFIX])
 
         for batch in batches:
             for found in _suffixes(batch, anchors):
@@ -442,24 +465,27 @@ def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
         if held:
             yield send()
 
-    dealt = with_text.mapInArrow(deal, "bucket int, " + ", ".join(f"{c} binary" for c in _SUFFIX))
+    with_text = texts.join(shared, "row").select("doc_id", "row", "text", "leads")
+    dealt = with_text.mapInArrow(deal, "bucket long, " + ", ".join(f"{c} binary" for c in _SUFFIX))
     compared = staged(_compare(dealt, splitters, min_bytes, parts), "compared")
-    release(spark)
 
     def union(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, starts, ends = _joined(frame["x"], "<i8"), _joined(frame["y"], "<i4"), _joined(frame["z"], "<i4")
-        order = np.lexsort((starts, rows))
-        rows, starts, ends = rows[order], starts[order], ends[order].astype(np.int64)
-        number = np.cumsum(np.r_[False, rows[1:] != rows[:-1]])
+        docs, rows, starts, ends = (_joined(frame[c], k) for c, k in zip(("docs", "rows", "starts", "ends"), ("<i8", "<i8", "<i4", "<i4"), strict=True))
+        order = np.lexsort((starts, rows, docs))
+        docs, rows, starts, ends = docs[order], rows[order], starts[order], ends[order].astype(np.int64)
+        other = np.r_[False, (rows[1:] != rows[:-1]) | (docs[1:] != docs[:-1])]
+        number = np.cumsum(other)
         reach = np.maximum.accumulate(ends + (number << 33)) - (number << 33)  # furthest end so far within the row
-        new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (starts[1:] > reach[:-1])])
+        new = np.flatnonzero(np.r_[True, other[1:] | (starts[1:] > reach[:-1])])
         last = np.r_[new[1:], len(rows)] - 1
         pairs = np.stack([starts[new], reach[last]], 1).astype("<i4")
-        edges = np.flatnonzero(np.r_[True, rows[new][1:] != rows[new][:-1], True])
-        return pd.DataFrame({"row": rows[new][edges[:-1]], "spans": [pairs[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
+        edges = np.flatnonzero(np.r_[True, np.diff(number[new]) != 0, True])
+        head = new[edges[:-1]]
+        return pd.DataFrame({"doc_id": docs[head], "row": rows[head], "spans": [pairs[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
 
-    found = compared.where("not chunk").select("part", "x", "y", "z").unionByName(_across_buckets(compared, min_bytes, parts))
-    return found.groupBy("part").applyInPandas(union, "row long, spans binary")
+    names = ["part", "docs", "rows", "starts", "ends"]
+    found = compared.where("not ask").select(names).unionByName(_across_buckets(compared.where("ask"), min_bytes, parts))
+    return found.groupBy("part").applyInPandas(union, "doc_id long, row long, spans binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -481,7 +507,7 @@ def removal_report(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id",
     row has their lead too, dealt to buckets by sampled splitters over (lead, doc_id), sorted there by multikey
     quicksort and compared with their neighbours; a lead that lies on splitters is compared across its buckets.
 
-    A null text counts as empty. A null id is no document that others are compared with, and loses nothing. Rows of a
+    Ids are integers or text that casts to such; other ids raise. A null text counts as empty. A null id is no document that others are compared with, and loses nothing. Rows of a
     repeated id don't remove each other's bytes. Texts shorter than min_bytes lose nothing. An empty table gives an
     empty result; other columns are not read.
     """
@@ -501,7 +527,7 @@ def removal_report(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id",
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -532,8 +558,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id",
             out.append(_kept(raw, pairs.tobytes())[0].decode())
         return pd.Series(out)
 
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    named = spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__row", key).join(named, "__row", "left")
-    changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col).cast("string"), "__spans"))
+    one, two, cuts = free_names(docs, "doc", "row", "spans")
+    keyed = docs.withColumn(one, F.col(id_col).cast("long")).withColumn(two, F.xxhash64(one, F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    joined = keyed.join(spans.select(F.col("doc_id").alias(one), F.col("row").alias(two), F.col("spans").alias(cuts)), [one, two], "left")
+    changed = F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col).cast("string"), F.col(cuts)))
     return joined.select(*(changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
