@@ -15,6 +15,8 @@ MEMO_ENTRIES = 500_000
 MEMO_CHARS = 48
 _ODD_BLANK = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+#: Runs this long go to the library: the faster loop takes time with their square, and its pattern a stack with their length.
+_LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -39,8 +41,8 @@ def byte_alphabet() -> list[str]:
 class IdEncoder:
     """Ids of whole texts, equal to the tokenizers library's without added special tokens.
 
-    The vocabulary file's pieces serve as ranks of a faster merge loop; a text that holds a special string goes to the
-    library itself.
+    The vocabulary file's pieces serve as ranks of a faster merge loop; a text that holds a special string or a very
+    long run of letters or blanks goes to the library itself.
     """
 
     def __init__(self, path: str):
@@ -56,7 +58,7 @@ class IdEncoder:
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.specials):
+        if any(s in text for s in self.specials) or (len(text) >= 4000 and _LONG_RUN.search(text)):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

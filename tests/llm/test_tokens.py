@@ -30,6 +30,24 @@ def test_ids_and_counts_equal_the_library(spark, library):
         assert e.encode(t).tolist() == ids and c.count(t) == len(ids), t
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "a" * 1_000_000, "\t " * 300_000, "\u4e2d\u6587" * 200_000, "!?" * 200_000])
+def test_runs_of_a_million_characters_equal_the_library(library, text):
+    e, c = bpe.id_encoder(bpe.tokenizer_path("byte_bpe_50k.json")), bpe.prefix_counter(bpe.tokenizer_path("byte_bpe_50k.json"))
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert e.encode(text).tolist() == ids and c.count(text) == len(ids)
+    u = sentencepiece_codec.unigram(bpe.tokenizer_path("piece_bpe_32k.model"))
+    assert u.decode(np.frombuffer(u.encode(text), "<u4").tolist()) == text
+
+
+def test_one_word_of_many_megabytes_is_packed_and_counted(spark, library):
+    word = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(4_000_000))
+    df = spark.createDataFrame([(1, word), (2, "a" + " " * 1_000_000 + "b")], SCHEMA)
+    n = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df).collect()}
+    assert n == {1: len(library.encode(word, add_special_tokens=False).ids), 2: len(library.encode("a" + " " * 1_000_000 + "b", add_special_tokens=False).ids)}
+    packed = packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).collect()
+    assert {r["doc_id"]: r["n"] - 1 for r in packed} == n and all(r["most"] == 1024 for r in packed)
+
+
 def test_every_prefix_of_a_word_has_its_exact_count(library):
     c = bpe.prefix_counter(bpe.tokenizer_path("byte_bpe_50k.json"))
     for word in ("antidisestablishmentarianism", "unbelievably", "xxxxxxxxxxxx", "internationalisation"):
