@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .bpe import id_encoder, tokenizer_path
 from .common import staged
 
-#: Ranks within a length are counted by this many row groups, so one very common length is no single group.
-RANK_GROUPS = 256
+#: Ranks within a length are counted by groups of about this many pieces, so one very common length is no single group.
+RANK_GROUP = 100_000
 
 
 def cut_into_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
@@ -133,16 +133,16 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
 
     Texts are tokenised once, in a map, into a small staged table of pieces. Only the number of pieces of each length
     (capacity rows at most) reaches the driver, where the plan is made by runs; pieces then get their rank within
-    their length (counted over RANK_GROUPS groups, so a length that a third of all pieces have is split) and their
-    place from the plan, whose size is bounded by the capacity.
+    their length (counted over groups of rows whose number follows that of the pieces, so a length that a third of
+    all pieces have is split) and their place from the plan, whose size is bounded by the capacity.
 
     A null text counts as empty (its one piece holds the end id); null ids stay null; repeated rows are packed as
     often as they occur; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    pieces = cut_into_pieces(docs, capacity, end_id, vocabulary, id_col, text_col)
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_GROUPS)).alias("group")
-    pieces = staged(pieces.select("*", group), "pieces")
+    pieces = staged(cut_into_pieces(docs, capacity, end_id, vocabulary, id_col, text_col), "pieces")
+    groups = 16 + pieces.count() // RANK_GROUP
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     sizes = staged(pieces.groupBy("length", "group").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = pd.DataFrame(best_fit_plan(counts, capacity), columns=["length", "rank", "n", "bin", "place"], dtype="int64")
