@@ -1,105 +1,51 @@
-"""Text expressions: tokenising, redaction, topics, answers."""
+"""Text expressions: tokenising, topics, sessions, answers."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-#: The stop words of topic descriptions.
-STOPWORDS = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "have", "has", "not", "but", "they", "their", "been", "were", "will", "can", "all", "its", "our", "you", "your"]
-
-#: Identifier patterns in the order in which they apply, and what takes their place.
-IDENTIFIERS = [
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    ("URL", r"https?://[^\s]+", "[URL]"),
-    ("IP", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[IP]"),
-    ("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[SSN]"),
-    ("DATE", r"\b[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}\b", "[DATE]"),
-    ("AGE", r"\b(9[0-9]|1[0-9][0-9])[ -]years?[ -]old\b", "[AGE]"),
-    ("PHONE", r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
-]
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case runs of two or more word characters of any script."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-
-
-def redact(text: Column) -> Column:
-    """Identifiers replaced, pattern after pattern; the order is part of the meaning."""
-    for _, pattern, mark in IDENTIFIERS:
-        text = F.regexp_replace(text, pattern, re.sub(r"([\\$])", r"\\\1", mark))
-    return text
-
-
-def redaction_counts(text: Column) -> dict[str, Column]:
-    """How often each pattern applies, counted at its turn."""
-    out = {}
-    for label, pattern, mark in IDENTIFIERS:
-        out[label] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, re.sub(r"([\\$])", r"\\\1", mark))
-    return out
-
-
-def strip_placeholders(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[(EMAIL|URL|IP|SSN|DATE|AGE|PHONE|CARD|NAME)\]", " ")
-
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        n = int(c) * (2 if k % 2 else 1)
-        total += n - 9 if n > 9 else n
-    return total % 10 == 0
+from .deidentify import redact_pii, strip_placeholders
 
+# ---- Fixed values: word lists that must equal the published ones. ----
 
-_CARD = re.compile(r"\b(?:\d[ -]?){13,19}\b")
-_NAME = re.compile(r"\b(Dr|Mr|Mrs|Ms|Prof)\.?\s+([A-Z][\w'-]+)((?:\s+[A-Z][\w'-]+)?)")
-_NOT_NAMES = {"The", "This", "Patient", "Hospital"}
+#: Words that never become topics.
+TOPIC_STOPWORDS = """a about above after again against all also among an and any are as at be because been before being below
+between both but by can could did do does doing down during each few for from further had has have having here how however
+i if in into is it its itself just may might more most much must no nor not now of off on once only or other our out over
+own per same should so some such than that the their them then there these they this those through to too under until up
+upon us use used using very was we were what when where which while who whom why will with within without would you your
+abstract background conclusion conclusions data demonstrate demonstrated et found introduction methods new paper patients
+result results showed shows significant significantly study studies suggest text therefore these thus via whether redacted
+email phone id one two three four five six seven eight nine ten first second third""".split()
 
+#: Words that lexical scores leave out.
+LEXICAL_STOPWORDS = """a about above after again against all also am an and any are as at be because been before being below between
+both but by can could did do does doing down during each few for from further had has have having he her here hers herself
+him himself his how however i if in into is it its itself just me more most my myself no nor not now of off on once only or
+other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there
+these they this those through to too under until up very was we were what when where which while who whom why will with
+would you your yours yourself yourselves may might must shall upon within without via per among""".split()
 
-@F.pandas_udf(StringType())
-def redact_cards(texts: pd.Series) -> pd.Series:
-    """Card numbers replaced where their check digit holds: a replacement that depends on the match."""
+# ---- End of fixed values. ----
 
-    def one(m: re.Match) -> str:
-        return "[CARD]" if luhn(re.sub(r"\D", "", m[0])) else m[0]
 
-    return texts.map(lambda t: None if t is None else _CARD.sub(one, t))
+def _list(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
 
 
-@F.pandas_udf(StringType())
-def redact_names(texts: pd.Series) -> pd.Series:
-    """Names after a title replaced, unless the first word can't be one."""
-
-    def one(m: re.Match) -> str:
-        return m[0] if m[2] in _NOT_NAMES else f"{m[1]} [NAME]"
-
-    return texts.map(lambda t: None if t is None else _NAME.sub(one, t))
-
-
-def redact_registry(text: Column, names: list[str]) -> Column:
-    """Known names in all their forms replaced, longest first, in any case, as whole words."""
-    forms: set[str] = set()
-    for name in names:
-        first, _, last = name.rpartition(" ")
-        forms |= {name} | ({f"{last}, {first}", f"{last} {first}", f"{first[0]}. {last}", f"{first[0]} {last}"} if first else set())
-    if not forms:
-        return text
-    either = "|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f)))
-    return F.regexp_replace(text, rf"(?iu)(?<!\w)({either})(?!\w)", "[NAME]")
+def tokens(text: Column) -> Column:
+    """Lower-case runs of two or more word characters of any script, less stop words."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    return F.filter(runs, lambda w: ~w.isin(LEXICAL_STOPWORDS))
 
 
 def document_topics(docs: DataFrame, group: str, text_col: str = "text", most: int = 16) -> DataFrame:
     """The words that most documents of each group have: group, rank, term, df. Ties go to the earlier word."""
     if not 1 <= most <= 64:
         raise ValueError("most must be from 1 to 64")
-    runs = F.regexp_extract_all(F.lower(strip_placeholders(redact(F.coalesce(F.col(text_col), F.lit(""))))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    words = F.array_except(F.array_distinct(F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$"))), F.array(*map(F.lit, STOPWORDS)))
+    runs = F.regexp_extract_all(F.lower(strip_placeholders(redact_pii(F.coalesce(F.col(text_col), F.lit(""))))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    words = F.array_except(F.array_distinct(F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$"))), _list(TOPIC_STOPWORDS))
     df = docs.select(group, F.explode(words).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("df"), "term"))
     return df.withColumn("rank", rank).where(F.col("rank") <= most)
@@ -134,10 +80,36 @@ def term_recovery(truth: Column, guess: Column) -> Column:
     return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t, g)) / F.size(F.array_union(t, g)))
 
 
-def answer_letter(text: Column) -> Column:
-    """The letter of a multiple-choice answer, or null."""
-    found = F.regexp_extract(F.upper(text), r"\b([A-E])\b", 1)
-    return F.when(found != "", found)
+def answer_letter(text: Column, options: list[str] | None = None) -> Column:
+    """The letter (A to D, of the given options) that an answer begins with, or else the first that stands alone; or null."""
+    known = options or ["A", "B", "C", "D"]
+    stripped = F.btrim(text, F.lit(" \t\n\r"))
+    first = F.regexp_extract(F.concat(stripped, F.lit(" ")), r"^\(?([A-D])\)?[.):\s]", 1)
+    alone = F.filter(F.regexp_extract_all(stripped, F.lit(r"\b([A-D])\b"), F.lit(1)), lambda x: x.isin(known))
+    return F.when(first.isin(known), first).otherwise(F.get(alone, F.lit(0)))
+
+
+def choice_prompt(question: Column, options: Column) -> Column:
+    """A question with its options (map of letter to text) by letter, and how to answer."""
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda o: F.concat(o["key"], F.lit(". "), o["value"])), "\n")
+    return F.concat(question, F.lit("\n\nOptions:\n"), lines, F.lit("\n\nChoose the best option. Reply with the single option letter only."))
+
+
+#: Fixed value: what an answer is asked with, around the question and its passages.
+PROMPT = (
+    "Answer the question using only the passages below. If the passages don't contain the answer, say so plainly rather than guessing.\n\nQuestion: ",
+    "\n\nPassages:\n", "\n\nAnswer:", "(none returned)",
+)
+
+
+def passage_prompt(question: Column, passages: Column) -> Column:
+    listed = numbered_passages(passages)
+    return F.concat(F.lit(PROMPT[0]), question, F.lit(PROMPT[1]), F.when(listed == "", F.lit(PROMPT[3])).otherwise(listed), F.lit(PROMPT[2]))
+
+
+def numbered_passages(passages: Column) -> Column:
+    """Passages as a numbered list, in order."""
+    return F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n")
 
 
 def exposed(values: Column, text: Column) -> Column:

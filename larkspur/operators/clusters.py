@@ -1,107 +1,288 @@
-"""Clustering of sources' documents and the indexes built from it."""
+"""Clustering of sources' documents and the indexes built from it.
+
+k-means runs in rounds: vectors are assigned in blocks, sums and counts of each cluster are added up, and centroids move. A
+source of up to LOCAL vectors takes its rounds within one task; for a larger one each round is a pass over its blocks, and
+only sums of blocks meet. Both follow the same rules, so a source's size decides where the work is done, not its result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
+#: Vectors of a source whose rounds one task takes, vectors of one block, and centroids of one part.
+LOCAL, BLOCK, PART = 20_000, 2_048, 1_024
+#: Centroids that move no further than this have settled.
+STILL = 1e-12
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray, spherical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best centroid of each vector and its score: the product with unit centroids, or by Euclidean distance."""
+    score = x @ centre.T - (0 if spherical else (centre * centre).sum(axis=1) / 2)
+    best = score.argmax(axis=1)
+    return best, score[np.arange(len(x)), best]
 
-def _lloyd(x: np.ndarray, k: int, rounds: int, spherical: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and members' clusters. An empty cluster keeps its centroid."""
-    k = min(k, len(x))
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    x = unit(x) if spherical else x
-    centre, own = x[np.random.default_rng(seed).choice(len(x), k, replace=False)], None
-    for _ in range(rounds):
-        near = x @ centre.T if spherical else -((x[:, None] - centre) ** 2).sum(axis=2)
-        new = near.argmax(axis=1)
-        moved = np.stack([x[new == c].mean(axis=0) if (new == c).any() else centre[c] for c in range(k)])
-        moved = unit(moved) if spherical else moved
-        still = own is not None and (new == own).all() and np.allclose(moved, centre)
-        centre, own = moved, new
-        if still:
-            break
-    return centre, own
 
+def _totals(x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of each cluster's vectors."""
+    order = np.argsort(own, kind="stable")
+    ids, first = np.unique(own[order], return_index=True)
+    total, n = np.zeros((k, x.shape[1])), np.zeros(k, np.int64)
+    if len(ids):
+        total[ids] = np.add.reduceat(x[order], first, axis=0)
+        n[ids] = np.diff(np.r_[first, len(own)])
+    return total, n
 
-def _merge_small(x: np.ndarray, own: np.ndarray, centre: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges the smallest cluster into the nearest one while it has too few members; numbers close up."""
-    while True:
-        ids, sizes = np.unique(own, return_counts=True)
-        if len(ids) < 2 or sizes.min() >= least:
+
+def _moved(centre: np.ndarray, total: np.ndarray, n: np.ndarray, spherical: bool) -> np.ndarray:
+    """Means of the clusters, of length 1 if spherical; an empty one keeps its centroid."""
+    mean = total / np.maximum(n, 1)[:, None]
+    if spherical:
+        mean /= np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), STILL)
+    return np.where(n[:, None] > 0, mean, centre)
+
+
+def _absorb(total: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """New number of each cluster after those with fewer than least members have joined their nearest one.
+
+    The smallest goes first, into the centroid with the largest product, whose sum grows by its own; all from sums and
+    counts, so no member is looked at. Numbers close up.
+    """
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), STILL)
+    total, n, into = total.copy(), n.astype(np.int64).copy(), np.arange(len(n))
+    live = n > 0
+    while live.sum() > 1:
+        size = np.where(live, n, np.iinfo(np.int64).max)
+        small = int(size.argmin())
+        if size[small] >= least:
             break
-        small = ids[sizes.argmin()]
-        others = ids[ids != small]
-        own = np.where(own == small, others[(centre[others] @ centre[small]).argmax()], own)
-        for c in np.unique(own):
-            m = x[own == c].mean(axis=0)
-            centre[c] = m / max(np.linalg.norm(m), 1e-12)
-    ids, own = np.unique(own, return_inverse=True)
-    return own, centre[ids]
+        near = np.where(live, unit(total) @ unit(total[small]), -np.inf)
+        near[small] = -np.inf
+        target = int(near.argmax())
+        total[target] += total[small]
+        n[target] += n[small]
+        live[small] = False
+        into[into == small] = target
+    return np.where(np.isin(into, np.flatnonzero(live)), (np.cumsum(live) - 1)[into], -1)
 
 
-def cluster_index(docs: DataFrame, per_cluster: int = 10, least: int = 5, largest_group: int = 50_000, seed: int = 0) -> DataFrame:
-    """Clusters of each source's documents (source_id, collection, doc_id, vec): source_id, collection, cluster_id, doc_id.
+def _matrix(packed: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), "<f8").reshape(-1, width)
+
 
-    k is a tenth of the documents, halves to even, one at least; clusters under `least` members are merged. A source
-    with more than largest_group documents is clustered in hashed parts, so no source is one unbounded task; numbers
-    are then closed up over collections ("public" first) and parts by a window of sums.
+def _fold(docs: DataFrame, keys: list[str], k: Column, rounds: int, spherical: bool, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Clusters of each group of docs (keys, doc_id, vec): members (keys, doc_id, cluster), and centroids (keys, cluster, vec, n).
+
+    k is an expression of size, the group's number of vectors. The first k vectors in the order of a hash of doc_id are
+    the first centroids. least merges smaller clusters (0: none).
     """
-    sizes = docs.groupBy("source_id", "collection").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / largest_group)).cast("int")
-    dealt = docs.join(sizes, ["source_id", "collection"]).withColumn("part", part)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    group = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    sizes = docs.groupBy(*keys).agg(F.count("*").alias("size")).withColumn("k", F.greatest(F.lit(1), F.least(k, F.col("size"))).cast("int"))
+    named = docs.select(*keys, "doc_id", F.col("vec").cast("array<double>").alias("vec"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).join(sizes, keys)
+    members = f"{group}, doc_id {kinds['doc_id']}, cluster int, vec array<double>, n long"
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id")
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["h", "doc_id"]).reset_index(drop=True)
         x = np.stack([np.asarray(v, np.float64) for v in frame["vec"]])
-        centre, own = _lloyd(x, max(1, round(len(x) / per_cluster)), 25, True, seed)
-        own, _ = _merge_small(x, own, centre, min(least, len(x)))
-        return frame[["source_id", "collection", "part", "doc_id"]].assign(cluster=own.astype(np.int32))
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), STILL) if spherical else x
+        centre = x[: int(frame["k"].iloc[0])]
+        for _ in range(rounds):
+            own = np.concatenate([_nearest(x[a : a + BLOCK], centre, spherical)[0] for a in range(0, len(x), BLOCK)])
+            total, n = _totals(x, own, len(centre))
+            moved = _moved(centre, total, n, spherical)
+            still, centre = np.abs(moved - centre).max() <= STILL, moved
+            if still:
+                break
+        if least:
+            new = _absorb(total, n, min(least, len(x)))
+            own = new[own]
+            total, n = _totals(x, own, new.max() + 1)
+            centre = _moved(np.zeros_like(total), total, n, spherical)
+        first = frame.iloc[[0] * len(centre)][keys].assign(doc_id=None, cluster=np.arange(len(centre), dtype=np.int32), vec=list(centre), n=n)
+        return pd.concat([frame[[*keys, "doc_id"]].assign(cluster=own.astype(np.int32), vec=None, n=None), first], ignore_index=True)
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    found = dealt.groupBy("source_id", "collection", "part").applyInPandas(one, f"source_id {kinds['source_id']}, collection {kinds['collection']}, part int, doc_id {kinds['doc_id']}, cluster int")
-    groups = found.groupBy("source_id", "collection", "part").agg((F.max("cluster") + 1).alias("n"))
-    before = Window.partitionBy("source_id").orderBy(F.when(F.col("collection") == "public", 0).otherwise(1), "collection", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("source_id", "collection", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return found.join(offsets, ["source_id", "collection", "part"]).select("source_id", "collection", (F.col("cluster") + F.col("offset")).cast("int").alias("cluster_id"), "doc_id")
+    here = checkpointed(named.where(F.col("size") <= LOCAL).groupBy(*keys).applyInPandas(local, members))
+    out = here.where("doc_id is not null").select(*keys, "doc_id", "cluster"), here.where("doc_id is null").select(*keys, "cluster", "vec", "n")
+    large = named.where(F.col("size") > LOCAL)
+    if large.isEmpty():
+        return out
+    far = _rounds(large, keys, group, kinds["doc_id"], rounds, spherical, least)
+    return out[0].unionByName(far[0]), out[1].unionByName(far[1])
+
+
+def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds: int, spherical: bool, least: int) -> tuple[DataFrame, DataFrame]:
+    """The rounds of groups too large for one task: see _fold(). Each round's centroids are checkpointed."""
+    named = checkpointed(named)
+    width = named.select(F.size("vec")).first()[0]
+
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(v, np.float64) for v in frame["vec"]])
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), STILL) if spherical else x
+        return frame.iloc[[0]][[*keys, "block", "size"]].assign(ids=[list(frame["doc_id"])], x=[x.tobytes()])
 
+    dealt = named.withColumn("block", F.pmod("h", F.ceil(F.col("size") / BLOCK)))
+    blocks = checkpointed(dealt.groupBy(*keys, "block").applyInPandas(block, f"{group}, block long, size long, ids array<{id_kind}>, x binary"))
+
+    # the first k by hash, ranked by ranges of the hash: their counts, then places within them
+    ranges = named.withColumn("range", F.shiftright("h", 52))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy(*keys, "range").agg(F.count("*").alias("c")).select(*keys, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    place = F.col("offset") + F.row_number().over(Window.partitionBy(*keys, "range").orderBy("h", "doc_id")) - 1
+    first = ranges.join(offsets, [*keys, "range"]).where(F.col("offset") < F.col("k")).withColumn("cluster", place).where(F.col("cluster") < F.col("k"))
+
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cluster")
+        x = np.stack([np.asarray(v, np.float64) for v in frame["vec"]])
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), STILL) if spherical else x
+        return frame.iloc[[0]][[*keys, "part"]].assign(x=[x.tobytes()], total=[b""], n=[b""], moved=np.inf)
+
+    shape = f"{group}, part long, x binary, total binary, n binary, moved double"
+    centres = checkpointed(first.withColumn("part", F.floor(F.col("cluster") / PART)).groupBy(*keys, "part").applyInPandas(part, shape))
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                best, score = _nearest(_matrix([r.x], width), _matrix([r.c], width), spherical)
+                rows.append((*(getattr(r, c) for c in keys), r.block, (best + r.part * PART).astype("<i8").tobytes(), score.tobytes()))
+            yield pd.DataFrame(rows, columns=[*keys, "block", "best", "score"])
 
-def kmeans_profiles(docs: DataFrame, k: int, largest_group: int = 50_000, seed: int = 0) -> DataFrame:
+    def best_of(frame: pd.DataFrame) -> pd.DataFrame:
+        best = np.stack([np.frombuffer(b, "<i8") for b in frame["best"]])
+        score = np.stack([np.frombuffer(b, "<f8") for b in frame["score"]])
+        order = np.lexsort((best, -score), axis=0)[0] if len(best) > 1 else np.zeros(best.shape[1], np.int64)
+        return frame.iloc[[0]][[*keys, "block"]].assign(own=[best[order, np.arange(best.shape[1])].tobytes()])
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                x, own = _matrix([r.x], width), np.frombuffer(r.own, "<i8")
+                for p in np.unique(own // PART):
+                    mine = own // PART == p
+                    total, n = _totals(x[mine], own[mine] - p * PART, PART)
+                    used = np.flatnonzero(n)
+                    rows.append((*(getattr(r, c) for c in keys), int(p), used.astype("<i8").tobytes(), total[used].tobytes(), n[used].tobytes()))
+            yield pd.DataFrame(rows, columns=[*keys, "part", "used", "total", "n"])
+
+    def move(key: tuple, old: pd.DataFrame, added: pd.DataFrame) -> pd.DataFrame:
+        centre = _matrix(old["x"], width)
+        total, n = np.zeros(centre.shape), np.zeros(len(centre), np.int64)
+        for r in added.sort_values(["used", "total"]).itertuples():
+            used = np.frombuffer(r.used, "<i8")
+            total[used] += _matrix([r.total], width)
+            n[used] += np.frombuffer(r.n, "<i8")
+        moved = _moved(centre, total, n, spherical)
+        return old.iloc[[0]][[*keys, "part"]].assign(x=[moved.tobytes()], total=[total.tobytes()], n=[n.tobytes()], moved=np.abs(moved - centre).max())
+
+    for _ in range(rounds):
+        pairs = blocks.join(centres.select(*keys, "part", F.col("x").alias("c")), keys).select(*keys, "block", "part", "x", "c")
+        own = checkpointed(pairs.mapInPandas(near, f"{group}, block long, best binary, score binary").groupBy(*keys, "block").applyInPandas(best_of, f"{group}, block long, own binary"))
+        added = blocks.join(own, [*keys, "block"]).mapInPandas(sums, f"{group}, part long, used binary, total binary, n binary")
+        centres = checkpointed(centres.groupBy(*keys, "part").cogroup(added.groupBy(*keys, "part")).applyInPandas(move, shape))
+        if centres.agg(F.max("moved")).first()[0] <= STILL:
+            break
+
+    def number(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        total, n = _matrix(frame["total"], width), np.concatenate([np.frombuffer(b, "<i8") for b in frame["n"]])
+        new, centre = np.arange(len(n)), _matrix(frame["x"], width)
+        if least:
+            new = _absorb(total, n, min(least, int(n.sum())))
+            k = new.max() + 1
+            merged, count = np.zeros((k, width)), np.zeros(k, np.int64)
+            np.add.at(merged, new[new >= 0], total[new >= 0])
+            np.add.at(count, new[new >= 0], n[new >= 0])
+            centre, n = _moved(np.zeros_like(merged), merged, count, spherical), count
+        rows = frame.iloc[[0] * (len(new) + len(centre))][keys].reset_index(drop=True)
+        pad = [None] * len(new)
+        return rows.assign(old=[*range(len(new)), *[None] * len(centre)], cluster=[*new.tolist(), *range(len(centre))], vec=[*pad, *centre], n=[*pad, *n.tolist()])
+
+    numbers = checkpointed(centres.groupBy(*keys).applyInPandas(number, f"{group}, old long, cluster int, vec array<double>, n long"))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.concat([pd.DataFrame({**{c: getattr(r, c) for c in keys}, "doc_id": list(r.ids), "old": np.frombuffer(r.own, "<i8")}) for r in frame.itertuples(index=False)], ignore_index=True) if len(frame) else pd.DataFrame(columns=[*keys, "doc_id", "old"])
+
+    found = blocks.join(own, [*keys, "block"]).select(*keys, "ids", "own").mapInPandas(each, f"{group}, doc_id {id_kind}, old long")
+    members = found.join(numbers.where("old is not null").select(*keys, "old", "cluster"), [*keys, "old"]).select(*keys, "doc_id", "cluster")
+    return members, numbers.where("old is null").select(*keys, "cluster", "vec", "n")
+
+
+def cluster_index(docs: DataFrame, per_cluster: int = 10, least: int = 5, seed: int = 0) -> DataFrame:
+    """Clusters of each source's documents (source_id, collection, doc_id, vec): source_id, collection, cluster_id, doc_id.
+
+    Spherical k-means per collection, at most 25 rounds; k is a tenth of the documents, halves to even, one at least;
+    clusters under `least` members are merged into their nearest. Numbers close up over collections, "public" first.
+    """
+    members, centres = _fold(docs, ["source_id", "collection"], F.bround(F.col("size") / per_cluster), 25, True, least, seed)
+    groups = centres.groupBy("source_id", "collection").agg((F.max("cluster") + 1).alias("n"))
+    before = Window.partitionBy("source_id").orderBy(F.when(F.col("collection") == "public", 0).otherwise(1), "collection").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select("source_id", "collection", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return members.join(offsets, ["source_id", "collection"]).select("source_id", "collection", (F.col("cluster") + F.col("offset")).cast("int").alias("cluster_id"), "doc_id")
+
+
+def kmeans_profiles(docs: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Euclidean k-means centroids of each source (source_id, doc_id, vec): source_id, centroid_ix, vec, members."""
-    sizes = docs.groupBy("source_id").agg(F.count("*").alias("size"))
-    dealt = docs.join(sizes, "source_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / largest_group)).cast("int"))
+    _, centres = _fold(docs, ["source_id"], F.lit(k), 50, False, 0, seed)
+    return centres.select("source_id", F.col("cluster").alias("centroid_ix"), "vec", F.col("n").alias("members"))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id")
-        centre, own = _lloyd(np.stack([np.asarray(v, np.float64) for v in frame["vec"]]), k, 50, False, seed)
-        n = np.bincount(own, minlength=len(centre))
-        return pd.DataFrame({"source_id": frame["source_id"].iloc[0], "centroid_ix": np.arange(len(centre), dtype=np.int32) + frame["part"].iloc[0] * k, "vec": list(centre), "members": n})
 
-    kind = docs.schema["source_id"].dataType.simpleString()
-    return dealt.groupBy("source_id", "part").applyInPandas(one, f"source_id {kind}, centroid_ix int, vec array<double>, members long")
+def cluster_members(docs: DataFrame, k: int, seed: int = 0, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Spherical clusters of each source's documents: members (source_id, doc_id, cluster) and centroids (source_id, cluster, vec, n)."""
+    return _fold(docs, ["source_id"], F.lit(k), 25, True, least, seed)
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 1) -> DataFrame:
-    """Interval of the mean difference of paired metrics (unit, a, b): diff, low, high, p, n.
+def dirichlet_partition(docs: DataFrame, clients: int, alpha: float, seed: int = 0) -> DataFrame:
+    """docs (doc_id, topic) with client: each topic's documents are spread over clients with proportions from a Dirichlet law.
 
-    Every pair gets a Poisson(1) weight per resample from a generator of its own key, so resamples are partial sums
-    that combine before the shuffle: the driver sees one row per resample.
+    Proportions are gamma draws from a generator of the topic's own key, one row per topic; a document falls where the
+    hash of its id does on the topic's cumulated proportions.
     """
 
-    def weigh(frames):
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            total = np.zeros((resamples, 2))
-            for unit, d in zip(frame["unit"], frame["d"], strict=True):
-                w = np.random.default_rng([seed, int(unit) & (2**63 - 1)]).poisson(1, resamples)
-                total[:, 0] += w * d
-                total[:, 1] += w
-            yield pd.DataFrame({"r": np.arange(resamples, dtype=np.int32), "s": total[:, 0], "w": total[:, 1]})
-
-    d = pairs.select(F.xxhash64("unit").alias("unit"), (F.col("a") - F.col("b")).alias("d"))
-    means = d.mapInPandas(weigh, "r int, s double, w double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
-    low, high = (F.percentile("m", F.lit(q)) for q in (0.025, 0.975))
-    tails = F.least(F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)), F.avg(F.when(F.col("m") >= 0, 1.0).otherwise(0.0)))
-    spread = means.agg(low.alias("low"), high.alias("high"), F.least(F.lit(1.0), 2 * tails).alias("p"))
-    return d.agg(F.avg("d").alias("diff"), F.count("*").alias("n")).crossJoin(spread)
+            yield pd.DataFrame({"topic": frame["topic"], "edges": [np.cumsum(np.random.default_rng([seed, int(h) & (2**63 - 1)]).dirichlet([alpha] * clients)).tolist() for h in frame["h"]]})
+
+    topics = docs.select("topic").distinct().withColumn("h", F.xxhash64("topic"))
+    edges = topics.mapInPandas(draw, f"topic {docs.schema['topic'].dataType.simpleString()}, edges array<double>")
+    at = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    below = F.size(F.filter("edges", lambda e: e <= at))
+    return docs.join(edges, "topic").withColumn("client", F.least(below, F.lit(clients - 1))).drop("edges")
+
+
+def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 1) -> DataFrame:
+    """Intervals of the paired metrics' difference and ratio (unit, a, b): mean_a, mean_b, diff, low, high, ratio, ratio_low, ratio_high, p, n.
+
+    A unit without one of the two values is an error. Every pair gets a Poisson(1) weight per resample from a generator of
+    its own key, so resamples are partial sums that combine before the shuffle: the driver sees one row per resample. p is
+    twice the share of resamples on the far side of 0, 1 at most.
+    """
+    d = pairs.select(F.xxhash64("unit").alias("unit"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    broken, n = d.agg(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("int")), F.count("*")).first()
+    if broken:
+        raise ValueError("a paired comparison needs both values of every unit")
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((resamples, 3))
+        for frame in frames:
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
+                w = np.random.default_rng([seed, *(part["unit"].to_numpy().view(np.uint64) >> np.uint64(1)).tolist()]).poisson(1, (len(part), resamples))
+                total += w.T @ np.stack([part["a"], part["b"], np.ones(len(part))], 1)
+        yield pd.DataFrame({"r": np.arange(resamples, dtype=np.int32), "a": total[:, 0], "b": total[:, 1], "w": total[:, 2]})
+
+    sums = d.mapInPandas(weigh, "r int, a double, b double, w double").groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).where("w > 0")
+    means = sums.select((F.col("a") / F.col("w")).alias("a"), (F.col("b") / F.col("w")).alias("b")).select((F.col("a") - F.col("b")).alias("m"), (F.col("a") / F.greatest("b", F.lit(1e-12))).alias("q"))
+    at = lambda c, q, name: F.percentile(c, F.lit(q)).alias(name)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    spread = means.agg(at("m", 0.025, "low"), at("m", 0.975, "high"), at("q", 0.025, "ratio_low"), at("q", 0.975, "ratio_high"), share(F.col("m") <= 0).alias("below"), share(F.col("m") >= 0).alias("above"))
+    point = d.agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count("*").alias("n")).withColumns({"diff": F.col("mean_a") - F.col("mean_b"), "ratio": F.col("mean_a") / F.greatest("mean_b", F.lit(1e-12))})
+    return point.crossJoin(spread).withColumn("p", F.least(F.lit(1.0), 2 * F.when(F.col("diff") > 0, F.col("below")).otherwise(F.col("above")))).drop("below", "above")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .routing import small
+from .running import running
+
 
 def hits(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """The first k of each ranked list (query_id, item, rank) with hit: whether the judgements hold it."""
@@ -82,11 +85,11 @@ def bernoulli_attack(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> D
     total = train.select("session").distinct().count()
     known = train.select("source_id").distinct()
     c = train.groupBy("topic", "source_id").agg(F.countDistinct("session").alias("c"))
-    p = n.crossJoin(F.broadcast(known)).join(c, ["topic", "source_id"], "left").withColumn("p", (F.coalesce("c", F.lit(0)) + alpha) / (F.col("n") + 2 * alpha))
+    p = n.crossJoin(small(known)).join(c, ["topic", "source_id"], "left").withColumn("p", (F.coalesce("c", F.lit(0)) + alpha) / (F.col("n") + 2 * alpha))
     base = p.groupBy("topic").agg((F.sum(F.log(1 - F.col("p"))) + F.log(F.max("n") / F.lit(float(max(total, 1))))).alias("base"))
     odds = p.select("topic", "source_id", F.log(F.col("p") / (1 - F.col("p"))).alias("odds"))
-    met = test.select("session", "source_id").distinct().join(F.broadcast(odds), "source_id").groupBy("session", "topic").agg(F.sum("odds").alias("odds"))
-    all_ = test.select("session").distinct().crossJoin(F.broadcast(base)).join(met, ["session", "topic"], "left")
+    met = test.select("session", "source_id").distinct().join(small(odds), "source_id").groupBy("session", "topic").agg(F.sum("odds").alias("odds"))
+    all_ = test.select("session").distinct().crossJoin(small(base)).join(met, ["session", "topic"], "left")
     return all_.select("session", "topic", F.round(F.col("base") + F.coalesce("odds", F.lit(0.0)), 6).alias("score"))
 
 
@@ -99,15 +102,57 @@ def macro_f1(pairs: DataFrame) -> DataFrame:
     return f.agg(F.round(F.sum("right") / F.sum("size"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(1 / F.count(F.when(F.col("size") > 0, 1)), 6).alias("chance"))
 
 
-def ewma(items: Column, alpha: float, start: float = 0.5) -> Column:
-    """Exponential trust over ordered signals of an array, clamped to [0, 1] at every step."""
-    return F.aggregate(items, F.lit(start), lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * (1 - alpha) + x * alpha)))
+def jaccard(a: Column, b: Column) -> Column:
+    """Overlap of two sets; two empty ones are alike."""
+    either = F.size(F.array_union(a, b))
+    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+
 
+def overlap_within(sets: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Mean Jaccard over all pairs of rows of a key, and the number of pairs: keys, jaccard, pairs.
+
+    Equal sets (sorted arrays) are grouped first and a pair of different ones weighs the product of their counts, n
+    (n - 1) / 2 one with itself, so what is paired is the sets that occur, not the rows.
+    """
+    n = sets.groupBy(*keys, column).agg(F.count("*").alias("n"))
+    other = n.select(*keys, F.col(column).alias("o"), F.col("n").alias("m"))
+    different = n.join(other, keys).where(F.col(column) < F.col("o")).select(*keys, (F.col("n") * F.col("m")).alias("w"), jaccard(F.col(column), F.col("o")).alias("j"))
+    same = n.select(*keys, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("w"), F.lit(1.0).alias("j"))
+    return different.unionByName(same).groupBy(*keys).agg(F.round(F.sum(F.col("w") * F.col("j")) / F.sum("w"), 6).alias("jaccard"), F.sum("w").alias("pairs")).where("pairs > 0")
 
-def evidence_trust(log: DataFrame, keys: list[str], signal: str, order: list[str]) -> DataFrame:
+
+def bounded_trust(log: DataFrame, keys: list[str], signal: str, order: list[str], coarse: Column, alpha: float, start: float = 0.5) -> DataFrame:
+    """Exponential trust per key after all its signals in order, clamped to [0, 1] at every step: keys, trust.
+
+    A step is x -> clamp(a x + b), and steps one after another are again such a map with its own bounds. Each range
+    (coarse never falls along the order) folds its rows to one map, and the key's maps are applied in order, so no array
+    holds a key's whole history.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    clamp = lambda x, low, high: F.greatest(low, F.least(high, x))
+    start_map = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def after(m: Column, s: Column) -> Column:
+        step = lambda x: clamp(x * (1 - alpha) + s * alpha, F.lit(0.0), F.lit(1.0))
+        return F.struct((m["a"] * (1 - alpha)).alias("a"), (m["b"] * (1 - alpha) + s * alpha).alias("b"), step(m["low"]).alias("low"), step(m["high"]).alias("high"))
+
+    ranged = log.select(*keys, coarse.alias("_range"), F.struct(*order, F.col(signal).cast("double").alias("_s")).alias("x"))
+    maps = ranged.groupBy(*keys, "_range").agg(F.array_sort(F.collect_list("x")).alias("x")).select(*keys, "_range", F.aggregate("x", start_map, lambda m, x: after(m, x["_s"])).alias("m"))
+    each = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "m"))).alias("x"))
+    return each.select(*keys, F.round(F.aggregate("x", F.lit(float(start)), lambda s, x: clamp(s * x["m"]["a"] + x["m"]["b"], x["m"]["low"], x["m"]["high"])), 6).alias("trust"))
+
+
+def evidence_trust(log: DataFrame, keys: list[str], signal: str, order: list[str], coarse: Column) -> DataFrame:
     """log with trust after each row: (1 + sum of signals) / (rows + 2), which the running update equals.
 
-    The added billionth makes exact halves round up in any order of summation.
+    Sums run over ranges first (see running()). The added billionth makes exact halves round up in any order of summation.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("trust", F.round((1 + F.sum(signal).over(w)) / (F.count("*").over(w) + 2) + 1e-9, 6))
+    both = running(log, keys, coarse, order, {"_signals": F.col(signal), "_rows": F.lit(1)})
+    return both.withColumn("trust", F.round((1 + F.col("_signals")) / (F.col("_rows") + 2) + 1e-9, 6)).withColumn("observations", F.col("_rows")).drop("_signals", "_rows")
+
+
+def trust_signal(weights: dict[str, float], field=F.col) -> Column:
+    """Weighted mean of signals; weights that sum to 0 give 0."""
+    total = sum(weights.values())
+    return sum((field(c) * F.lit(w) for c, w in weights.items()), F.lit(0.0)) / total if total else F.lit(0.0)

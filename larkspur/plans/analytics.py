@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
 from ..operators import clusters
 from ..operators import metrics as m
 from ..operators import routing as r
-from .routing import BASE, GRADES, best, centroids, grades, questions, read, shard_table
+from ..operators.running import running
+from .routing import BASE, GRADES, grades, read, scored, shard_table
 
 
 def routed(spark, sf):
-    return r.rank(best(spark, sf), 0).select("query_id", F.col("source_id").alias("item"), "rank")
+    return r.ranked_sources(r.aggregate_arrays(scored(spark, sf))).select("query_id", F.col("source_id").alias("item"), "rank")
 
 
 def relevant(spark, sf):
@@ -58,7 +58,7 @@ def a16_paired_bootstrap(spark, sf):
     """Interval of the difference between two rankers' reciprocal ranks."""
     rel = relevant(spark, sf)
     one = m.binary_metrics(routed(spark, sf), rel, 5).select("query_id", F.col("ndcg").alias("a"))
-    mean = r.rank(r.aggregate_scores(r.centroid_scores(questions(spark, sf), centroids(spark, sf)), "mean"), 0).select("query_id", F.col("source_id").alias("item"), "rank")
+    mean = r.ranked_sources(r.aggregate_arrays(scored(spark, sf), "mean")).select("query_id", F.col("source_id").alias("item"), "rank")
     two = m.binary_metrics(mean, rel, 5).select("query_id", F.col("ndcg").alias("b"))
     return clusters.paired_bootstrap(one.join(two, "query_id").select(F.col("query_id").alias("unit"), "a", "b"))
 
@@ -93,21 +93,6 @@ def a21_modelled_latency(spark, sf):
 A21 = "SELECT l_orderkey, round(max(40.0::DOUBLE + l_quantity + l_extendedprice / 12500.0::DOUBLE) + 5.0, 6) AS latency, count(*) AS contacts FROM lineitem GROUP BY l_orderkey"
 
 
-def a22_redaction_density(spark, sf):
-    d = read(spark, sf, "documents")
-    n = sum(t.redaction_counts(F.col("text")).values(), F.lit(0))
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return d.select("lang", n.alias("n"), words.alias("w")).groupBy("lang").agg(F.round(F.sum("n") * 1000 / F.sum("w"), 6).alias("per_1000"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("altered"))
-
-
-def _density_sql() -> str:
-    x, parts = "text", []
-    for _, pattern, mark in t.IDENTIFIERS:
-        parts.append(f"len(regexp_extract_all({x}, '{pattern}'))")
-        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
-    return f"WITH n AS (SELECT lang, {' + '.join(parts)} AS n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS w FROM documents) SELECT lang, round(sum(n) * 1000.0::DOUBLE / sum(w), 6) AS per_1000, sum((n > 0)::INT)::BIGINT AS altered FROM n GROUP BY lang"
-
-
 def a24_scorecard(spark, sf):
     """Configurations by axis: mean value per event type and month, blank where there is none."""
     e = read(spark, sf, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), "event_type", "value")
@@ -204,20 +189,34 @@ L12 = f"WITH {LOG}, c AS (SELECT session, source_id, count(*) AS n FROM log GROU
 
 
 def l11_dispatch_overlap(spark, sf):
-    """Mean Jaccard of consecutive questions' dispatched sets within each topic."""
+    """Mean Jaccard of all pairs of questions' dispatched sets within each topic: equal sets are counted once and weighed."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("topic"))
+    top = F.array_sort(F.transform(F.slice(r.by_score(F.col("sources")), 1, 3), lambda x: x["source_id"]))
+    sets = r.aggregate_arrays(scored(spark, sf)).select("query_id", top.alias("s")).join(e, "query_id")
+    return m.overlap_within(sets, ["topic"], "s")
+
+
+L11 = f"""WITH {BASE}, s AS (SELECT query_id, list(source_id) AS s FROM ranked WHERE rank <= 3 GROUP BY query_id), q AS (SELECT label AS topic, query_id, s FROM s JOIN embeddings ON vec_id = query_id)
+SELECT a.topic, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))), 6) AS jaccard, count(*) AS pairs FROM q a JOIN q b ON a.topic = b.topic AND a.query_id < b.query_id GROUP BY a.topic"""
+
+
+def j10_first_pairs(spark, sf):
+    """The same over each topic's first forty questions only, pair by pair."""
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("topic"))
-    sets = routed(spark, sf).where("rank <= 3").groupBy("query_id").agg(F.collect_set("item").alias("s")).join(e, "query_id")
-    pairs = sets.withColumn("prev", F.lag("s").over(Window.partitionBy("topic").orderBy("query_id"))).where("prev IS NOT NULL")
-    jaccard = F.size(F.array_intersect("s", "prev")) / F.size(F.array_union("s", "prev"))
-    return pairs.groupBy("topic").agg(F.round(F.avg(jaccard), 6).alias("jaccard"), F.count("*").alias("n"))
+    first = e.withColumn("ix", F.row_number().over(Window.partitionBy("topic").orderBy("query_id"))).where("ix <= 40")
+    top = F.transform(F.slice(r.by_score(F.col("sources")), 1, 3), lambda x: x["source_id"])
+    sets = r.aggregate_arrays(scored(spark, sf)).select("query_id", top.alias("s")).join(first, "query_id")
+    pairs = sets.join(sets.select("topic", F.col("ix").alias("jx"), F.col("s").alias("o")), "topic").where("ix < jx")
+    return pairs.groupBy("topic").agg(F.round(F.avg(m.jaccard(F.col("s"), F.col("o"))), 6).alias("jaccard"), F.count("*").alias("pairs"))
 
 
-L11 = f"WITH {BASE}, s AS (SELECT query_id, list(source_id) AS s FROM ranked WHERE rank <= 3 GROUP BY query_id), p AS (SELECT label AS topic, s, lag(s) OVER (PARTITION BY label ORDER BY query_id) AS prev FROM s JOIN embeddings ON vec_id = query_id) SELECT topic, round(avg(len(list_intersect(s, prev))::DOUBLE / (len(s) + len(prev) - len(list_intersect(s, prev)))), 6) AS jaccard, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY topic"
+J10 = f"""WITH {BASE}, s AS (SELECT query_id, list(source_id) AS s FROM ranked WHERE rank <= 3 GROUP BY query_id), q AS (SELECT label AS topic, query_id, s, row_number() OVER (PARTITION BY label ORDER BY query_id) AS ix FROM s JOIN embeddings ON vec_id = query_id QUALIFY ix <= 40)
+SELECT a.topic, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))), 6) AS jaccard, count(*) AS pairs FROM q a JOIN q b ON a.topic = b.topic AND a.ix < b.ix GROUP BY a.topic"""
 
 
 def t1_evidence_trust(spark, sf):
     log = contacts(spark, sf).withColumn("signal", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)))
-    return m.evidence_trust(log, ["source_id"], "signal", ["seq"]).select("query_id", "source_id", "trust")
+    return m.evidence_trust(log, ["source_id"], "signal", ["seq"], F.to_date("ts")).select("query_id", "source_id", "trust")
 
 
 T1 = f"WITH {LOG} SELECT query_id, source_id, round((1 + sum(least(1, greatest(0, value / 100))) OVER w) / (count(*) OVER w + 2) + 1e-9, 6) AS trust FROM log WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
@@ -225,8 +224,8 @@ T1 = f"WITH {LOG} SELECT query_id, source_id, round((1 + sum(least(1, greatest(0
 
 def t2_bounded_trust(spark, sf):
     """Exponential trust of every user, clamped at each event."""
-    e = read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", ((F.col("value") - 20) / 40).alias("s")))).alias("x"))
-    return e.select("user_id", F.round(m.ewma(F.transform("x", lambda y: y["s"]), 0.2), 6).alias("trust"))
+    e = read(spark, sf, "events").withColumn("s", (F.col("value") - 20) / 40)
+    return m.bounded_trust(e, ["user_id"], "s", ["ts", "event_id"], F.to_date("ts"), 0.2)
 
 
 T2 = """SELECT user_id, round(list_reduce(list_prepend(0.5::DOUBLE, list((value - 20) / 40 ORDER BY ts, event_id)), lambda s, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, s * 0.8::DOUBLE + x * 0.2::DOUBLE))), 6) AS trust FROM events GROUP BY user_id"""
@@ -235,7 +234,7 @@ T2 = """SELECT user_id, round(list_reduce(list_prepend(0.5::DOUBLE, list((value
 def t6_legacy_signal(spark, sf):
     """Best citation of each source and topic, 0 without any."""
     c = contacts(spark, sf)
-    grid = c.select("topic").distinct().crossJoin(F.broadcast(shard_table(spark, sf)))
+    grid = c.select("topic").distinct().crossJoin(r.small(shard_table(spark, sf)))
     return grid.join(c.groupBy("topic", "source_id").agg(F.max("value").alias("s")), ["topic", "source_id"], "left").select("topic", "source_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("signal"))
 
 
@@ -244,10 +243,9 @@ T6 = f"WITH {LOG} SELECT t.topic, s.source_id, round(coalesce(max(value), 0), 6)
 
 def t8_linkability(spark, sf):
     """Share of a topic's earlier queries that chose the same source."""
-    w = Window.partitionBy("topic").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ws = Window.partitionBy("topic", "source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     c = contacts(spark, sf)
-    return c.select("query_id", F.round(F.count("*").over(ws) / F.greatest(F.lit(1), F.count("*").over(w)), 6).alias("linkability"))
+    both = running(running(c, ["topic"], F.to_date("ts"), ["seq"], {"all": F.lit(1)}), ["topic", "source_id"], F.to_date("ts"), ["seq"], {"same": F.lit(1)})
+    return both.select("query_id", F.round((F.col("same") - 1) / F.greatest(F.lit(1), F.col("all") - 1), 6).alias("linkability"))
 
 
 T8 = f"WITH {LOG} SELECT query_id, round(count(*) OVER (PARTITION BY topic, source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY topic ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 6) AS linkability FROM log"
@@ -326,8 +324,8 @@ S1 = "SELECT doc_id, md5(CASE WHEN trim(source) <> '' THEN trim(source) || '. '
 
 QUERIES = {
     "a1_binary_metrics": (a1_binary_metrics, A1), "a5_graded_metrics": (a5_graded_metrics, A5), "a14_group_summary": (a14_group_summary, A14), "a16_paired_bootstrap": (a16_paired_bootstrap, None), "a18_stream_thirds": (a18_stream_thirds, A18),
-    "a20_transport": (a20_transport, A20), "a21_modelled_latency": (a21_modelled_latency, A21), "a22_redaction_density": (a22_redaction_density, _density_sql()), "a24_scorecard": (a24_scorecard, A24), "a25_majority_topic": (a25_majority_topic, A25), "a26_accuracy_rollup": (a26_accuracy_rollup, A26),
-    "l1_source_inference": (l1_source_inference, L1), "l3_intersection": (l3_intersection, L3), "l6_history_attacker": (l6_history_attacker, L6), "l9_macro_f1": (l9_macro_f1, L9), "l11_dispatch_overlap": (l11_dispatch_overlap, L11), "l12_source_attack": (l12_source_attack, L12),
+    "a20_transport": (a20_transport, A20), "a21_modelled_latency": (a21_modelled_latency, A21), "a24_scorecard": (a24_scorecard, A24), "a25_majority_topic": (a25_majority_topic, A25), "a26_accuracy_rollup": (a26_accuracy_rollup, A26),
+    "l1_source_inference": (l1_source_inference, L1), "l3_intersection": (l3_intersection, L3), "l6_history_attacker": (l6_history_attacker, L6), "l9_macro_f1": (l9_macro_f1, L9), "l11_dispatch_overlap": (l11_dispatch_overlap, L11), "j10_first_pairs": (j10_first_pairs, J10), "l12_source_attack": (l12_source_attack, L12),
     "t1_evidence_trust": (t1_evidence_trust, T1), "t2_bounded_trust": (t2_bounded_trust, T2), "t6_legacy_signal": (t6_legacy_signal, T6), "t8_linkability": (t8_linkability, T8), "t9_daily_budget": (t9_daily_budget, T9), "t10_cover_traffic": (t10_cover_traffic, T10), "t11_cache_refresh": (t11_cache_refresh, T11),
     "s1_corpus": (s1_corpus, S1), "s14_embedding_cache": (s14_embedding_cache, S14), "s17_newest_wins": (s17_newest_wins, S17), "s19_resume": (s19_resume, S19),
 }

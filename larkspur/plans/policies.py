@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators import routing as r
 from .analytics import LOG, contacts, relevant, routed, sessions
-from .routing import BASE, CELLS, GRADES, best, read, shard_table, supplier_cells, vectors
+from .routing import BASE, GRADES, read, scored, shard_table, vectors
 
 
 def f1_policy_labels(spark, sf):
@@ -24,8 +24,8 @@ F1 = "SELECT s_suppkey, ((s_suppkey % 2 = 0)::INT + (s_suppkey % 3 = 0)::INT + (
 def f4_public_view(spark, sf):
     """What each source publishes from: its public documents, or all when it has none."""
     d = read(spark, sf, "documents").select("source", "n_chars", (F.pmod("doc_id", F.lit(3)) == 0).alias("public"))
-    some = d.withColumn("any", F.max("public").over(Window.partitionBy("source")))
-    return some.where("public OR NOT any").groupBy("source").agg(F.count("*").alias("published"), F.sum("n_chars").alias("chars"))
+    some = d.groupBy("source").agg(F.max("public").alias("any"))
+    return d.join(r.small(some), "source").where("public OR NOT any").groupBy("source").agg(F.count("*").alias("published"), F.sum("n_chars").alias("chars"))
 
 
 F4 = "WITH d AS (SELECT source, n_chars, doc_id % 3 = 0 AS public FROM documents) SELECT source, count(*) AS published, sum(n_chars)::BIGINT AS chars FROM (SELECT *, bool_or(public) OVER (PARTITION BY source) AS a FROM d) WHERE public OR NOT a GROUP BY source"
@@ -41,21 +41,6 @@ def f10_versions(spark, sf):
 F10 = "WITH e AS (SELECT user_id, json_extract_string(props, '$.k')::INT AS version, max(json_extract_string(props, '$.k')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT user_id, sum((b IS NULL OR version > b)::INT)::BIGINT AS accepted, sum((b IS NOT NULL AND version <= b)::INT)::BIGINT AS rejected, max(version) AS current FROM e GROUP BY user_id"
 
 
-def r9_cells_policy(spark, sf):
-    """Whole cells: every supplier contacted for a region's best three, genuine or decoy."""
-    c = supplier_cells(spark, sf)
-    s = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("query_id"), F.col("s_suppkey").alias("source_id"), F.col("s_acctbal").alias("score"))
-    genuine = r.rank(s, 3).select("query_id", "source_id").join(c.select("source_id", "cell"), "source_id")
-    cells = genuine.select("query_id", "cell").distinct()
-    out = cells.join(c.select("source_id", "cell"), "cell").join(genuine.select("query_id", "source_id", F.lit("genuine").alias("role")), ["query_id", "source_id"], "left")
-    return out.select("query_id", "source_id", "cell", F.coalesce("role", F.lit("decoy")).alias("role"))
-
-
-R9 = f"""WITH {CELLS}, g AS (SELECT n_regionkey AS query_id, s_suppkey AS source_id FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC, s_suppkey) <= 3),
-k AS (SELECT DISTINCT query_id, cell FROM g JOIN cells USING (source_id))
-SELECT k.query_id, c.source_id, c.cell, CASE WHEN g.source_id IS NULL THEN 'decoy' ELSE 'genuine' END AS role FROM k JOIN cells c USING (cell) LEFT JOIN g ON g.query_id = k.query_id AND g.source_id = c.source_id"""
-
-
 def r20_exposure_cost(spark, sf):
     """Weighted exposure of each line's four factors, by supplier."""
     cost = 0.4 * F.col("l_quantity") / 50 + 0.3 * F.col("l_discount") * 10 + 0.2 * F.col("l_tax") * 10 + 0.1 * F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
@@ -127,7 +112,7 @@ g AS (SELECT c.*, row_number() OVER (PARTITION BY c.topic ORDER BY n DESC, sourc
 SELECT g.topic, round(count(t.source_id)::DOUBLE / count(*), 6) AS precision, count(*) AS guessed FROM g LEFT JOIN t ON t.topic = g.topic AND t.source_id = g.source_id WHERE r <= size GROUP BY g.topic"""
 
 
-def l7_session_growth(spark, sf):
+def session_growth(spark, sf):
     """Distinct sources that each session has shown after every contact: what an attacker knows by length."""
     first = sessions_in_order(spark, sf).withColumn("new", (F.row_number().over(Window.partitionBy("session", "source_id").orderBy("seq")) == 1).cast("int"))
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -139,27 +124,20 @@ def sessions_in_order(spark, sf):
     return contacts(spark, sf).select("session", "source_id", "seq")
 
 
-L7 = f"WITH {LOG}, f AS (SELECT session, seq, (row_number() OVER (PARTITION BY session, source_id ORDER BY seq) = 1)::INT AS new FROM log), e AS (SELECT row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS length, sum(new) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS known FROM f) SELECT length, round(avg(known), 6) AS known, count(*) AS sessions FROM e GROUP BY length"
+GROWTH = f"WITH {LOG}, f AS (SELECT session, seq, (row_number() OVER (PARTITION BY session, source_id ORDER BY seq) = 1)::INT AS new FROM log), e AS (SELECT row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS length, sum(new) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS known FROM f) SELECT length, round(avg(known), 6) AS known, count(*) AS sessions FROM e GROUP BY length"
 
 
 def l8_set_prior(spark, sf):
     """Expected accuracy of naming a session's topic at random among the topics of its sources."""
     s = sessions(spark, sf)
     per = s.select("source_id", "topic").distinct().groupBy("source_id").agg(F.collect_set("topic").alias("topics"))
-    out = s.distinct().join(F.broadcast(per), "source_id").groupBy("session", "topic").agg(F.size(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("n"))
+    out = s.distinct().join(r.small(per), "source_id").groupBy("session", "topic").agg(F.size(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("n"))
     return out.select("session", F.round(1 / F.col("n"), 6).alias("expected"))
 
 
 L8 = f"WITH {LOG}, s AS (SELECT DISTINCT session || ':' || topic AS session, topic, source_id FROM log) SELECT a.session, round(1.0::DOUBLE / count(DISTINCT b.topic), 6) AS expected FROM s a JOIN s b USING (source_id) GROUP BY a.session"
 
 
-def l14_exemption(spark, sf):
-    """Contacts whose trust stayed the same, which the exemption would give away as decoys."""
-    t = m.evidence_trust(contacts(spark, sf).withColumn("signal", F.round(F.col("value") / 100, 1)), ["source_id"], "signal", ["seq"])
-    last = F.lag("trust").over(Window.partitionBy("source_id").orderBy("seq"))
-    return t.withColumn("same", (F.round("trust", 3) == F.round(last, 3)).cast("int")).groupBy("source_id").agg(F.sum("same").alias("unchanged"), F.count("*").alias("n"))
-
-
 def t3_trust_signal(spark, sf):
     """Weighted mean of five signals of each line, by supplier."""
     w = [0.3, 0.25, 0.2, 0.15, 0.1]
@@ -211,27 +189,27 @@ def s11_unregistered(spark, sf):
 S11 = f"WITH {LOG} SELECT (vec_id % 12)::INT AS source_id, count(*) AS documents FROM embeddings WHERE (vec_id % 12)::INT NOT IN (SELECT source_id FROM log WHERE value > 300) GROUP BY 1"
 
 
-def r17_source_spread(spark, sf):
+def lead_of_best_source(spark, sf):
     """How far each question's best source is ahead of its second."""
-    two = r.rank(best(spark, sf), 2).groupBy("query_id").agg(F.max("score").alias("a"), F.min("score").alias("b"), F.count("*").alias("n"))
+    two = r.ranked_sources(r.aggregate_arrays(scored(spark, sf)), 2).groupBy("query_id").agg(F.max("score").alias("a"), F.min("score").alias("b"), F.count("*").alias("n"))
     return two.select("query_id", F.round(F.col("a") - F.col("b"), 6).alias("lead"), "n")
 
 
-R17 = f"WITH {BASE} SELECT query_id, round(max(score) - min(score), 6) AS lead, count(*) AS n FROM ranked WHERE rank <= 2 GROUP BY query_id"
+LEAD = f"WITH {BASE} SELECT query_id, round(max(score) - min(score), 6) AS lead, count(*) AS n FROM ranked WHERE rank <= 2 GROUP BY query_id"
 
 
 def r25_cover_plan(spark, sf):
     """Four dummy slots per shard and user-day: what cover rounds send."""
     days = read(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
-    plan = days.crossJoin(F.broadcast(shard_table(spark, sf))).withColumn("slots", F.lit(4))
+    plan = days.crossJoin(r.small(shard_table(spark, sf))).withColumn("slots", F.lit(4))
     return plan.groupBy("day").agg(F.sum("slots").alias("slots"), F.countDistinct("user_id").alias("users"))
 
 
 R25 = "SELECT day, count(*) * 4 * (SELECT count(DISTINCT vec_id % 12) FROM embeddings) AS slots, count(*) AS users FROM (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY day"
 
 QUERIES = {
-    "f1_policy_labels": (f1_policy_labels, F1), "f4_public_view": (f4_public_view, F4), "f10_versions": (f10_versions, F10), "r9_cells_policy": (r9_cells_policy, R9), "r17_source_spread": (r17_source_spread, R17), "r20_exposure_cost": (r20_exposure_cost, R20),
+    "f1_policy_labels": (f1_policy_labels, F1), "f4_public_view": (f4_public_view, F4), "f10_versions": (f10_versions, F10), "lead_of_best_source": (lead_of_best_source, LEAD), "r20_exposure_cost": (r20_exposure_cost, R20),
     "r25_cover_plan": (r25_cover_plan, R25), "r27_router_labels": (r27_router_labels, _r27_sql()), "a11_selection_coverage": (a11_selection_coverage, A11), "a19_budget_violations": (a19_budget_violations, A19), "a23_role_fractions": (a23_role_fractions, A23),
-    "l4_inference_accuracy": (l4_inference_accuracy, L4), "l7_session_growth": (l7_session_growth, L7), "l8_set_prior": (l8_set_prior, L8), "l14_exemption": (l14_exemption, None), "t3_trust_signal": (t3_trust_signal, T3), "t5_trust_resets": (t5_trust_resets, T5),
+    "l4_inference_accuracy": (l4_inference_accuracy, L4), "session_growth": (session_growth, GROWTH), "l8_set_prior": (l8_set_prior, L8), "t3_trust_signal": (t3_trust_signal, T3), "t5_trust_resets": (t5_trust_resets, T5),
     "x4_chunks": (x4_chunks, X4), "x9_tier": (x9_tier, X9), "s11_unregistered": (s11_unregistered, S11),
 }

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import deidentify as d
 from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import clusters as c
 from ..operators import retrieval as k
-from .routing import BASE, read, vectors
+from ..operators import routing as r
+from ..operators.running import rank_by_hash, tile
+from .deid import re2
+from .routing import BASE, count_bucket, read, vectors
 
 
 def topics(spark, sf):
@@ -51,16 +55,21 @@ def k12_centralized(spark, sf):
 K12 = f"WITH {SCORED} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM found) WHERE rank <= 10"
 
 
-def k9_reciprocal_rank_fusion(spark, sf):
-    """Sources' lists fused by each document's place, ten best."""
-    each = k.top_n(scored(spark, sf), ["query_id", "source_id"], 10)
-    lists = each.select("query_id", F.col("source_id").alias("list_id"), "doc_id", (F.col("rank") - 1).alias("position"))
-    return k.top_n(k.reciprocal_rank_fusion(lists), ["query_id"], 10)
+def k9_rank_fusion(spark, sf):
+    """Sources' ten nearest by squared distance, fused over all lists by each text's last place; and plainly, without fusion."""
+    docs = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("shard").alias("source_id"), "vec")
+    d = F.round(F.aggregate(F.zip_with("vec", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 6)
+    each = docs.crossJoin(r.small(topics(spark, sf).withColumnRenamed("vec", "q"))).select("query_id", "source_id", "doc_id", d.alias("distance"))
+    lists = k.top_n(each, ["query_id", "source_id"], 10, [F.col("distance"), F.col("doc_id")]).withColumn("text", F.concat(F.lit("text "), F.floor(F.col("doc_id") / 3).cast("string")))
+    fused, plain = (k.reciprocal_rank_fusion(lists, 10, n).withColumn("k", F.lit(n)) for n in (60, 0))
+    return fused.unionByName(plain)
 
 
-K9 = f"""WITH {SCORED}, each AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, doc_id) - 1 AS position FROM found QUALIFY position < 10),
-f AS (SELECT query_id, doc_id, round(1.0::DOUBLE / (max(position) + 61), 9) AS score FROM each GROUP BY query_id, doc_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10"""
+K9 = f"""WITH {SCORED}, far AS (SELECT query_id, e.vec_id AS doc_id, (e.vec_id % 12)::INT AS source_id, round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(e.embedding::DOUBLE[], a.q)]), 6) AS d FROM embeddings e, asked a),
+each AS (SELECT *, sha256('text ' || (doc_id // 3)) AS key FROM far QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY d, doc_id) <= 10),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) - 1 AS position FROM each), f AS (SELECT query_id, key, round(1.0::DOUBLE / (max(position) + 61), 9) AS score FROM placed GROUP BY query_id, key)
+SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank, 60 AS k FROM f QUALIFY rank <= 10
+UNION ALL SELECT query_id, key, (-position)::DOUBLE, (position + 1)::INT, 0 FROM placed WHERE position < 10"""
 
 
 def k16_inversion(spark, sf):
@@ -73,89 +82,82 @@ def k16_inversion(spark, sf):
 K16 = f"WITH {SCORED} SELECT f.doc_id, f.query_id AS guess, f.score, e.label = f.query_id AS \"right\" FROM found f JOIN embeddings e ON e.vec_id = f.doc_id QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY f.score DESC, f.query_id) = 1"
 
 
-def source_terms(spark, sf):
-    """Questions by source: its five most frequent long words, on its own documents as the pool."""
-    d = read(spark, sf, "documents")
-    words = d.select("source", F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("w")).where(F.length("w") >= 6).groupBy("source", "w").agg(F.count("*").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "w"))).where("r <= 5")
-    return top.groupBy(F.col("source").alias("query_id")).agg(F.array_sort(F.collect_list("w")).alias("terms"))
+def source_questions(spark, sf):
+    """One benchmark passage per source as its question: query_id (the source), text, terms."""
+    b = read(spark, sf, "benchmark").where("item_id < 20")
+    return b.select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("query_id"), "text", t.tokens(F.col("text")).alias("terms"))
 
 
-def bm25_scores(spark, sf):
-    pool = read(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", "text")
-    return k.bm25(pool, source_terms(spark, sf))
+def source_pool(spark, sf):
+    return read(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", "text")
 
 
 def k4_bm25(spark, sf):
-    """Okapi scores of all documents for their source's terms."""
-    return bm25_scores(spark, sf)
+    """Okapi scores of all documents for their source's question, with each source's statistics."""
+    return k.bm25(k.bm25_counts(source_pool(spark, sf), source_questions(spark, sf)))
 
 
-BM25 = """words AS (SELECT doc_id, source AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents),
+_STOP = ", ".join(f"'{w}'" for w in t.LEXICAL_STOPWORDS)
+BM25 = f"""words AS (SELECT doc_id, source AS query_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS t FROM documents),
 lens AS (SELECT doc_id, query_id, len(t) AS len FROM words), stats AS (SELECT query_id, count(*) AS n, avg(len) AS avg_len FROM lens GROUP BY query_id),
 flat AS (SELECT doc_id, query_id, unnest(t) AS term FROM words),
-terms AS (SELECT query_id, term FROM (SELECT query_id, term, count(DISTINCT doc_id) AS n FROM flat WHERE length(term) >= 6 GROUP BY query_id, term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) <= 5),
+terms AS (SELECT DISTINCT 'src' || item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM benchmark WHERE item_id < 20),
 tf AS (SELECT f.query_id, f.doc_id, f.term, count(*) AS tf FROM flat f JOIN terms USING (query_id, term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
 part AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / coalesce(nullif(avg_len, 0), 1)))) AS bm25 FROM tf JOIN df USING (query_id, term) JOIN lens USING (query_id, doc_id) JOIN stats USING (query_id) GROUP BY query_id, doc_id),
 bm25 AS (SELECT query_id, doc_id, round(coalesce(bm25, 0)::DOUBLE, 6) AS bm25 FROM lens LEFT JOIN part USING (query_id, doc_id))"""
 K4 = f"WITH {BM25} SELECT query_id, doc_id, bm25 FROM bm25"
 
 
-def k6_hybrid(spark, sf):
-    """Length-based similarity and Okapi scores as summed z-scores, five best of each source."""
-    d = read(spark, sf, "documents").select("doc_id", F.round(1 / (1 + F.col("n_chars") / 1000), 6).alias("cosine"))
-    return k.top_n(k.hybrid(bm25_scores(spark, sf).join(d, "doc_id")), ["query_id"], 5).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+def hashed_questions(spark, sf):
+    """Questions as counts of hashed words, an array by bucket."""
+    n = v.hashed_features(source_questions(spark, sf), "query_id", "text")
+    full = n.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"))
+    return full.select("query_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("q"))
 
 
-K6 = f"""WITH {BM25}, p AS (SELECT b.*, round(1 / (1 + n_chars / 1000.0::DOUBLE), 6) AS cosine FROM bm25 b JOIN documents USING (doc_id)),
-z AS (SELECT query_id, doc_id, CASE WHEN count(*) OVER w < 2 THEN cosine ELSE
-  CASE WHEN stddev_pop(cosine) OVER w <= 1e-12 THEN 0 ELSE (cosine - avg(cosine) OVER w) / stddev_pop(cosine) OVER w END + 0.5 * CASE WHEN stddev_pop(bm25) OVER w <= 1e-12 THEN 0 ELSE (bm25 - avg(bm25) OVER w) / stddev_pop(bm25) OVER w END END AS score FROM p WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, doc_id, round(round(score, 6), 4) AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 5"""
+def hybrid_pool(spark, sf):
+    """Documents with the cosine of their hashed words and their Okapi score for their source's question."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+    q = hashed_questions(spark, sf)
+    pool = source_pool(spark, sf).join(r.small(q), "query_id", "left").withColumn("cosine", F.round(F.coalesce(k.hashed_cosine(words, F.coalesce("q", F.array_repeat(F.lit(0.0), 256))), F.lit(0.0)), 6))
+    return k.bm25(k.bm25_counts(pool, source_questions(spark, sf), "cosine"), "cosine")
 
 
-def v6_feature_hashing(spark, sf):
-    f = v.hashed_features(read(spark, sf, "documents"), "doc_id", "text")
-    return f.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+HYBRID = f"""{BM25}, toks AS (SELECT doc_id, source AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), dn AS (SELECT doc_id, query_id, (('0x' || substr(sha256('m:' || w), 1, 8))::BIGINT % 256)::INT AS b, count(*)::DOUBLE AS n FROM toks GROUP BY ALL),
+qn AS (SELECT query_id, (('0x' || substr(sha256('m:' || w), 1, 8))::BIGINT % 256)::INT AS b, count(*)::DOUBLE AS n FROM (SELECT 'src' || item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id < 20) GROUP BY ALL),
+ql AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM qn GROUP BY query_id), dl AS (SELECT doc_id, query_id, sqrt(sum(n * n)) AS l FROM dn GROUP BY ALL), dots AS (SELECT doc_id, sum(dn.n * qn.n) AS dot FROM dn JOIN qn USING (query_id, b) GROUP BY doc_id),
+p AS (SELECT b.query_id, b.doc_id, bm25, round(coalesce(dot / dl.l / ql.l, 0), 6) AS cosine FROM bm25 b LEFT JOIN dots USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN ql ON ql.query_id = b.query_id),
+z AS (SELECT query_id, doc_id, cosine, round(CASE WHEN count(*) OVER w < 2 THEN cosine ELSE
+  CASE WHEN stddev_pop(cosine) OVER w <= 1e-12 THEN 0 ELSE (cosine - avg(cosine) OVER w) / stddev_pop(cosine) OVER w END + 0.5 * CASE WHEN stddev_pop(bm25) OVER w <= 1e-12 THEN 0 ELSE (bm25 - avg(bm25) OVER w) / stddev_pop(bm25) OVER w END END, 6) AS score FROM p WINDOW w AS (PARTITION BY query_id))"""
 
 
-V6 = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
-b AS (SELECT doc_id, (('0x' || substr(sha256('m:' || t), 1, 8))::BIGINT % 256)::INT AS bucket, count(*) AS n FROM w GROUP BY ALL)
-SELECT bucket, count(*) AS docs, sum(n)::BIGINT AS n FROM b GROUP BY bucket"""
+def k6_hybrid(spark, sf):
+    """Summed z-scores of cosine and Okapi score of every document for its source's question."""
+    return k.hybrid(hybrid_pool(spark, sf)).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-def d2_redact(spark, sf):
-    """How often each identifier occurs, by source, and what the redacted texts are."""
-    d = read(spark, sf, "documents")
-    n = t.redaction_counts(F.col("text"))
-    return d.select("source", *(c.alias(f"n_{k.lower()}") for k, c in n.items()), F.length(t.redact(F.col("text"))).alias("left")).groupBy("source").agg(*(F.sum(f"n_{k.lower()}").alias(f"n_{k.lower()}") for k in n), F.sum("left").alias("chars_left"))
+K6 = f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 4) AS score FROM z"
 
 
-def _redact_sql() -> str:
-    steps, last = [], "SELECT source, text AS t0 FROM documents"
-    for i, (label, pattern, mark) in enumerate(t.IDENTIFIERS):
-        q = pattern.replace("'", "''")
-        keep = ", ".join(["source", *(f"n_{x.lower()}" for x, _, _ in t.IDENTIFIERS[:i])])
-        last = f"SELECT {keep}, len(regexp_extract_all(t{i}, '{q}')) AS n_{label.lower()}, regexp_replace(t{i}, '{q}', '{mark}', 'g') AS t{i + 1} FROM ({last})"
-    sums = ", ".join(f"sum(n_{x.lower()})::BIGINT AS n_{x.lower()}" for x, _, _ in t.IDENTIFIERS)
-    return f"SELECT source, {sums}, sum(length(t{len(t.IDENTIFIERS)}))::BIGINT AS chars_left FROM ({last}) GROUP BY source"
+def k7_hybrid_rerank(spark, sf):
+    """Five best documents of each source by the hybrid score, and by cosine alone (weight 0)."""
+    pool = hybrid_pool(spark, sf)
+    parts = [k.top_n(k.hybrid(pool, w), ["query_id"], 5).select(F.lit(w).alias("weight"), "query_id", "doc_id", "rank") for w in (0.5, 0.0)]
+    return parts[0].unionByName(parts[1])
 
 
-def d15_placeholders(spark, sf):
-    d = read(spark, sf, "documents")
-    return d.select("doc_id", F.md5(t.strip_placeholders(t.redact(F.col("text")))).alias("digest"))
+K7 = f"""WITH {HYBRID} SELECT 0.5::DOUBLE AS weight, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM z QUALIFY rank <= 5
+UNION ALL SELECT 0.0::DOUBLE, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id)::INT AS rank FROM z QUALIFY rank <= 5"""
 
 
-def _placeholder_sql() -> str:
-    x = "text"
-    for _, pattern, mark in t.IDENTIFIERS:
-        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
-    return f"SELECT doc_id, md5(regexp_replace({x}, '\\[(EMAIL|URL|IP|SSN|DATE|AGE|PHONE|CARD|NAME)\\]', ' ', 'g')) AS digest FROM documents"
+def v6_feature_hashing(spark, sf):
+    f = v.hashed_features(read(spark, sf, "documents"), "doc_id", "text")
+    return f.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
 
 
-def d5_cards_and_names(spark, sf):
-    """Replacements that depend on the match: card numbers with a right check digit, titled names."""
-    d = read(spark, sf, "documents").select("doc_id", t.redact_names(t.redact_cards(F.col("text"))).alias("text"))
-    return d.select("doc_id", F.regexp_count("text", F.lit(r"\[CARD\]")).alias("cards"), F.regexp_count("text", F.lit(r"\[NAME\]")).alias("names"))
+V6 = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
+b AS (SELECT doc_id, (('0x' || substr(sha256('m:' || t), 1, 8))::BIGINT % 256)::INT AS bucket, count(*) AS n FROM w GROUP BY ALL)
+SELECT bucket, count(*) AS docs, sum(n)::BIGINT AS n FROM b GROUP BY bucket"""
 
 
 def c7_topics(spark, sf):
@@ -164,10 +166,10 @@ def c7_topics(spark, sf):
 
 def _topics_sql() -> str:
     x = "text"
-    for _, pattern, mark in t.IDENTIFIERS:
-        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
-    x = f"lower(regexp_replace({x}, '\\[(EMAIL|URL|IP|SSN|DATE|AGE|PHONE|CARD|NAME)\\]', ' ', 'g'))"
-    stop = ", ".join(f"'{w}'" for w in t.STOPWORDS)
+    for pattern, mark in ((d.EMAIL, "[REDACTED_EMAIL]"), (d.SSN, "[REDACTED_ID]"), (d.PHONE_WIDE, "[REDACTED_PHONE]")):
+        x = f"regexp_replace({x}, '{re2(pattern)}', '{mark}', 'g')"
+    x = f"lower(regexp_replace({x}, '{d.PLACEHOLDERS}', ' ', 'g'))"
+    stop = ", ".join(f"'{w}'" for w in t.TOPIC_STOPWORDS)
     return f"""topics AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY df DESC, term)::INT AS rank, term, df FROM (
   SELECT source, term, count(*) AS df FROM (SELECT DISTINCT source, doc_id, term FROM (SELECT source, doc_id, unnest(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents))
   WHERE regexp_full_match(term, '[a-z]{{3,}}') AND term NOT IN ({stop}) GROUP BY source, term) QUALIFY rank <= 16)"""
@@ -202,17 +204,35 @@ SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(
 
 
 def d21_answers(spark, sf):
-    return read(spark, sf, "conversations").where("role = 'assistant'").groupBy(t.answer_letter(F.col("text")).alias("letter")).agg(F.count("*").alias("n"))
+    """Answer letters of assistants' turns, among all four options and among two."""
+    x = read(spark, sf, "conversations").where("role = 'assistant'").select(t.answer_letter(F.col("text")).alias("letter"), t.answer_letter(F.col("text"), ["A", "C"]).alias("among"))
+    return x.groupBy("letter", "among").agg(F.count("*").alias("n"))
+
+
+_TRIM = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+_FIRST = f"regexp_extract({_TRIM} || ' ', '^\\(?([A-D])\\)?[.):\\s]', 1)"
+D21 = f"""WITH a AS (SELECT {_FIRST} AS f, regexp_extract_all({_TRIM}, '\\b([A-D])\\b', 1) AS l FROM conversations WHERE role = 'assistant')
+SELECT CASE WHEN f <> '' THEN f ELSE l[1] END AS letter, CASE WHEN f IN ('A', 'C') THEN f ELSE list_filter(l, lambda x: x IN ('A', 'C'))[1] END AS among, count(*) AS n FROM a GROUP BY ALL"""
+
+
+def d21_prompts(spark, sf):
+    """Prompts with options, and with a conversation's turns as numbered passages."""
+    turns = read(spark, sf, "conversations")
+    by = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("all"))
+    one = by.select("conv_id", t.choice_prompt(F.get("all", F.lit(0)), F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.lit("yes"))).alias("a"), t.passage_prompt(F.get("all", F.lit(0)), F.slice("all", 2, 1000)).alias("b"))
+    return one.select("conv_id", F.md5("a").alias("choice"), F.md5("b").alias("passages"))
 
 
-D21 = r"SELECT nullif(regexp_extract(upper(text), '\b([A-E])\b', 1), '') AS letter, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1"
+D21_PROMPTS = f"""WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, x[1] AS q, array_to_string([('[' || i || '] ' || y) FOR y, i IN x[2:1001]], chr(10)) AS l FROM t)
+SELECT conv_id, md5(q || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || chr(10) || 'Choose the best option. Reply with the single option letter only.') AS choice,
+  md5('{t.PROMPT[0].replace("'", "''").split(chr(10))[0]}' || chr(10) || chr(10) || 'Question: ' || q || chr(10) || chr(10) || 'Passages:' || chr(10) || CASE WHEN l = '' THEN '(none returned)' ELSE l END || chr(10) || chr(10) || 'Answer:') AS passages FROM p"""
 
 
 def d17_exposed(spark, sf):
-    """Benchmark passages that documents hold: a stated list of passages against all documents."""
-    b = read(spark, sf, "benchmark").select("item_id", F.lower("text").alias("passage"))
-    d = read(spark, sf, "documents").select("source", F.lower("text").alias("body"))
-    hit = d.crossJoin(F.broadcast(b)).where(F.contains("body", "passage")) if b.count() <= 10_000 else d.join(b, F.contains("body", "passage"))
+    """Benchmark passages that documents hold, by source."""
+    d, b = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    hit = k.passages_held(d.select("doc_id", "text"), b).join(d.select("doc_id", "source"), "doc_id")
     return hit.groupBy("source").agg(F.count("*").alias("pairs"), F.countDistinct("item_id").alias("items"))
 
 
@@ -231,7 +251,7 @@ def c1_kmeans(spark, sf):
 
 def c10_nearest(spark, sf):
     """Each vector's nearest topic mean by Euclidean distance."""
-    e = vectors(spark, sf).select("vec_id", "vec").crossJoin(F.broadcast(topics(spark, sf).withColumnRenamed("vec", "q")))
+    e = vectors(spark, sf).select("vec_id", "vec").crossJoin(r.small(topics(spark, sf).withColumnRenamed("vec", "q")))
     far = F.round(F.aggregate(F.zip_with("vec", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), 6)
     near = e.select("vec_id", "query_id", far.alias("d")).groupBy("vec_id").agg(F.min(F.struct("d", "query_id")).alias("m"))
     return near.select("vec_id", F.col("m.query_id").alias("cluster"), F.col("m.d").alias("distance"))
@@ -241,13 +261,30 @@ C10 = f"WITH {SCORED} SELECT vec_id, query_id AS cluster, d AS distance FROM (SE
 
 
 def c9_partition(spark, sf):
-    """Documents of each source in five near-equal parts, in hash order."""
+    """Documents of each source dealt to five near-equal parts in hash order, the first ones one larger."""
     d = read(spark, sf, "documents").select("source", "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    part = F.ntile(5).over(Window.partitionBy("source").orderBy("h"))
-    return d.select("source", part.alias("part")).groupBy("source", "part").agg(F.count("*").alias("n"))
+    placed = rank_by_hash(d, ["source"], "h").join(r.small(d.groupBy("source").agg(F.count("*").alias("n"))), "source")
+    return placed.select("source", "doc_id", tile(F.col("place"), F.col("n"), 5).alias("part"))
+
+
+C9 = "SELECT source, doc_id, ntile(5) OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR))::INT AS part FROM documents"
+
+
+def c11_dirichlet(spark, sf):
+    """Documents of each language spread over eight clients with uneven proportions; shares are near those drawn."""
+    d = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("topic"))
+    return c.dirichlet_partition(d, 8, 0.5, seed=11).groupBy("topic", "client").agg(F.count("*").alias("n"))
+
+
+def c6_profiles(spark, sf):
+    """What each shard publishes: k-means centroids with noise, and a coarse document count."""
+    docs = vectors(spark, sf).select(F.col("shard").alias("source_id"), F.col("vec_id").alias("doc_id"), "vec")
+    made = v.perturb(c.kmeans_profiles(docs, 3), "vec", 0.01, 5, "source_id", "centroid_ix")
+    n = docs.groupBy("source_id").agg(F.count("*").alias("n")).select("source_id", count_bucket(F.col("n")).alias("bucket"))
+    return made.groupBy("source_id").agg(F.count("*").alias("centroids"), F.sum("members").alias("members"), F.max(F.size("vec")).alias("width")).join(r.small(n), "source_id")
 
 
-C9 = "SELECT source, part, count(*) AS n FROM (SELECT source, ntile(5) OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR))::INT AS part FROM documents) GROUP BY source, part"
+C6 = """SELECT (vec_id % 12)::INT AS source_id, least(3, count(*)) AS centroids, count(*) AS members, max(len(embedding))::INT AS width, CASE WHEN count(*) <= 100 THEN '1-100' WHEN count(*) <= 1000 THEN '101-1000' WHEN count(*) <= 10000 THEN '1001-10000' WHEN count(*) <= 100000 THEN '10001-100000' ELSE '100000+' END AS bucket FROM embeddings GROUP BY 1"""
 
 
 def c12_centroid_leak(spark, sf):
@@ -260,10 +297,10 @@ def c12_centroid_leak(spark, sf):
 C12 = f"WITH {SCORED}, s AS (SELECT query_id, max(score) AS near FROM found GROUP BY query_id), n AS (SELECT label AS query_id, count(*) AS n FROM embeddings GROUP BY label) SELECT count(*) AS clusters, min(n) AS smallest, round(avg((n = 1)::INT), 6) AS single, round(avg((near > 0.95)::INT), 6) AS leaky FROM s JOIN n USING (query_id)"
 
 QUERIES = {
-    "k1_retrieve": (k1_retrieve, K1), "k4_bm25": (k4_bm25, K4), "k6_hybrid": (k6_hybrid, K6), "k9_rank_fusion": (k9_reciprocal_rank_fusion, K9), "k11_server_fusion": (k11_server_fusion, K11), "k12_centralized": (k12_centralized, K12),
-    "k16_inversion": (k16_inversion, K16), "v6_feature_hashing": (v6_feature_hashing, V6), "d2_redact": (d2_redact, _redact_sql()), "d15_placeholders": (d15_placeholders, _placeholder_sql()), "d5_cards_and_names": (d5_cards_and_names, None),
+    "k1_retrieve": (k1_retrieve, K1), "k4_bm25": (k4_bm25, K4), "k6_hybrid": (k6_hybrid, K6), "k7_hybrid_rerank": (k7_hybrid_rerank, K7), "k9_rank_fusion": (k9_rank_fusion, K9), "k11_server_fusion": (k11_server_fusion, K11), "k12_centralized": (k12_centralized, K12),
+    "k16_inversion": (k16_inversion, K16), "v6_feature_hashing": (v6_feature_hashing, V6),
     "c7_topics": (c7_topics, f"WITH {_topics_sql()} SELECT source, rank, term, df FROM topics"),
     "c8_descriptions": (c8_descriptions, f"WITH {_topics_sql()} SELECT source, 'Collection topics: ' || string_agg(term, ', ' ORDER BY rank) || '.' AS description FROM topics GROUP BY source"),
-    "c15_common_words": (c15_common_words, C15), "c16_session_chunks": (c16_session_chunks, None), "d20_term_recovery": (d20_term_recovery, D20), "d21_answers": (d21_answers, D21), "d17_exposed": (d17_exposed, D17),
-    "c4_cluster_index": (c4_cluster_index, None), "c1_kmeans": (c1_kmeans, None), "c9_partition": (c9_partition, C9), "c10_nearest": (c10_nearest, C10), "c12_centroid_leak": (c12_centroid_leak, C12),
+    "c15_common_words": (c15_common_words, C15), "c16_session_chunks": (c16_session_chunks, None), "d20_term_recovery": (d20_term_recovery, D20), "d21_answers": (d21_answers, D21), "d21_prompts": (d21_prompts, D21_PROMPTS), "d17_exposed": (d17_exposed, D17),
+    "c4_cluster_index": (c4_cluster_index, None), "c1_kmeans": (c1_kmeans, None), "c9_partition": (c9_partition, C9), "c11_dirichlet": (c11_dirichlet, None), "c6_profiles": (c6_profiles, C6), "c10_nearest": (c10_nearest, C10), "c12_centroid_leak": (c12_centroid_leak, C12),
 }

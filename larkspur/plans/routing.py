@@ -54,7 +54,8 @@ def with_base(sql: str) -> str:
 
 
 def scored(spark, sf):
-    return r.centroid_scores(questions(spark, sf), centroids(spark, sf))
+    """All scores of each question in its own row."""
+    return r.centroid_arrays(questions(spark, sf), centroids(spark, sf))
 
 
 def best(spark, sf):
@@ -65,7 +66,7 @@ def v1_cosine(spark, sf):
     """Cosine of each vector with its label's mean."""
     e = vectors(spark, sf)
     mean = v.mean_vectors(e, ["label"]).withColumnRenamed("vec", "mean")
-    return e.join(F.broadcast(mean), "label").select("vec_id", F.round(v.cosine(F.col("vec"), F.col("mean")), 6).alias("cosine"))
+    return e.join(r.small(mean), "label").select("vec_id", F.round(v.cosine(F.col("vec"), F.col("mean")), 6).alias("cosine"))
 
 
 V1 = f"""WITH {BASE}, means AS (SELECT label, list(x ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS x FROM elems GROUP BY label, i) GROUP BY label)
@@ -128,11 +129,13 @@ SELECT c.code, c.n, coalesce(sum(o.n), 0)::BIGINT AS probed FROM codes c LEFT JO
 
 
 def v13_specificity(spark, sf):
-    """1 less the normalised entropy of a question's shifted scores over the sources."""
-    w = Window.partitionBy("query_id")
-    p = best(spark, sf).withColumn("x", F.col("score") - F.min("score").over(w) + 1e-6).withColumn("p", F.col("x") / F.sum("x").over(w))
-    out = p.groupBy("query_id").agg((-F.sum(F.col("p") * F.log("p"))).alias("h"), F.count("*").alias("n"))
-    return out.select("query_id", F.round(F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("h") / F.log("n")), 6).alias("specificity"))
+    """1 less the normalised entropy of a question's shifted scores over the sources, within its row."""
+    s = r.aggregate_arrays(scored(spark, sf)).select("query_id", F.transform("sources", lambda x: x["score"]).alias("s"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    x = s.select("query_id", F.transform("s", lambda y: y - F.array_min("s") + 1e-6).alias("x"))
+    p = x.select("query_id", F.size("x").alias("n"), F.transform("x", lambda y: y / total(F.col("x"))).alias("p"))
+    h = total(F.transform("p", lambda y: y * F.log(y)))
+    return p.select("query_id", F.round(F.when(F.col("n") <= 1, 0.0).otherwise(1 + h / F.log("n")), 6).alias("specificity"))
 
 
 V13 = with_base(""", x AS (SELECT query_id, score - min(score) OVER (PARTITION BY query_id) + 1e-6 AS x FROM best),
@@ -141,9 +144,10 @@ SELECT query_id, round(CASE WHEN count(*) <= 1 THEN 0 ELSE 1 + sum(p * ln(p)) /
 
 
 def v14_irrelevance(spark, sf):
-    w = Window.partitionBy("query_id")
-    span = F.max("score").over(w) - F.min("score").over(w)
-    return best(spark, sf).select("query_id", "source_id", F.round(1 - (F.col("score") - F.min("score").over(w)) / F.when(span == 0, 1.0).otherwise(span), 6).alias("irrelevance"))
+    s = r.aggregate_arrays(scored(spark, sf)).withColumn("s", F.transform("sources", lambda x: x["score"])).withColumns({"low": F.array_min("s"), "high": F.array_max("s")})
+    each = s.select("query_id", "low", "high", F.explode("sources").alias("x"))
+    span = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low"))
+    return each.select("query_id", "x.source_id", F.round(1 - (F.col("x.score") - F.col("low")) / span, 6).alias("irrelevance"))
 
 
 V14 = with_base("""SELECT query_id, source_id, round(1 - (score - min(score) OVER w) / coalesce(nullif(max(score) OVER w - min(score) OVER w, 0), 1), 6) AS irrelevance FROM best WINDOW w AS (PARTITION BY query_id)""")
@@ -198,7 +202,7 @@ def grades(spark, sf):
     """Share of a shard's vectors with the question's label."""
     e = vectors(spark, sf)
     share = e.groupBy("shard", "label").agg(F.count("*").alias("n")).withColumn("grade", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("shard")), 6))
-    return e.select(F.col("vec_id").alias("query_id"), "label").join(F.broadcast(share.select(F.col("shard").alias("source_id"), "label", "grade")), "label").select("query_id", "source_id", "grade")
+    return e.select(F.col("vec_id").alias("query_id"), "label").join(r.small(share.select(F.col("shard").alias("source_id"), "label", "grade")), "label").select("query_id", "source_id", "grade")
 
 
 GRADES = """share AS (SELECT source_id, label, round(n / sum(n) OVER (PARTITION BY source_id), 6) AS grade FROM (SELECT (vec_id % 12)::INT AS source_id, label, count(*) AS n FROM embeddings GROUP BY ALL)),
@@ -221,38 +225,6 @@ def evidence(spark, sf):
 EVIDENCE = "evidence AS (SELECT (user_id % 12)::INT AS source_id, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) * 2, 6) AS trust, count(*) AS observations FROM events GROUP BY 1)"
 
 
-def r6_smart_router(spark, sf):
-    """Greedy gain per cost with redundancy for every question."""
-    mean = v.mean_vectors(vectors(spark, sf), ["shard"]).withColumnRenamed("shard", "source_id")
-    s = r.aggregate_scores(r.centroid_scores(questions(spark, sf), centroids(spark, sf), clip=True)).withColumnRenamed("score", "relevance")
-    known = evidence(spark, sf).withColumn("cost", 1.0 + F.pmod("source_id", F.lit(3)) / 2.0)
-    c = s.join(F.broadcast(known), "source_id", "left").join(F.broadcast(mean), "source_id")
-    c = c.select("query_id", "source_id", "relevance", F.coalesce("trust", F.lit(0.5)).alias("trust"), F.coalesce("observations", F.lit(0)).alias("observations"), F.coalesce("cost", F.lit(1.0)).alias("cost"), "vec")
-    return r.smart_route(c, budget=4.0, max_sources=3)
-
-
-def r8_dispatch(spark, sf):
-    """Trust gate, coarse ranking, re-sort by trust, two genuine and topic-stable decoys."""
-    known = evidence(spark, sf)
-    s = best(spark, sf).join(F.broadcast(known), "source_id", "left").withColumn("trust", F.coalesce("trust", F.lit(0.5))).where("trust >= 0.2")
-    pool = r.rank(s, 6)
-    again = pool.withColumn("again", F.round(F.col("score") + 0.3 * (F.col("trust") - 0.5), 6)).drop("rank")
-    genuine = r.rank(again, 2, [F.desc("again"), F.col("source_id")]).select("query_id", "source_id")
-    topics = vectors(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("label").alias("topic"))
-    return r.add_decoys(genuine, shard_table(spark, sf), topics, 4)
-
-
-R8 = f"""WITH {BASE}, {EVIDENCE},
-gated AS (SELECT b.*, coalesce(e.trust, 0.5) AS trust FROM best b LEFT JOIN evidence e USING (source_id) WHERE coalesce(e.trust, 0.5) >= 0.2),
-pool AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) <= 6),
-genuine AS (SELECT query_id, source_id FROM (SELECT *, round(score + 0.3 * (trust - 0.5), 6) AS again FROM pool) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY again DESC, source_id) <= 2),
-have AS (SELECT query_id, count(*) AS n FROM genuine GROUP BY query_id),
-rest AS (SELECT e.vec_id AS query_id, s.source_id, e.label AS topic, h.n FROM embeddings e JOIN have h ON h.query_id = e.vec_id, (SELECT DISTINCT source_id FROM centroids) s
-  WHERE NOT EXISTS (SELECT 1 FROM genuine g WHERE g.query_id = e.vec_id AND g.source_id = s.source_id))
-SELECT query_id, source_id, 'genuine' AS role FROM genuine
-UNION ALL SELECT query_id, source_id, 'decoy' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256(topic || ':' || source_id)) AS k FROM rest) WHERE k <= 4 - n"""
-
-
 def r11_topic_stable_sample(spark, sf):
     pool = r.broadcast_router(questions(spark, sf), shard_table(spark, sf)).join(vectors(spark, sf).select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     return r.topic_stable_sample(pool, F.col("label"), 3, ["query_id"]).select("query_id", "source_id", "rank")
@@ -329,8 +301,12 @@ SELECT o_custkey, kept, k::INT AS asked, round(spent::DOUBLE, 2) AS spent FROM f
 
 def r22_topic_key(spark, sf):
     """The best centroid of every question as its topic."""
-    top = scored(spark, sf).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("source_id")).alias("s"), (-F.col("centroid_ix")).alias("c"))).alias("t"))
-    return top.select("query_id", F.concat_ws(":", (-F.col("t.s")).cast("string"), (-F.col("t.c")).cast("string")).alias("topic"))
+    return scored(spark, sf).select("query_id", topic_key(F.col("scored")).alias("topic"))
+
+
+def topic_key(scores):
+    each = F.flatten(F.transform(scores, lambda s: F.transform(s["scores"], lambda c: F.struct((-c["score"]).alias("k"), s["source_id"].alias("s"), c["centroid_ix"].alias("c")))))
+    return F.when(F.size(each) > 0, F.concat_ws(":", F.array_min(each)["s"].cast("string"), F.array_min(each)["c"].cast("string"))).otherwise("no-sources")
 
 
 R22 = with_base("SELECT query_id, source_id || ':' || centroid_ix AS topic FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id, centroid_ix) = 1")
@@ -338,10 +314,11 @@ R22 = with_base("SELECT query_id, source_id || ':' || centroid_ix AS topic FROM
 
 def r23_assign_clusters(spark, sf):
     """The two clusters of each source that a question probes, by product with its unit vector."""
-    q = questions(spark, sf).select("query_id", v.normalise(F.col("vec")).alias("qv"))
-    s = q.crossJoin(F.broadcast(centroids(spark, sf))).select("query_id", "source_id", "centroid_ix", F.round(v.dot(F.col("qv"), F.col("vec")), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy(F.desc("score"), "centroid_ix"))
-    return s.withColumn("rank", place).where("rank <= 2")
+    q = questions(spark, sf).select("query_id", v.normalise(F.col("vec")).alias("qv")).crossJoin(F.broadcast(r.published(centroids(spark, sf))))
+    s = q.select("query_id", "qv", F.explode("sources").alias("s"))
+    order = F.array_sort(F.transform("s.centroids", lambda c: F.struct((-F.round(v.dot(F.col("qv"), c["vec"]), 6)).alias("k"), c["centroid_ix"].alias("centroid_ix"))))
+    each = s.select("query_id", F.col("s.source_id").alias("source_id"), F.posexplode(F.slice(order, 1, 2)).alias("p", "c"))
+    return each.select("query_id", "source_id", "c.centroid_ix", (-F.col("c.k")).alias("score"), (F.col("p") + 1).alias("rank"))
 
 
 R23 = with_base(""", s AS (SELECT q.query_id, c.source_id, c.centroid_ix, round(list_inner_product([x / sqrt(list_inner_product(q.vec, q.vec)) FOR x IN q.vec], c.vec), 6) AS score FROM questions q, centroids c)
@@ -388,7 +365,7 @@ def f11_plausibility(spark, sf):
     mean = v.mean_vectors(vectors(spark, sf), ["shard"]).select("shard", v.normalise(F.col("vec")).alias("u"))
     parts = mean.select("shard", F.posexplode("u").alias("pos", "x"))
     total = parts.groupBy("pos").agg(F.sum("x").alias("t"), F.count("*").alias("n"))
-    rest = parts.join(F.broadcast(total), "pos").withColumn("o", (F.col("t") - F.col("x")) / (F.col("n") - 1))
+    rest = parts.join(r.small(total), "pos").withColumn("o", (F.col("t") - F.col("x")) / (F.col("n") - 1))
     out = rest.groupBy("shard").agg((F.sum(F.col("x") * F.col("o")) / F.sqrt(F.sum(F.col("o") * F.col("o")))).alias("c"), F.max("n").alias("n"))
     return out.select(F.col("shard").alias("source_id"), F.round("c", 6).alias("plausibility"), ((F.col("n") > 3) & (F.round("c", 6) >= 0.95)).alias("rejected"))
 
@@ -398,10 +375,13 @@ u AS (SELECT m.shard, i, x / n AS x FROM m JOIN n USING (shard)), o AS (SELECT s
 SELECT shard AS source_id, round(sum(x * o) / sqrt(sum(o * o)), 6) AS plausibility, max(k) > 3 AND round(sum(x * o) / sqrt(sum(o * o)), 6) >= 0.95 AS rejected FROM o GROUP BY shard"""
 
 
+def count_bucket(n):
+    """Coarse document counts: exact ones give a source away."""
+    return F.when(n <= 0, "0").when(n <= 100, "1-100").when(n <= 1000, "101-1000").when(n <= 10000, "1001-10000").when(n <= 100000, "10001-100000").otherwise("100000+")
+
+
 def f12_count_bucket(spark, sf):
-    n = F.col("n")
-    bucket = F.when(n == 0, "0").when(n <= 100, "1-100").when(n <= 1000, "101-1000").when(n <= 10000, "1001-10000").when(n <= 100000, "10001-100000").otherwise("100000+")
-    return read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")).select("source", bucket.alias("bucket"))
+    return read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")).select("source", count_bucket(F.col("n")).alias("bucket"))
 
 
 F12 = "SELECT source, CASE WHEN n = 0 THEN '0' WHEN n <= 100 THEN '1-100' WHEN n <= 1000 THEN '101-1000' WHEN n <= 10000 THEN '1001-10000' WHEN n <= 100000 THEN '10001-100000' ELSE '100000+' END AS bucket FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)"
@@ -418,7 +398,7 @@ QUERIES = {
     "r2_cosine_router": (r2_cosine_router, R2), "v1_cosine": (v1_cosine, V1), "v2_normalise": (v2_normalise, V2), "v4_mean_vector": (v4_mean_vector, with_base(V4)), "v9_quantise": (v9_quantise, V9),
     "v10_fixed_point": (v10_fixed_point, V10), "v11_simhash": (v11_simhash, V11), "v13_specificity": (v13_specificity, V13), "v14_irrelevance": (v14_irrelevance, V14),
     "r1_aggregate_scores": (r1_aggregate_scores, R1), "r2_top_k_zero": (r2_top_k_zero, R2_ALL), "r3_random_router": (r3_random_router, R3), "r4_broadcast_router": (r4_broadcast_router, R4),
-    "r5_oracle_router": (r5_oracle_router, R5), "r6_smart_router": (r6_smart_router, None), "r8_dispatch": (r8_dispatch, R8), "r11_topic_stable_sample": (r11_topic_stable_sample, R11),
+    "r5_oracle_router": (r5_oracle_router, R5), "r11_topic_stable_sample": (r11_topic_stable_sample, R11),
     "r14_build_cells": (supplier_cells, f"WITH {CELLS} SELECT source_id, grp, cell FROM cells"), "r15_cell_cover": (r15_cell_cover, R15), "r18_constraints": (r18_constraints, R18),
     "r21_exposure_budget": (r21_exposure_budget, R21), "r22_topic_key": (r22_topic_key, R22), "r23_assign_clusters": (r23_assign_clusters, R23), "r24_probe_plan": (r24_probe_plan, R24),
     "f2_permitted_collections": (t_access, ACCESS), "f7_exclusion_reasons": (f7_exclusion_reasons, F7), "f11_plausibility": (f11_plausibility, F11), "f12_count_bucket": (f12_count_bucket, F12), "f13_penalised_trust": (f13_penalised, F13),

@@ -24,9 +24,9 @@ def test_rank_keeps_all_for_zero_and_breaks_ties_by_id(spark):
     assert [r["source_id"] for r in routing.rank(s, 0).orderBy("rank").collect()] == [1, 2, 3]
     assert routing.rank(s, 1).count() == 1
     with pytest.raises(ValueError):
-        routing.aggregate_scores(s, "median")
+        routing.aggregate_arrays(s, "median")
     with pytest.raises(ValueError):
-        routing.dispatch("nothing", s, s)
+        routing.dispatch("nothing", s, 1, 1, 1)
     with pytest.raises(ValueError):
         routing.probe_plan(s, s, 0)
 
@@ -39,12 +39,58 @@ def test_skip_greedy_skips_and_protects(spark):
     assert r["kept"] == ["a", "c", "d"] and float(r["spent"]) == pytest.approx(2.9)
 
 
-def test_smart_route_discounts_what_is_alike(spark):
-    rows = [(1, "a", 0.9, 1.0, 10, 1.0, [1.0, 0.0]), (1, "b", 0.85, 1.0, 10, 1.0, [1.0, 0.01]), (1, "c", 0.6, 1.0, 10, 1.0, [0.0, 1.0]), (1, "d", 0.9, 1.0, 10, 5.0, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "query_id int, source_id string, relevance double, trust double, observations int, cost double, vec array<double>")
-    got = [(r["source_id"], r["step"]) for r in routing.smart_route(df, 2.0, 5, redundancy_weight=1.0).orderBy("step").collect()]
-    assert got == [("a", 1), ("c", 2)]
-    assert routing.smart_route(df, 0.5, 5).count() == 0
+def smart(spark, rows, **more):
+    overlap = lambda a, b: max(0.0, float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))))
+    item = [(s, rel, trust, cost, [(o[0], overlap(v, o[4])) for o in rows]) for s, rel, trust, cost, v in rows]
+    df = spark.createDataFrame([(1, item)], "query_id int, sources array<struct<source_id:string,relevance:double,trust:double,cost:double,others:array<struct<source_id:string,overlap:double>>>>")
+    r = routing.smart_route(df, **more).collect()[0]
+    return [p["source_id"] for p in r["picks"]], r["stop_reason"]
+
+
+def test_smart_route_discounts_what_is_alike_and_tells_why_it_ends(spark):
+    rows = [("a", 0.9, 1.0, 1.0, [1.0, 0.0]), ("b", 0.85, 1.0, 1.0, [1.0, 0.01]), ("c", 0.6, 1.0, 1.0, [0.0, 1.0]), ("d", 0.9, 1.0, 5.0, [0.0, 1.0])]
+    assert smart(spark, rows, budget=2.0, max_sources=5, redundancy_weight=1.0) == (["a", "c"], "exposure_budget")
+    assert smart(spark, rows, budget=0.5, max_sources=5) == ([], "exposure_budget")
+    assert smart(spark, rows, budget=9.0, max_sources=1) == (["a"], "max_sources")
+    assert smart(spark, rows, budget=99.0, max_sources=9, redundancy_weight=0.0) == (["a", "b", "c", "d"], "candidates_exhausted")
+    assert smart(spark, rows, budget=99.0, max_sources=9, minimum_gain=0.95) == ([], "insufficient_gain")
+    assert smart(spark, rows, budget=99.0, max_sources=9, policy="relative", score_floor=0.8) == (["a", "b"], "relative_score_floor")
+    assert smart(spark, [], budget=1.0, max_sources=2) == ([], "no_eligible_sources")
+    with pytest.raises(ValueError):
+        smart(spark, rows, budget=1.0, max_sources=1, policy="none")
+
+
+def sent(spark, sources, **more):
+    df = spark.createDataFrame([(1, "t", sources)], "query_id int, topic string, sources array<struct<source_id:string,score:double,trust:double,cost:double,cell:int,members:array<string>,cell_cost:double>>")
+    r = routing.select_dispatch(df, **more).collect()[0]
+    return [(x["source_id"], x["role"]) for x in r["sent"]], {x["source_id"]: x["reason"] for x in r["excluded"]}, r["stop_reason"]
+
+
+def test_dispatch_reasons_and_their_precedence(spark):
+    one = [("a", 0.9, 0.5, 1.0, 0, ["a", "c"], 2.0), ("b", 0.8, 0.5, 3.0, 1, ["b"], 3.0), ("c", 0.7, 0.5, 1.0, 0, ["a", "c"], 2.0), ("d", 0.6, 0.1, 1.0, None, None, None)]
+    more = {"coarse_k": 0, "genuine_k": 2, "max_sources": 3, "budget": 2.0, "minimum_trust": 0.2}
+    assert sent(spark, one, **more) == ([("a", "genuine"), ("c", "genuine")], {"d": "insufficient_trust", "b": "exposure_budget"}, "exposure_budget")
+    assert sent(spark, one, **{**more, "max_sources": 2})[2] == "max_sources"
+    assert sent(spark, one, **{**more, "max_sources": 0})[::2] == ([], "max_sources_zero")
+    assert sent(spark, [], **more) == ([], {}, "no_candidates")
+    assert sent(spark, one, **{**more, "minimum_trust": 0.9})[2] == "no_eligible_sources"
+    assert sent(spark, one, **{**more, "budget": 9.0, "max_sources": 9})[2] == "candidates_exhausted"
+    low = [(s, x, 0.9 if s == "c" else t, *z) for s, x, t, *z in one]
+    assert sent(spark, low, **{**more, "genuine_k": 1, "max_sources": 1, "trust_weight": 1.0})[0] == [("c", "genuine")]
+    assert sent(spark, one, **{**more, "decoys": "cells", "max_sources": 4}) == ([("a", "genuine"), ("c", "genuine")], {"d": "insufficient_trust", "b": "exposure_budget"}, "exposure_budget")
+    assert sent(spark, one, **{**more, "decoys": "cells", "genuine_k": 1, "max_sources": 4})[0] == [("a", "genuine"), ("c", "decoy")]
+    assert sent(spark, one, **{**more, "decoys": "cells", "minimum_trust": 0.0, "budget": 9.0, "genuine_k": 4, "max_sources": 9})[1] == {"d": "no_cell"}
+    with pytest.raises(ValueError):
+        sent(spark, one, **{**more, "decoys": "none"})
+
+
+def test_beyond_the_broadcast_bound_the_scores_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    q = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(20)], "query_id int, vec array<double>")
+    c = spark.createDataFrame([(s, k, rng.standard_normal(4).tolist()) for s in range(6) for k in range(3)], "source_id int, centroid_ix int, vec array<double>")
+    near = sorted(map(tuple, routing.cosine_router(q, c, "max", 2).collect()))
+    monkeypatch.setattr(routing, "BROADCAST_CENTROIDS", 4)
+    assert sorted(map(tuple, routing.cosine_router(q, c, "max", 2).collect())) == near
 
 
 def test_feedback_moves_trust(spark):
@@ -93,22 +139,59 @@ def test_clusters_are_whole_and_not_too_small(spark):
     assert ids == list(range(len(ids))) and got.loc[got["collection"] == "public", "cluster_id"].max() < got.loc[got["collection"] == "clinical", "cluster_id"].min()
 
 
+@pytest.mark.parametrize("spherical", [True, False])
+def test_large_sources_get_the_clusters_that_small_ones_get(spark, monkeypatch, spherical):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i % 2}", "public" if i % 3 else "clinical", i, (rng.standard_normal(6) + 3 * np.eye(6)[i % 6]).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "source_id string, collection string, doc_id int, vec array<double>")
+    run = (lambda: clusters.cluster_index(df)) if spherical else (lambda: clusters.kmeans_profiles(df, 5).select("source_id", "centroid_ix", "members", F.round(F.element_at("vec", 1), 9)))
+    here = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(clusters, "LOCAL", 0)
+    monkeypatch.setattr(clusters, "BLOCK", 64)
+    assert sorted(map(tuple, run().collect())) == here
+    if not spherical:
+        assert all(sum(r[2] for r in here if r[0] == s) == 350 and sum(r[0] == s for r in here) == 5 for s in ("s0", "s1"))
+
+
+def test_rounds_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 4))
+    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "source_id string, doc_id int, vec array<double>")
+    order = [r["doc_id"] for r in df.select("doc_id", F.xxhash64(F.lit(0), "doc_id").alias("h")).orderBy("h").collect()]
+    centre = x[order[:3]]
+    for _ in range(50):
+        own = np.array([min(range(3), key=lambda c: ((v - centre[c]) ** 2).sum()) for v in x])
+        centre = np.array([x[own == c].mean(axis=0) if (own == c).any() else centre[c] for c in range(3)])
+    got = clusters.kmeans_profiles(df, 3).orderBy("centroid_ix").collect()
+    assert np.allclose([r["vec"] for r in got], centre) and [r["members"] for r in got] == np.bincount(own, minlength=3).tolist()
+
+
+def test_small_clusters_join_their_nearest():
+    total = np.array([[10.0, 0.0], [0.0, 1.0], [0.9, 0.1], [0.0, 6.0]])
+    assert clusters._absorb(total, np.array([10, 1, 1, 6]), 3).tolist() == [0, 1, 0, 1]
+    assert clusters._absorb(total, np.array([10, 0, 1, 6]), 1).tolist() == [0, -1, 1, 2]
+    assert clusters._absorb(total[:1], np.array([1]), 5).tolist() == [0]
+
+
 def test_bootstrap_finds_a_shift(spark):
     rng = np.random.default_rng(1)
-    a = rng.random(500)
+    a = rng.random(500) + 0.5
     df = spark.createDataFrame([(i, float(x) + 0.05, float(x) + float(e)) for i, (x, e) in enumerate(zip(a, rng.normal(0, 0.05, 500), strict=True))], "unit int, a double, b double")
     r = clusters.paired_bootstrap(df, 400).collect()[0]
-    assert r["low"] < 0.05 < r["high"] and r["low"] > 0 and r["p"] < 0.05
+    assert r["low"] < 0.05 < r["high"] and r["low"] > 0 and r["p"] < 0.05 and 1 < r["ratio_low"] < r["ratio"] < r["ratio_high"] and r["n"] == 500
+    assert clusters.paired_bootstrap(df.select("unit", "a", F.col("a").alias("b")), 50).collect()[0]["p"] == 1
+    with pytest.raises(ValueError):
+        clusters.paired_bootstrap(df.select("unit", "a", F.lit(None).cast("double").alias("b")))
 
 
-def test_redaction_literals(spark):
-    x = "Dr. Jane Roe, jane@x.org, call 555-123-4567 on 3/4/2019, card 4111 1111 1111 1111, not 4111 1111 1111 1112. Dr. The end"
-    df = spark.createDataFrame([(x,)], "text string")
-    r = df.select(t.redact_names(t.redact_cards(F.col("text"))).alias("a"), t.redact(F.col("text")).alias("b"), t.redact_registry(F.lit("roe, jane saw J. Roe and Jane Roesner"), ["Jane Roe"]).alias("c")).collect()[0]
-    assert "Dr [NAME]" in r["a"] and "[CARD]" in r["a"] and "1112" in r["a"] and "Dr. The" in r["a"]
-    assert "[EMAIL]" in r["b"] and "[PHONE]" in r["b"] and "[DATE]" in r["b"]
-    assert r["c"] == "[NAME] saw [NAME] and Jane Roesner"
-    assert t.luhn("4111111111111111") and not t.luhn("4111111111111112")
+def test_dirichlet_partition_is_whole_and_uneven(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("topic"))
+    got = clusters.dirichlet_partition(df, 4, 0.3, seed=1).groupBy("topic", "client").count().collect()
+    assert sum(r["count"] for r in got) == 6000 and all(0 <= r["client"] < 4 for r in got)
+    shares = [max(r["count"] for r in got if r["topic"] == t) / 2000 for t in range(3)]
+    assert max(shares) > 0.5
+    even = clusters.dirichlet_partition(df, 4, 1e6, seed=1).groupBy("topic", "client").count().collect()
+    assert len(even) == 12 and all(400 < r["count"] < 600 for r in even)
 
 
 def test_chunks_recovery_and_letters(spark):
