@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -13,19 +14,26 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, shared_dir, staged
 
-#: Vectors that a bucket of the first graph should hold; larger ones are split, and the descent joins their parts.
-BUCKET, LARGEST = 48, 512
-#: Chance that a pair at the threshold shares none of the first graph's buckets.
-MISS = 2e-4
-#: Neighbours that a vector keeps, at first and at most; the exact counts don't depend on it.
-NEIGHBOURS, MOST_NEIGHBOURS, ROUNDS = 8, 64, 6
-#: Vectors of the audit, and the recall that it asks for.
-AUDIT, RECALL = 256, 0.995
-#: Vectors of one block of the exact counts.
-BLOCK = 1024
+#: Coarse buckets that the descent starts from: tables, vectors that a bucket should hold, the size from which one is
+#: split, and neighbours that a vector takes from a bucket.
+TABLES, BUCKET, LARGEST, FROM_BUCKET = 4, 48, 512, 8
+#: Length of the neighbour lists at first and at most; vectors whose lists stay full are compared exactly (close_gaps).
+NEIGHBOURS, MOST_NEIGHBOURS = 16, 64
+#: Candidates that one neighbourhood offers to each member's list, and rounds of the descent.
+OFFERS, ROUNDS = 2, 14
+#: Share of the list entries that still changes when the descent ends.
+SETTLED = 0.001
+#: Tries with more tables and longer lists, vectors of the audit, and the recall that it asks for.
+TRIES, AUDIT, RECALL = 3, 512, 0.998
+#: What half-precision cosines may be off by.
+ROUGH = 0.01
+#: Vectors of one block of the exact counts, and rows that share one salted key.
+BLOCK, SALTED = 512, 50_000
 #: Vectors of one block when gaps are closed, and the fewest blocks that share the work.
 GAP_BLOCK, GAP_BLOCKS = 16384, 8
 
+log = logging.getLogger(__name__)
+
 
 def _unit(packed: pd.Series) -> np.ndarray:
     """Packed float64 vectors as unit rows."""
@@ -33,6 +41,12 @@ def _unit(packed: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """A vector scaled by a power of two, so that no square overflows or vanishes and the cosines stay as they are."""
+    x = np.asarray(v, "<f8")
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes()
+
+
 def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """One row per different usable vector: rep (smallest id), n (rows that have it), x (packed doubles).
 
@@ -41,7 +55,7 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "x": [np.asarray(v, "<f8").tobytes() for v in frame["v"]]})
+            yield pd.DataFrame({"id": frame["id"], "x": [_packed(v) for v in frame["v"]]})
 
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -49,15 +63,12 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInPandas(pack, "id long, x binary").groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
 
 
-def first_graph(vectors: DataFrame, n: int, width: int, threshold: float, floor: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Neighbours (a, b, cosine >= floor) that meet in buckets of random hyperplanes, and the vectors (rep) of split buckets.
+def coarse_start(vectors: DataFrame, n: int, width: int, tables: int, seed: int) -> DataFrame:
+    """Directed neighbours (u, v, c) that meet in a few buckets of random hyperplanes: where the descent starts.
 
-    Hyperplanes per table and tables grow with the number of vectors, so that buckets stay small and a pair at the
-    threshold misses all tables with chance MISS. A crowded bucket is split by hash; close_gaps compares the vectors of such.
+    A crowded bucket is split by hash, and the descent joins its parts.
     """
     bits = max(1, min(24, round(math.log2(max(n, 2) / BUCKET))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = max(4, math.ceil(math.log(MISS) / math.log1p(-same)))
     coarse = max(0, min(bits - 1, round(math.log2(max(n, 2) / 2048))))
     planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
 
@@ -66,7 +77,7 @@ def first_graph(vectors: DataFrame, n: int, width: int, threshold: float, floor:
         for frame in frames:
             x = _unit(frame["x"])
             codes = ((x @ planes) > 0).reshape(len(x), tables, bits) @ weight
-            short = x.astype("<f4")
+            short = x.astype("<f2")
             for t in range(tables):
                 yield pd.DataFrame({"t": np.int32(t), "bucket": codes[:, t], "rep": frame["rep"], "f": [r.tobytes() for r in short]})
 
@@ -74,31 +85,103 @@ def first_graph(vectors: DataFrame, n: int, width: int, threshold: float, floor:
     crowded = dealt.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > LARGEST)
     parts = F.ceil(F.col("size") / LARGEST)
     split = dealt.join(crowded, ["t", "bucket"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep", "t"), parts), F.lit(0)))
-    group = F.when(F.col("size").isNull(), F.shiftrightunsigned("bucket", bits - coarse)).otherwise(-F.xxhash64("bucket", "salt") % 1000 - 1)
+    group = F.when(F.col("size").isNull(), F.shiftrightunsigned("bucket", bits - coarse)).otherwise(F.xxhash64("bucket", "salt"))
 
     def near(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((frame["rep"], frame["salt"], frame["bucket"]))
-        ids = frame["rep"].to_numpy()[order]
-        key = frame["bucket"].to_numpy()[order] * (1 << 20) + frame["salt"].to_numpy()[order]
-        x = np.frombuffer(b"".join(frame["f"].to_numpy()[order]), "<f4").reshape(len(ids), -1)
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        out = []
+        ids, bucket, salt = (frame[c].to_numpy()[order] for c in ("rep", "bucket", "salt"))
+        x = np.frombuffer(b"".join(frame["f"].to_numpy()[order]), "<f2").reshape(len(ids), -1).astype(np.float32)
+        cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1]), True])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
                 c = x[a:b] @ x[a:b].T
-                np.fill_diagonal(c, -1)
-                kept = min(NEIGHBOURS, b - a - 1)
+                np.fill_diagonal(c, -2)
+                kept = min(FROM_BUCKET, b - a - 1)
                 best = np.argpartition(-c, kept - 1, axis=1)[:, :kept]
-                i = np.repeat(np.arange(b - a), kept)
-                j = best.ravel()
-                use = c[i, j] >= floor
-                out.append(np.stack([ids[a:b][i[use]], ids[a:b][j[use]]], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                i, j = np.repeat(np.arange(b - a), kept), best.ravel()
+                out.append((ids[a:b][i], ids[a:b][j], c[i, j]))
+        u, v, c = (np.concatenate(k) for k in zip(*out, strict=True))
+        return pd.DataFrame({"u": u, "v": v, "c": c})
+
+    grouped = split.withColumn("g", group).withColumn("many", F.col("size").isNotNull()).groupBy("t", "g", "many")
+    return grouped.applyInPandas(near, "u long, v long, c float")
+
+
+def _best(entries: DataFrame) -> DataFrame:
+    """Each u's k nearest of entries (u, v, c, fresh, k); of an entry that occurs twice the older one stays."""
+    once = entries.repartition("u").groupBy("u", "v").agg(F.max("c").alias("c"), F.min("fresh").alias("fresh"), F.max("k").alias("k"))
+    top = once.withColumn("longest", F.max("k").over(Window.partitionBy("u"))).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v")))
+    return top.where("r <= longest").select("u", "v", "c", "fresh", F.col("longest").alias("k"))
 
-    found = split.withColumn("g", group).groupBy("t", "g").applyInPandas(near, "a long, b long")
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return with_cosine(pairs, vectors, floor), split.where(F.col("size").isNotNull()).select("rep").distinct()
+
+def first_lists(start: DataFrame, keep: int = NEIGHBOURS) -> DataFrame:
+    """Neighbour lists (u, v, c, fresh, k) of keep entries from start (u, v, c), in both directions."""
+    both = start.unionByName(start.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
+    return staged(_best(both.withColumns({"fresh": F.lit(True), "k": F.lit(keep)})), "lists")
+
+
+def descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """NN-descent: lists (u, v, c, fresh, k) refined through neighbours of neighbours until few entries change.
+
+    A vector's neighbourhood is its list and whoever lists it, at most twice its list's length, new entries first.
+    All members of it with a new pair are compared in one product; each is offered the OFFERS best others that its own
+    list lacks the like of. A list full of links is saturated, and may hide more: it is made twice as long. Cosines are
+    of half-precision vectors here; links are verified in double precision afterwards.
+    """
+
+    def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"v": frame["rep"], "h": [r.tobytes() for r in (_unit(frame["x"]) if len(frame) else np.zeros((0, 1))).astype("<f2")]})
+
+    halves = staged(vectors.select("rep", "x").mapInPandas(short, "v long, h binary"), "halves")
+    n = lists.count()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("u", kind="stable")
+        u, v, fresh, worst = (frame[c].to_numpy() for c in ("u", "v", "fresh", "worst"))
+        x = np.frombuffer(b"".join(frame["h"]), "<f2").reshape(len(u), -1)
+        cuts = np.flatnonzero(np.r_[True, u[1:] != u[:-1], True])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1 and fresh[a:b].any():
+                y = x[a:b].astype(np.float32)
+                c = y @ y.T
+                c[(c <= worst[a:b, None]) | ~(fresh[a:b, None] | fresh[a:b])] = -2
+                np.fill_diagonal(c, -2)
+                kept = min(OFFERS, b - a - 1)
+                best = np.argpartition(-c, kept - 1, axis=1)[:, :kept]
+                i, j = np.repeat(np.arange(b - a), kept), best.ravel()
+                use = c[i, j] > -2
+                out.append((v[a:b][i[use]], v[a:b][j[use]], c[i[use], j[use]]))
+        p, q, c = (np.concatenate(k) for k in zip(*out, strict=True))
+        return pd.DataFrame({"u": p, "v": q, "c": c}).drop_duplicates(["u", "v"])
+
+    groups = max(2 * lists.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 50_000))
+    for k in range(ROUNDS):
+        facts = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("k").alias("k"))
+        grown = F.when((F.col("n") >= F.col("k")) & (F.col("least") >= threshold), F.least(2 * F.col("k"), F.lit(MOST_NEIGHBOURS))).otherwise(F.col("k"))
+        facts = facts.select("u", F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(F.lit(-1.0)).cast("float").alias("worst"), "k", grown.alias("next"))
+        around = lists.select("u", "v", "fresh").unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh"))
+        around = around.repartition("u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+        order = Window.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("u", "v", F.lit(k)))
+        around = around.withColumns({"r": F.row_number().over(order), "any": F.max("fresh").over(Window.partitionBy("u"))})
+        hood = around.where("any").join(facts.select("u", "k"), "u").where(F.col("r") <= 2 * F.col("k")).select("u", "v", "fresh")
+        members = halves.join(facts.select(F.col("u").alias("v"), "worst"), "v")
+        offers = hood.join(members, "v").groupBy(F.pmod(F.xxhash64("u"), F.lit(groups)).alias("g")).applyInPandas(compare, "u long, v long, c float")
+        old = lists.drop("k").withColumn("fresh", F.lit(False)).unionByName(offers.withColumn("fresh", F.lit(True)))
+        lists = staged(_best(old.join(facts.select("u", F.col("next").alias("k")), "u")), "lists")
+        total, new, longer = lists.agg(F.count("*"), F.sum(F.col("fresh").cast("int")), F.sum((F.col("k") > NEIGHBOURS).cast("int"))).first()
+        log.info("descent round %d: %s entries, %s new, %s in longer lists", k + 1, total, new, longer)
+        if (new or 0) <= SETTLED * (total or 0):
+            break
+    return lists
+
+
+def links_of(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a < b, cosine) of the lists whose cosine in double precision reaches the threshold."""
+    near = lists.where(F.col("c") >= threshold - ROUGH).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    return staged(with_cosine(near, vectors, threshold), "links")
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -114,38 +197,10 @@ def with_cosine(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, cosine double")
 
 
-def descend(graph: DataFrame, vectors: DataFrame, threshold: float, floor: float) -> DataFrame:
-    """Refines a neighbour graph (a < b, cosine): neighbours of neighbours are compared until few new links turn up.
-
-    Every vector keeps its best neighbours. A list full of links is saturated, and may hide more: it is made twice as
-    long. Only pairs that are not in the graph yet are compared. Lists may stay too short where many links are, so
-    close_gaps compares all saturated vectors afterwards: where the descent stops is a matter of time, not of results.
-    """
-    sizes = None
-    for _ in range(ROUNDS):
-        both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-        both = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
-        both = both.join(sizes, "a", "left") if sizes is not None else both.withColumn("keep", F.lit(None).cast("int"))
-        keep = F.coalesce("keep", F.lit(NEIGHBOURS))
-        lists = staged(both.where(F.col("rank") <= keep).select("a", "b", "cosine", keep.alias("keep")), "lists")
-        full = lists.groupBy("a").agg(F.min("cosine").alias("least"), F.count("*").alias("n"), F.max("keep").alias("keep"))
-        grown = F.when((F.col("least") >= threshold) & (F.col("n") >= F.col("keep")), F.least(F.col("keep") * 2, F.lit(MOST_NEIGHBOURS))).otherwise(F.col("keep"))
-        sizes = full.select("a", grown.alias("keep"))
-        one, two = lists.select(F.col("a").alias("u"), F.col("b").alias("p")), lists.select(F.col("a").alias("u"), F.col("b").alias("q"))
-        around = one.join(two, "u").where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-        fresh = staged(with_cosine(around.join(graph, ["a", "b"], "left_anti"), vectors, floor), "fresh")
-        graph = staged(graph.unionByName(fresh), "graph")
-        before, new = graph.where(F.col("cosine") >= threshold).count(), fresh.where(F.col("cosine") >= threshold).count()
-        if new <= 0.002 * before:
-            break
-    return graph
-
-
-def saturated(graph: DataFrame, threshold: float) -> DataFrame:
-    """Vectors (rep) with NEIGHBOURS links or more. A full list drops a link only if both ends are such vectors."""
-    close = graph.where(F.col("cosine") >= threshold - 1e-5)  # lists are ranked in single precision
-    ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep")))
-    return ends.groupBy("rep").agg(F.count("*").alias("links")).where(F.col("links") >= NEIGHBOURS).select("rep")
+def saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """Vectors (rep) whose lists are full of links, and may have dropped some."""
+    full = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("k").alias("k"))
+    return full.where((F.col("n") >= F.col("k")) & (F.col("least") >= threshold - ROUGH)).select(F.col("u").alias("rep"))
 
 
 def close_gaps(asked: DataFrame, graph: DataFrame, vectors: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -227,15 +282,17 @@ def with_gaps_closed(asked: DataFrame, graph: DataFrame, vectors: DataFrame, lin
 def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     """Links of each vector within its component (rep, component, n, x): rep, linked (rows that have a linked vector).
 
-    All links lie within components. Small ones are counted many at a time; a large one is cut into blocks, and each
-    pair of blocks is one product of two matrices: no pair of vectors is a row anywhere.
+    All links lie within components. Small ones are counted many at a time, in groups whose number follows the members';
+    a large one is cut into blocks, and each pair of blocks is one product of two matrices: no pair of vectors is a row
+    anywhere.
     """
+    groups = 64 + members.count() // 1_000
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sized = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = sized.select("rep", "component", "n", "x", "own", F.explode(others).alias("pair"), "blocks")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(64))).otherwise(F.xxhash64("component", "pair.i", "pair.j"))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", "pair.i", "pair.j"))
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -256,10 +313,17 @@ def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("g").applyInPandas(count, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def audit(vectors: DataFrame, components: DataFrame, threshold: float) -> tuple[int, int]:
-    """(links of a bounded sample of vectors by comparison with all, those whose ends share a component)."""
+def audit(vectors: DataFrame, links: DataFrame, components: DataFrame, threshold: float) -> tuple[int, int]:
+    """(links of a bounded sample of vectors by comparison with all, those whose ends share a component).
+
+    Half of the sample are vectors that have a link, so that recall is measured on links; the others may show some that
+    were missed altogether.
+    """
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("rep")).limit(AUDIT).select("rep", "x").toPandas()
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).distinct()
+    linked = ends.orderBy(F.xxhash64("rep")).limit(AUDIT // 2)
+    some = vectors.select("rep").orderBy(F.xxhash64("rep")).limit(AUDIT // 2)
+    sample = vectors.join(F.broadcast(linked.unionByName(some).distinct()), "rep").select("rep", "x").toPandas()
     if not len(sample):
         return 0, 0
     shared = spark.sparkContext.broadcast((sample["rep"].to_numpy(), _unit(sample["x"])))
@@ -273,62 +337,70 @@ def audit(vectors: DataFrame, components: DataFrame, threshold: float) -> tuple[
 
     true = vectors.select("rep", "x").mapInPandas(run, "a long, b long")
     of = components.select("id", "component_id")
-    ends = true.join(of.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
-    total, found = ends.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
+    both = true.join(of.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
+    total, found = both.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
     return total, found
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id (smallest id reachable by links, itself included), kept.
 
-    Vectors of cosine threshold or more link, in double precision. Equal vectors go on as one. NN-descent starts from
-    buckets of random hyperplanes, keeps edges from which a link of a link can lead on (the floor is the cosine of
-    twice the threshold's angle), and compares neighbours of neighbours; links form components. Vectors whose lists may
-    have dropped links are then compared exactly across components (close_gaps). A bounded sample is audited against
-    all vectors, and more buckets are added while its recall falls short; if it does after the last ones too, all
-    vectors are compared so. Links are then counted exactly within components, so long neighbour lists are not needed
-    for the counts and nothing is capped.
+    Vectors of cosine threshold or more link, in double precision. Equal vectors go on as one. NN-descent starts from a
+    few coarse buckets, which miss many links, and refines the neighbour lists through neighbours of neighbours; entries
+    of threshold or more are links, and links form components. Vectors whose lists are full of links are then compared
+    exactly across components (close_gaps). A bounded sample is audited against all vectors: while recall falls short,
+    more buckets and lists twice as long join the descent, and if it still does after the last try all vectors are
+    compared exactly. Links are counted exactly within components, so short lists change no count and nothing is capped.
 
     Unusable vectors (null, empty, zero, with a null or non-finite component) and null ids link with nothing and are
-    kept, the latter with a null component. Rows of a repeated id are nodes of one name. An empty table gives an empty
+    kept, the latter with a null component. Usable vectors of different lengths raise a ValueError. Ids are integers or
+    text that casts to such; other ids raise. Rows of a repeated id are nodes of one name. An empty table gives an empty
     result; other columns, such as labels, are not read.
     """
     spark = table.sparkSession
     shared_dir(spark)
     vectors = staged(usable_vectors(table, id_col, vector_col), "vectors")
     n, width = vectors.agg(F.count("*"), F.max(F.length("x") / 8)).first()
-    floor = math.cos(min(math.pi, 2 * math.acos(threshold)))
-    links = spark.createDataFrame([], "a long, b long")
     components = spark.createDataFrame([], "id long, component_id long")
     if n and vectors.select(F.length("x")).distinct().count() > 1:
         raise ValueError("vectors must have one length")
-    graph = None
-    for seed in range(3 if n else 0):
-        seeded, split = first_graph(vectors, n, int(width), threshold, floor, seed)
-        graph = staged(seeded if graph is None else graph.unionByName(seeded).dropDuplicates(["a", "b"]), "first-graph")
-        graph = descend(graph, vectors, threshold, floor)
-        links = graph.where(F.col("cosine") >= threshold).select("a", "b")
+    lists = None
+    for k in range(TRIES if n else 0):
+        start = first_lists(coarse_start(vectors, n, int(width), TABLES * (1 + k), seed=k), NEIGHBOURS << k)
+        if lists is not None:
+            start = staged(_best(lists.withColumn("k", F.greatest("k", F.lit(NEIGHBOURS << k))).unionByName(start)), "lists")
+        lists = descend(start, vectors, threshold)
+        links = links_of(lists, vectors, threshold)
         components = staged(connected_components(links), "components")
-        asked = staged(saturated(graph, threshold).unionByName(split).distinct(), "asked")
-        links, components = with_gaps_closed(asked, graph, vectors, links, components, threshold)
-        total, found = audit(vectors, components, threshold)
+        closed, components = with_gaps_closed(saturated(lists, threshold), links, vectors, links.select("a", "b"), components, threshold)
+        total, found = audit(vectors, closed, components, threshold)
+        log.info("audit of try %d: %d of %d links", k + 1, found, total)
         if found >= RECALL * total:
             break
     else:
-        links, components = with_gaps_closed(vectors.select("rep"), graph, vectors, links, components, threshold) if n else (links, components)
+        if n:
+            closed, components = with_gaps_closed(vectors.select("rep"), links, vectors, closed, components, threshold)
     members = vectors.join(components, vectors["rep"] == components["id"]).select("rep", F.col("component_id").alias("component"), "n", "x")
     counted = exact_counts(members, threshold)
     named = vectors.join(counted, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("x", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    salts = F.ceil(F.col("n") / SALTED)
+    named = named.select("x", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    named = named.select("x", "n_links", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    # a vector that very many rows have is joined in as many parts
+    hot = vectors.where(F.col("n") > SALTED).select(F.xxhash64("x").alias("hx"), salts.alias("salts")).groupBy("hx").agg(F.min("salts").alias("salts"))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"vec_id": frame["id"], "x": [None if v is None else np.array([np.nan if y is None else y for y in v], "<f8").tobytes() for v in frame["v"]]})
+            yield pd.DataFrame({"vec_id": frame["id"], "x": [None if v is None else _packed(v) for v in frame["v"]]})
 
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInPandas(pack, "vec_id long, x binary")
+    v = F.col(vector_col).cast("array<double>")
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v")).mapInPandas(pack, "vec_id long, x binary")
     # rows without a usable vector get keys of their own, so that they don't all meet in one task
     key = F.coalesce(F.col("x"), F.col("vec_id").cast("string").cast("binary"))
-    out = rows.withColumn("x", key).join(named, "x", "left")
+    rows = rows.withColumn("x", key).withColumn("hx", F.xxhash64("x")).join(F.broadcast(hot), "hx", "left")  # a row for each SALTED ones at most
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("salts", F.lit(1))))
+    out = rows.join(named, ["x", "salt"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     linked = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("vec_id", linked.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
