@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window, and words between the starts of windows: each word but the last few is in two windows.
+#: Words of a window, and words between the starts of windows: half of each window overlaps the next, and every word but
+#: the first and last few of a text is in two of them.
 WINDOW, STRIDE = 32, 16
 #: Buckets and sizes of the word and character-trigram inputs; units of either direction and of the attention.
 WORD_BUCKETS, CHAR_BUCKETS, WIDE, UNITS, LOOK = 1 << 15, 1 << 14, 6, 8, 8
@@ -21,6 +22,8 @@ MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1_200, 2_400, 50_000
 #: Bytes of text that are scored at a time.
 STRETCH = 2_000_000
 PASSES, MOST_PASSES, DOCS_A_STEP, RATE = 4, 24, 48, 0.01
+#: Words whose states are kept at once while a step's gradient is summed, unless one text has more.
+WORDS_A_PART = 12_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -191,6 +194,19 @@ class Network:
         return float(loss), g
 
 
+def _parts(group: np.ndarray, lengths: list[int]) -> Iterator[list[int]]:
+    """Texts of a step in parts of WORDS_A_PART words, so that memory does not follow the longest texts."""
+    part, size = [], 0
+    for i in group:
+        if part and size + lengths[i] > WORDS_A_PART:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += lengths[i]
+    if part:
+        yield part
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     """A network fitted to labelled texts by Adam.
 
@@ -214,6 +230,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     by_length = np.argsort([len(t) for t in texts], kind="stable")
+    lengths = [t.count(" ") + t.count("\n") + 1 for t in texts]
     step = 0
     passes = max(PASSES, min(MOST_PASSES, 6_000 // len(texts)))
     size = min(DOCS_A_STEP, max(8, len(texts) // 60))
@@ -222,8 +239,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
         for j in rng.permutation(len(groups)):
             group = groups[j]
             step += 1
-            seen, numbers = split_words([texts[i] for i in group])
-            _, g = net.gradient(Words.of(seen), numbers, labels[group].astype(np.float32))
+            g: dict[str, np.ndarray] = {}
+            for part in _parts(group, lengths):
+                seen, numbers = split_words([texts[i] for i in part])
+                for name, grad in net.gradient(Words.of(seen), numbers, labels[part].astype(np.float32))[1].items():
+                    g[name] = g.get(name, 0) + grad * np.float32(len(part) / len(group))
             rate = RATE * (1 - 0.9 * k / passes)
             for name, grad in g.items():
                 np.clip(grad, -1, 1, out=grad)

@@ -22,6 +22,62 @@ def test_gradient_equals_finite_differences():
         assert grad[name][at] == pytest.approx((up - down) / (2 * e), abs=2e-5), name
 
 
+def plain_score(p, text):
+    """The same score from loops over windows, words and units, in double precision."""
+    import zlib
+
+    def sig(x):
+        return 1 / (1 + np.exp(-x))
+
+    def grams(raw):
+        for k in range(len(raw) - 2):
+            code = (raw[k] * 0x9E3779B1 + raw[k + 1] * 0x85EBCA77 + raw[k + 2] * 0xC2B2AE3D) % 2**32
+            code = ((code ^ (code >> 15)) * 0x27D4EB2F) % 2**32
+            yield (code >> 8) % t.CHAR_BUCKETS
+
+    def put(word):
+        raw = b"^" + word.encode() + b"$"
+        return np.r_[p["word"][zlib.crc32(raw) % t.WORD_BUCKETS], np.mean([p["char"][c] for c in grams(raw)], axis=0)].astype(float)
+
+    words, best = text.lower().split(), -np.inf
+    for a in [0] if len(words) <= t.WINDOW else [*range(0, len(words) - t.WINDOW, t.STRIDE), len(words) - t.WINDOW]:
+        window, states = [put(w) for w in words[a : a + t.WINDOW]], {}
+        for way in "fb":
+            h, out = np.zeros(t.UNITS), []
+            for x in window if way == "f" else window[::-1]:
+                g, u = x @ p[f"x{way}"] + p[f"b{way}"], h @ p[f"h{way}"]
+                n = t.UNITS
+                z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+                h = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * h
+                out.append(h)
+            states[way] = out if way == "f" else out[::-1]
+        both = [np.r_[f, b] for f, b in zip(states["f"], states["b"], strict=True)]
+        looks = np.array([np.tanh(s @ p["look"] + p["lookb"]) @ p["pick"] for s in both])
+        share = np.exp(looks - looks.max()) / np.exp(looks - looks.max()).sum() if both else []
+        pooled = sum((w * s for w, s in zip(share, both, strict=True)), np.zeros(2 * t.UNITS))
+        best = max(best, pooled @ p["out"] + p["outb"][0])
+    return sig(best)
+
+
+def test_registered_query_equals_a_plain_scorer(spark):
+    """op3's rows against loops over every window and word, with the network that the query trains."""
+    from larkspur.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    sample = t.training_sample(docs, labels)
+    net = t.train(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64))
+    got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, sf).collect()}
+    texts = [r for r in docs.select("doc_id", "text").collect() if len(r["text"]) < 6_000]
+    assert len(got) == docs.count() and len(texts) > 150
+    for r in texts:
+        want = plain_score(net.p, r["text"])
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=2e-4), r["doc_id"]
+        assert got[r["doc_id"]]["held_out"] == t.held_out(r["doc_id"]) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
+    odd = ["", "one", "x " * 33, "Ünïcode wörds " * 40]
+    assert np.allclose(t.score_texts(net, odd), [plain_score(net.p, x) if x else 1 / (1 + np.exp(-(net.p["outb"][0]))) for x in odd], atol=2e-4)
+
+
 def test_windows_overlap_and_cover_whole_texts():
     for n in (0, 1, 31, 32, 33, 48, 100, 1000):
         starts = t.windows_of(n)
