@@ -93,6 +93,35 @@ def bernoulli_attack(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> D
     return all_.select("session", "topic", F.round(F.col("base") + F.coalesce("odds", F.lit(0.0)), 6).alias("score"))
 
 
+def session_attack(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Log score of every topic for every test session after each of its questions: session, length, topic, score.
+
+    Both tables: session, length (the question's place from 1), topic, source_id (one row a contact). The prior counts
+    once, each question adds its Bernoulli likelihood over all trained sources; unseen sources are ignored.
+    """
+    question = F.struct("session", "length")
+    n = train.groupBy("topic").agg(F.countDistinct(question).alias("n"))
+    total = n.agg(F.sum("n").alias("all"))
+    known = train.select("source_id").distinct()
+    c = train.groupBy("topic", "source_id").agg(F.countDistinct(question).alias("c"))
+    p = n.crossJoin(small(known)).join(c, ["topic", "source_id"], "left").withColumn("p", (F.coalesce("c", F.lit(0)) + alpha) / (F.col("n") + 2 * alpha))
+    base = p.groupBy("topic").agg(F.sum(F.log(1 - F.col("p"))).alias("base"), F.max("n").alias("n")).crossJoin(F.broadcast(total)).select("topic", "base", F.log(F.col("n") / F.col("all")).alias("prior"))
+    odds = p.select("topic", "source_id", F.log(F.col("p") / (1 - F.col("p"))).alias("odds"))
+    asked = test.select("session", "length", "source_id").distinct()
+    met = asked.join(small(odds), "source_id").groupBy("session", "length", "topic").agg(F.sum("odds").alias("odds"))
+    each = asked.select("session", "length").distinct().crossJoin(small(base)).join(met, ["session", "length", "topic"], "left")
+    so_far = F.sum(F.col("base") + F.coalesce("odds", F.lit(0.0))).over(Window.partitionBy("session", "topic").orderBy("length"))
+    return each.select("session", "length", "topic", F.round(so_far + F.col("prior"), 6).alias("score"))
+
+
+def evaluate(scores: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """accuracy, macro_f1, chance, top_k (the truth among the k best) and cases of scores (session, topic, score) and truth (session, truth)."""
+    place = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "topic"))
+    ranked = scores.withColumn("k", place).where(F.col("k") <= k).join(truth, "session")
+    per = ranked.groupBy("session", "truth").agg(F.min_by("topic", "k").alias("guess"), F.max((F.col("topic") == F.col("truth")).cast("int")).alias("near"))
+    return macro_f1(per).crossJoin(per.agg(F.round(F.avg("near"), 6).alias("top_k"), F.count("*").alias("cases")))
+
+
 def macro_f1(pairs: DataFrame) -> DataFrame:
     """Accuracy and macro F1 of (truth, guess); a label in neither column is not counted."""
     t = pairs.groupBy(F.col("truth").alias("label")).agg(F.count("*").alias("t"))
