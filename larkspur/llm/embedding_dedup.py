@@ -21,8 +21,8 @@ TABLES, BUCKET, LARGEST, FROM_BUCKET = 4, 48, 512, 8
 NEIGHBOURS, MOST_NEIGHBOURS = 16, 64
 #: Candidates that one neighbourhood offers to each member's list, and rounds of the descent.
 OFFERS, ROUNDS = 2, 14
-#: Share of the list entries that still changes when the descent ends.
-SETTLED = 0.001
+#: Share of the list entries that still changes when the descent ends; the audit tells whether that was too early.
+SETTLED = 0.03
 #: Tries with more tables and longer lists, vectors of the audit, and the recall that it asks for.
 TRIES, AUDIT, RECALL = 3, 512, 0.998
 #: What half-precision cosines may be off by.
