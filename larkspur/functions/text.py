@@ -66,7 +66,7 @@ def common_words(docs: DataFrame, text_col: str = "text", least: int = 3) -> Dat
 
 def session_chunks(text: Column, chunks: int = 5) -> Column:
     """A text's sentences of three or more words in equal consecutive chunks; null with fewer sentences than chunks."""
-    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 3)
+    sentences = F.filter(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"(?<=[.!?])\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 3)
     n = F.size(sentences)
     cut = lambda k: F.floor(F.lit(float(k)) * n / chunks).cast("int")
     parts = F.array(*(F.array_join(F.slice(sentences, cut(k) + 1, cut(k + 1) - cut(k)), " ") for k in range(chunks)))

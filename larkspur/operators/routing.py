@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import clip01, cosine, dot, norm, normalise, widen
+from ..functions.vectors import clip01, cosine, dot, is_finite, norm, normalise, widen
 
 #: Sources' centroids are broadcast up to this many rows; beyond it each question meets them in a shuffled join.
 BROADCAST_CENTROIDS = 200_000
@@ -145,9 +145,15 @@ def candidate_score(weights: dict[str, float], field: Callable[[str], Column] =
     return gains[0] + gains[1] + gains[2] - (costs[0] + costs[1] + costs[2] + costs[3])
 
 
-def gate(candidates: DataFrame, minimum_trust: float) -> DataFrame:
-    """candidates with reason: why a source is left out, or null. Rejected rows stay."""
-    return candidates.withColumn("reason", F.when(~F.coalesce("authorized", F.lit(False)), "unauthorized_or_missing_evidence").when(F.col("trust") < minimum_trust, "insufficient_trust").when(F.col("vec").isNull(), "invalid_profile"))
+def gate(candidates: DataFrame, minimum_trust: float, width: int, model: str | None = None) -> DataFrame:
+    """candidates with reason: why a source is left out, or null. Rejected rows stay.
+
+    candidates: authorized, trust, vec, and with a model also described (a vector) and described_by (its model).
+    """
+    reason = F.when(~F.coalesce("authorized", F.lit(False)), "unauthorized_or_missing_evidence").when(F.col("trust") < minimum_trust, "insufficient_trust").when(~is_finite(F.col("vec"), width), "invalid_profile")
+    if model is not None:
+        reason = reason.when(F.col("described").isNull() | (F.coalesce("described_by", F.lit("")) != model), "missing_or_incompatible_description").when(~is_finite(F.col("described"), width), "invalid_description_embedding")
+    return candidates.withColumn("reason", reason)
 
 
 def skip_greedy(items: Column, budget: Column) -> Column:

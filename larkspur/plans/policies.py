@@ -78,22 +78,67 @@ A11 = f"WITH {BASE}, {GRADES}, t AS (SELECT query_id, sum(grade) AS a FROM grade
 
 
 def a23_role_fractions(spark, sf):
-    """Share of each collection among what every source returns."""
-    d = read(spark, sf, "documents").select("source", F.pmod("doc_id", F.lit(3)).cast("int").alias("collection"))
-    n = d.groupBy("source", "collection").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 6))
+    """What each role gets: its ten best passages of a topic among the collections it may read, by collection."""
+    from ..operators import retrieval as k
+    from .retrieval import scored as passages
 
+    policy = spark.createDataFrame([("nurse", "clinical"), ("analyst", "research"), ("admin", "clinical"), ("admin", "research"), ("nurse", "public"), ("analyst", "public"), ("admin", "public"), ("guest", "public")], "role string, collection string")
+    e = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, "public").when(F.col("label") < 8, "research").otherwise("clinical").alias("collection"))
+    s = passages(spark, sf).join(e, "doc_id").join(r.small(policy), "collection")
+    n = k.top_n(s, ["role", "query_id"], 10).groupBy("role", "collection").agg(F.count("*").alias("n"))
+    total = n.groupBy("role").agg(F.sum("n").alias("all"))
+    return n.join(r.small(total), "role").select("role", "collection", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
-A23 = "SELECT source, collection, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY source), 6) AS share FROM (SELECT source, (doc_id % 3)::INT AS collection, count(*) AS n FROM documents GROUP BY ALL)"
+
+def _a23_sql() -> str:
+    from .retrieval import SCORED
+
+    return f"""WITH {SCORED}, policy(role, collection) AS (VALUES ('nurse', 'clinical'), ('analyst', 'research'), ('admin', 'clinical'), ('admin', 'research'), ('nurse', 'public'), ('analyst', 'public'), ('admin', 'public'), ('guest', 'public')),
+e AS (SELECT vec_id, CASE WHEN label < 5 THEN 'public' WHEN label < 8 THEN 'research' ELSE 'clinical' END AS collection FROM embeddings), t AS (SELECT role, e.collection FROM found f JOIN e ON vec_id = doc_id JOIN policy p ON p.collection = e.collection QUALIFY row_number() OVER (PARTITION BY role, query_id ORDER BY score DESC, doc_id) <= 10),
+n AS (SELECT role, collection, count(*) AS n FROM t GROUP BY ALL) SELECT role, collection, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY role), 6) AS share FROM n"""
+
+
+def a11_clean_metrics(spark, sf):
+    """Topics at three contacts: contacts, source recall, evidence coverage, document recall at ten among the contacted, empty selections."""
+    from ..operators import retrieval as k
+    from .retrieval import scored as passages
+    from .retrieval import topics
+    from .routing import centroids
+
+    good = vectors(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 12").select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"), F.col("shard").alias("source_id"))
+    chosen = r.ranked_sources(r.source_arrays(topics(spark, sf), centroids(spark, sf)), 3).select("query_id", "source_id", F.lit(1).alias("chosen"))
+    shown = k.top_n(passages(spark, sf).join(chosen, ["query_id", "source_id"], "left_semi"), ["query_id"], 10).select("query_id", "doc_id", F.lit(1).alias("shown"))
+    per = good.join(chosen, ["query_id", "source_id"], "left").join(shown, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        (F.countDistinct(F.when(F.col("chosen") == 1, F.col("source_id"))) / F.countDistinct("source_id")).alias("s"), F.avg(F.coalesce("chosen", F.lit(0))).alias("e"), F.avg(F.coalesce("shown", F.lit(0))).alias("d")
+    )
+    n = chosen.groupBy("query_id").agg(F.count("*").alias("contacts"))
+    both = per.join(n, "query_id", "left").na.fill(0, ["contacts"])
+    r6 = lambda c: F.round(F.avg(c), 6)
+    return both.agg(r6("contacts").alias("contacts"), r6("s").alias("source_recall"), r6("e").alias("evidence_coverage"), r6("d").alias("document_recall"), r6((F.col("contacts") == 0).cast("int")).alias("empty"))
+
+
+def _clean_sql() -> str:
+    from .retrieval import SCORED
+
+    return f"""WITH {SCORED}, good AS (SELECT label AS query_id, vec_id AS doc_id, (vec_id % 12)::INT AS source_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 12),
+b AS (SELECT a.query_id, c.source_id, max(round(list_inner_product(a.q, c.vec) / coalesce(nullif(sqrt(list_inner_product(a.q, a.q)) * sqrt(list_inner_product(c.vec, c.vec)), 0), 1), 6)) AS s FROM asked a, centroids c GROUP BY ALL),
+chosen AS (SELECT query_id, source_id FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source_id) <= 3), shown AS (SELECT f.query_id, f.doc_id FROM found f JOIN chosen c ON c.query_id = f.query_id AND c.source_id = f.source_id QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.doc_id) <= 10),
+p AS (SELECT g.query_id, count(DISTINCT c.source_id)::DOUBLE / count(DISTINCT g.source_id) AS s, avg((c.source_id IS NOT NULL)::INT) AS e, avg((h.doc_id IS NOT NULL)::INT) AS d FROM good g LEFT JOIN chosen c ON c.query_id = g.query_id AND c.source_id = g.source_id LEFT JOIN shown h ON h.query_id = g.query_id AND h.doc_id = g.doc_id GROUP BY g.query_id)
+SELECT round((SELECT avg(n) FROM (SELECT count(*) AS n FROM chosen GROUP BY query_id)), 6) AS contacts, round(avg(s), 6) AS source_recall, round(avg(e), 6) AS evidence_coverage, round(avg(d), 6) AS document_recall, 0.0::DOUBLE AS empty FROM p"""
 
 
 def a19_budget_violations(spark, sf):
-    """Customers beyond a spending budget, those without orders, by segment."""
-    c = read(spark, sf, "customer").join(read(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent")), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return c.groupBy("c_mktsegment").agg(F.sum(F.when(F.col("spent") > 1_500_000, 1).otherwise(0)).alias("violations"), F.round(F.avg(F.when(F.col("spent").isNull(), 1.0).otherwise(0.0)), 6).alias("empty"))
+    """Selections beyond the exposure budget, empty ones and turned away sources, by why they ended."""
+    from .selection import r10_stop_reasons
+
+    s = r10_stop_reasons(spark, sf)
+    return s.groupBy("stop_reason").agg(F.count("*").alias("n"), F.sum((F.col("spent") > 5).cast("int")).alias("violations"), F.round(F.avg((F.col("genuine") == "").cast("int")), 6).alias("empty"), F.round(F.avg(F.when(F.col("excluded") == "", 0).otherwise(F.size(F.split("excluded", ",")))), 6).alias("excluded"))
+
 
+def _a19_sql() -> str:
+    from .selection import R10
 
-A19 = "SELECT c_mktsegment, sum(CASE WHEN spent > 1500000 THEN 1 ELSE 0 END)::BIGINT AS violations, round(avg((spent IS NULL)::INT), 6) AS empty FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey GROUP BY c_mktsegment"
+    return f"SELECT stop_reason, count(*) AS n, sum((spent > 5)::INT)::BIGINT AS violations, round(avg((genuine = '')::INT), 6) AS empty, round(avg(CASE WHEN excluded = '' THEN 0 ELSE len(string_split(excluded, ',')) END), 6) AS excluded FROM ({R10}) GROUP BY stop_reason"
 
 
 def l4_inference_accuracy(spark, sf):
@@ -139,14 +184,13 @@ L8 = f"WITH {LOG}, s AS (SELECT DISTINCT session || ':' || topic AS session, top
 
 
 def t3_trust_signal(spark, sf):
-    """Weighted mean of five signals of each line, by supplier."""
-    w = [0.3, 0.25, 0.2, 0.15, 0.1]
-    x = [F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_quantity") / 50, F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0), F.lit(0.5)]
-    signal = sum((c * k for c, k in zip(x, w, strict=True)), F.lit(0.0)) / sum(w)
-    return read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(signal), 6).alias("signal"))
+    """Weighted mean of five signals of each line, by supplier; weights that sum to 0 give 0."""
+    x = {"a": F.col("l_discount") * 10, "b": F.col("l_tax") * 12, "c": F.col("l_quantity") / 50, "d": F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0), "e": F.col("l_linenumber") / 7}
+    one, none = m.trust_signal(dict(a=0.3, b=0.25, c=0.2, d=0.15, e=0.1), x.__getitem__), m.trust_signal(dict(a=0.0, e=0.0), x.__getitem__)
+    return read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(one), 6).alias("signal"), F.max(none).alias("unweighted"))
 
 
-T3 = "SELECT l_suppkey, round(avg(l_discount * 10 * 0.3::DOUBLE + l_tax * 12 * 0.25::DOUBLE + l_quantity / 50 * 0.2::DOUBLE + CASE WHEN l_linestatus = 'F' THEN 0.15::DOUBLE ELSE 0 END + 0.05::DOUBLE), 6) AS signal FROM lineitem GROUP BY l_suppkey"
+T3 = "SELECT l_suppkey, round(avg(l_discount * 10 * 0.3::DOUBLE + l_tax * 12 * 0.25::DOUBLE + l_quantity / 50 * 0.2::DOUBLE + CASE WHEN l_linestatus = 'F' THEN 0.15::DOUBLE ELSE 0 END + l_linenumber / 7.0::DOUBLE * 0.1::DOUBLE), 6) AS signal, 0.0::DOUBLE AS unweighted FROM lineitem GROUP BY l_suppkey"
 
 
 def t5_trust_resets(spark, sf):
@@ -209,7 +253,7 @@ R25 = "SELECT day, count(*) * 4 * (SELECT count(DISTINCT vec_id % 12) FROM embed
 
 QUERIES = {
     "f1_policy_labels": (f1_policy_labels, F1), "f4_public_view": (f4_public_view, F4), "f10_versions": (f10_versions, F10), "lead_of_best_source": (lead_of_best_source, LEAD), "r20_exposure_cost": (r20_exposure_cost, R20),
-    "r25_cover_plan": (r25_cover_plan, R25), "r27_router_labels": (r27_router_labels, _r27_sql()), "a11_selection_coverage": (a11_selection_coverage, A11), "a19_budget_violations": (a19_budget_violations, A19), "a23_role_fractions": (a23_role_fractions, A23),
+    "r25_cover_plan": (r25_cover_plan, R25), "r27_router_labels": (r27_router_labels, _r27_sql()), "a11_selection_coverage": (a11_selection_coverage, A11), "a11_clean_metrics": (a11_clean_metrics, _clean_sql()), "a19_budget_violations": (a19_budget_violations, _a19_sql()), "a23_role_fractions": (a23_role_fractions, _a23_sql()),
     "l4_inference_accuracy": (l4_inference_accuracy, L4), "session_growth": (session_growth, GROWTH), "l8_set_prior": (l8_set_prior, L8), "t3_trust_signal": (t3_trust_signal, T3), "t5_trust_resets": (t5_trust_resets, T5),
     "x4_chunks": (x4_chunks, X4), "x9_tier": (x9_tier, X9), "s11_unregistered": (s11_unregistered, S11),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -174,10 +176,15 @@ def j6_chunked_envelopes(spark, sf):
 J6 = "SELECT doc_id, greatest(1, ceil(length(text) / 2048.0))::BIGINT AS chunks, md5(text) AS digest FROM documents"
 
 
-def bucket_hits(spark, sf):
-    """Documents that share a bucket with each topic within one flipped bit: query_id, doc_id."""
+def flips(bits, radius):
+    """Masks of all codes within a Hamming radius."""
+    return [sum(1 << i for i in some) for n in range(radius + 1) for some in combinations(range(bits), n)]
+
+
+def bucket_hits(spark, sf, radius=1):
+    """Documents that share a bucket with each topic within a few flipped bits: query_id, doc_id."""
     codes = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), v.simhash(F.col("vec"), PLANES).alias("code"))
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(len(PLANES))))
+    masks = F.array(*(F.lit(x).cast("long") for x in flips(len(PLANES), radius)))
     asked = topics(spark, sf).select("query_id", F.explode(F.transform(masks, lambda x: v.simhash(F.col("vec"), PLANES).bitwiseXOR(x))).alias("code"))
     return asked.join(codes, "code").select("query_id", "doc_id").distinct()
 
@@ -191,6 +198,15 @@ BUCKETS = f"dc AS (SELECT vec_id AS doc_id, ({_CODE.format(e='embedding::DOUBLE[
 J7 = f"WITH {SCORED}, {BUCKETS} SELECT query_id, count(*) AS envelopes, {1 + len(PLANES)} AS probes FROM bucket GROUP BY query_id"
 
 
+def v12_multi_probe(spark, sf):
+    """Documents that each topic meets when its code's bits are flipped up to twice, and the probes that takes."""
+    parts = [bucket_hits(spark, sf, n).groupBy("query_id").agg(F.count("*").alias("envelopes")).select(F.lit(n).alias("radius"), "query_id", "envelopes", F.lit(len(flips(len(PLANES), n))).alias("probes")) for n in (0, 2)]
+    return parts[0].unionByName(parts[1])
+
+
+V12 = f"WITH {SCORED}, dc AS (SELECT ({_CODE.format(e='embedding::DOUBLE[]')})::BIGINT AS code FROM embeddings), qc AS (SELECT query_id, ({_CODE.format(e='q')})::BIGINT AS code FROM asked) SELECT radius, query_id, count(*) AS envelopes, CASE radius WHEN 0 THEN 1 ELSE 37 END AS probes FROM qc CROSS JOIN (VALUES (0), (2)) v(radius) JOIN dc ON bit_count(xor(qc.code, dc.code)) <= radius GROUP BY radius, query_id"
+
+
 def recall_row(name, delivered, truth, asked, probes_):
     """Any-hit recall, mean and 95th percentile of what is delivered, and probes, of one method."""
     hit = delivered.join(truth.withColumn("good", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.coalesce("good", F.lit(0))).alias("hit"))
@@ -316,7 +332,7 @@ S18 = "WITH l AS (SELECT user_id AS session, list((json_extract_string(props, '$
 
 QUERIES = {
     "k2_server_cap": (k2_server_cap, K2), "k3_rerank_pools": (k3_rerank_pools, K3), "k8_cross_node_rerank": (k8_cross_node_rerank, K8), "k10_inverted_lists": (k10_inverted_lists, K10), "k13_corpus_selection": (k13_corpus_selection, K13), "k14_blind_retrieve": (k14_blind_retrieve, K14), "k15_private_retrieve": (k15_private_retrieve, K15),
-    "k17_seeded_sample": (k17_seeded_sample, K17), "k18_required_first": (k18_required_first, K18), "j4_relevant_nodes": (j4_relevant_nodes, J4), "j6_chunked_envelopes": (j6_chunked_envelopes, J6), "j7_bucket_join": (j7_bucket_join, J7), "a6_graded_ndcg": (a6_graded_ndcg, A6), "a12_recall": (a12_recall, A12),
+    "k17_seeded_sample": (k17_seeded_sample, K17), "k18_required_first": (k18_required_first, K18), "j4_relevant_nodes": (j4_relevant_nodes, J4), "j6_chunked_envelopes": (j6_chunked_envelopes, J6), "j7_bucket_join": (j7_bucket_join, J7), "v12_multi_probe": (v12_multi_probe, V12), "a6_graded_ndcg": (a6_graded_ndcg, A6), "a12_recall": (a12_recall, A12),
     "a13_release": (a13_release, A13), "a17_cluster_bootstrap": (a17_cluster_bootstrap, None), "a27_contact_summary": (a27_contact_summary, A27), "a28_node_status": (a28_node_status, A28), "a29_agreement": (a29_agreement, None), "f3_public_only": (f3_public_only, F3), "f5_restricted_centroids": (f5_restricted_centroids, F5),
     "f10_registrations": (f10_registrations, F10), "s18_audit": (s18_audit, S18),
 }

@@ -191,6 +191,10 @@ def c16_session_chunks(spark, sf):
     return d.select("doc_id", F.size("c").alias("chunks"), F.transform("c", lambda x: F.length(x)).alias("l")).select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("lengths")).select("doc_id", F.when(F.col("lengths").isNull(), 0).otherwise(F.col("chunks")).alias("chunks"), F.coalesce("lengths", F.lit("")).alias("lengths"))
 
 
+C16 = r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) >= 3) AS s FROM documents)
+SELECT doc_id, CASE WHEN len(s) >= 5 THEN 5 ELSE 0 END AS chunks, CASE WHEN len(s) >= 5 THEN array_to_string([length(array_to_string(s[k * len(s) // 5 + 1 : (k + 1) * len(s) // 5], ' ')) FOR k IN range(5)], ',') ELSE '' END AS lengths FROM s"""
+
+
 def d20_term_recovery(spark, sf):
     """Word overlap of each turn with the conversation's first turn."""
     turns = read(spark, sf, "conversations")
@@ -301,6 +305,6 @@ QUERIES = {
     "k16_inversion": (k16_inversion, K16), "v6_feature_hashing": (v6_feature_hashing, V6),
     "c7_topics": (c7_topics, f"WITH {_topics_sql()} SELECT source, rank, term, df FROM topics"),
     "c8_descriptions": (c8_descriptions, f"WITH {_topics_sql()} SELECT source, 'Collection topics: ' || string_agg(term, ', ' ORDER BY rank) || '.' AS description FROM topics GROUP BY source"),
-    "c15_common_words": (c15_common_words, C15), "c16_session_chunks": (c16_session_chunks, None), "d20_term_recovery": (d20_term_recovery, D20), "d21_answers": (d21_answers, D21), "d21_prompts": (d21_prompts, D21_PROMPTS), "d17_exposed": (d17_exposed, D17),
+    "c15_common_words": (c15_common_words, C15), "c16_session_chunks": (c16_session_chunks, C16), "d20_term_recovery": (d20_term_recovery, D20), "d21_answers": (d21_answers, D21), "d21_prompts": (d21_prompts, D21_PROMPTS), "d17_exposed": (d17_exposed, D17),
     "c4_cluster_index": (c4_cluster_index, None), "c1_kmeans": (c1_kmeans, None), "c9_partition": (c9_partition, C9), "c11_dirichlet": (c11_dirichlet, None), "c6_profiles": (c6_profiles, C6), "c10_nearest": (c10_nearest, C10), "c12_centroid_leak": (c12_centroid_leak, C12),
 }

@@ -351,13 +351,16 @@ SELECT source, role, string_agg(DISTINCT collection, ',' ORDER BY collection) AS
 
 
 def f7_exclusion_reasons(spark, sf):
-    """Sources that a question may not use, and why."""
+    """Sources that a question may not use, and why; the budget's and the cells' reasons are in r10 and r9."""
     known = evidence(spark, sf).withColumn("authorized", F.pmod("source_id", F.lit(4)) != 3)
     mean = v.mean_vectors(vectors(spark, sf), ["shard"]).withColumnRenamed("shard", "source_id")
-    return r.gate(mean.join(known, "source_id", "left"), 0.41).select("source_id", "reason")
+    s = F.col("source_id")
+    rows = mean.join(known, "source_id", "left").select("source_id", "authorized", "trust", F.when(s == 8, F.slice("vec", 1, 5)).otherwise(F.col("vec")).alias("vec"), F.when(s == 1, None).when(s == 2, F.slice("vec", 1, 3)).otherwise(F.col("vec")).alias("described"), F.when(s == 4, "other").otherwise("m").alias("described_by"))
+    return r.gate(rows, 0.35, 64, "m").select("source_id", "reason")
 
 
-F7 = f"WITH {EVIDENCE} SELECT s.source_id, CASE WHEN s.source_id % 4 = 3 OR e.source_id IS NULL THEN 'unauthorized_or_missing_evidence' WHEN e.trust < 0.41 THEN 'insufficient_trust' END AS reason FROM (SELECT DISTINCT (vec_id % 12)::INT AS source_id FROM embeddings) s LEFT JOIN evidence e USING (source_id)"
+F7 = f"""WITH {EVIDENCE} SELECT s.source_id, CASE WHEN s.source_id % 4 = 3 OR e.source_id IS NULL THEN 'unauthorized_or_missing_evidence' WHEN e.trust < 0.35 THEN 'insufficient_trust' WHEN s.source_id = 8 THEN 'invalid_profile' WHEN s.source_id IN (1, 4) THEN 'missing_or_incompatible_description' WHEN s.source_id = 2 THEN 'invalid_description_embedding' END AS reason
+FROM (SELECT DISTINCT (vec_id % 12)::INT AS source_id FROM embeddings) s LEFT JOIN evidence e USING (source_id)"""
 
 
 def f11_plausibility(spark, sf):

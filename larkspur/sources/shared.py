@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder named by spark.checkpoint.dir and read back: a lost executor doesn't start it anew.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir.
 
     Only a local session, as in tests, gets a temporary folder of its own when the setting is absent.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: a lost executor doesn't start it anew."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
