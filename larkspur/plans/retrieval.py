@@ -133,10 +133,10 @@ z AS (SELECT query_id, doc_id, cosine, round(CASE WHEN count(*) OVER w < 2 THEN
 
 def k6_hybrid(spark, sf):
     """Summed z-scores of cosine and Okapi score of every document for its source's question."""
-    return k.hybrid(hybrid_pool(spark, sf)).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return k.hybrid(hybrid_pool(spark, sf)).select("query_id", "doc_id", "score")
 
 
-K6 = f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 4) AS score FROM z"
+K6 = f"WITH {HYBRID} SELECT query_id, doc_id, score FROM z"
 
 
 def k7_hybrid_rerank(spark, sf):

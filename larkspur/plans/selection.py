@@ -196,10 +196,10 @@ valued AS (SELECT query_id, source_id, score, round(score + 0.5 * trust + 0.2 *
 def r17_candidate_scores(spark, sf):
     """Weighted benefits less weighted costs of every source for every question."""
     rows = r.aggregate_scores(scored(spark, sf)).withColumnRenamed("score", "relevance").join(r.small(features(spark, sf)), "source_id")
-    return rows.select("query_id", "source_id", F.round(r.candidate_score(WEIGHTS), 6).alias("value"))
+    return rows.select("query_id", "source_id", F.round(r.candidate_score(WEIGHTS), 9).alias("value"))
 
 
-R17 = f"WITH {BASE}, {FEATURES} SELECT query_id, source_id, round(value, 6) AS value FROM valued"
+R17 = f"WITH {BASE}, {FEATURES} SELECT query_id, source_id, value FROM valued"
 
 
 def r19_pipeline(spark, sf):

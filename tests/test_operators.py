@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as t
 from larkspur.functions import vectors as v
-from larkspur.operators import clusters, metrics, retrieval, routing
+from larkspur.operators import clusters, metrics, retrieval, routing, running
 
 
 def test_zero_vectors_score_zero_and_noise_needs_a_sigma(spark):
@@ -101,19 +101,78 @@ def test_feedback_moves_trust(spark):
 
 
 def test_bm25_and_hybrid_literals(spark):
-    pool = spark.createDataFrame([(1, 1, "heart attack heart"), (1, 2, "lung cancer"), (1, 3, "")], "query_id int, doc_id int, text string")
+    pool = spark.createDataFrame([(1, 1, "heart attack the heart"), (1, 2, "lung cancer"), (1, 3, ""), (2, 9, "heart")], "query_id int, doc_id int, text string")
     q = spark.createDataFrame([(1, ["heart", "heart"])], "query_id int, terms array<string>")
-    got = {r["doc_id"]: r["bm25"] for r in retrieval.bm25(pool, q).collect()}
+    got = {r["doc_id"]: r["bm25"] for r in retrieval.bm25(retrieval.bm25_counts(pool, q)).collect()}
     idf = np.log(1 + (3 - 1 + 0.5) / 1.5)
-    assert got[1] == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3))), abs=1e-6) and got[2] == got[3] == 0
+    assert got[1] == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3))), abs=1e-6) and got[2] == got[3] == got[9] == 0
     one = spark.createDataFrame([(1, 1, 0.4, 3.0)], "query_id int, doc_id int, cosine double, bm25 double")
     assert retrieval.hybrid(one).collect()[0]["score"] == 0.4
+    two = spark.createDataFrame([(1, 1, 0.4, 3.0), (1, 2, 0.6, 3.0)], "query_id int, doc_id int, cosine double, bm25 double")
+    assert sorted(r["score"] for r in retrieval.hybrid(two).collect()) == [-1.0, 1.0]
+    assert sorted(r["score"] for r in retrieval.hybrid(two, 0).collect()) == [0.4, 0.6]
+
+
+def test_hashed_cosine_equals_counts(spark):
+    import hashlib
+
+    bucket = lambda w: int(hashlib.sha256(f"m:{w}".encode()).hexdigest()[:8], 16) % 256
+    texts, asked = ["a b a c", "", "x y z a"], "a c c"
+    vec = lambda s: np.bincount([bucket(w) for w in s.split()], minlength=256).astype(float) if s else np.zeros(256)
+    df = spark.createDataFrame([(s.split(), vec(asked).tolist()) for s in texts], "w array<string>, q array<double>")
+    got = [r[0] for r in df.select(retrieval.hashed_cosine(F.col("w"), F.col("q"))).collect()]
+    assert got == pytest.approx([float(vec(s) @ vec(asked) / (np.linalg.norm(vec(s)) * np.linalg.norm(vec(asked)))) if s else 0.0 for s in texts])
+
+
+def test_fusion_takes_the_last_place_of_a_text(spark):
+    rows = [(1, 1, "a", 0.1), (1, 2, "b", 0.2), (1, 3, "c", 0.3), (1, 4, "a", 0.4), (1, 5, "b", 0.15)]
+    lists = spark.createDataFrame(rows, "query_id int, doc_id int, text string, distance double")
+    got = [(r["rank"], r["score"]) for r in retrieval.reciprocal_rank_fusion(lists, 9).orderBy("rank").collect()]
+    assert got == [(1, pytest.approx(1 / 63, abs=1e-9)), (2, pytest.approx(1 / 64, abs=1e-9)), (3, pytest.approx(1 / 65, abs=1e-9))]
+    assert retrieval.reciprocal_rank_fusion(lists, 4, k=0).count() == 4
+
+
+def test_passages_are_found_whole_short_and_cut_within_words(spark):
+    docs = spark.createDataFrame([(1, "xx The quick brown fox jumps over dogs yy"), (2, "prefixthe quick  brown fox jumps over dogssuffix"), (3, "tiny thing"), (4, None), (5, "the quick brown fox jumps under")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "the QUICK brown fox jumps over dogs"), (2, "tiny"), (3, "the quick  brown fox jumps over dogs"), (4, "no such words here at all")], "item_id int, text string")
+    assert sorted(map(tuple, retrieval.passages_held(docs, items).collect())) == [(1, 1), (2, 3), (3, 2)]
+
+
+def test_running_totals_by_ranges_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("t"), F.col("id"), (F.col("id") % 7).alias("x"))
+    got = running.running(df, ["k"], F.floor(F.col("t") / 50), ["t", "id"], {"total": F.col("x"), "n": F.lit(1)})
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    wrong = got.join(df.select("id", F.sum("x").over(w).alias("t2"), F.count("*").over(w).alias("n2")), "id").where("total <> t2 or n <> n2")
+    assert got.count() == 3000 and wrong.count() == 0
+    tiles = spark.range(1, 18).select(running.tile(F.col("id"), F.lit(17), 5).alias("p")).groupBy("p").count().orderBy("p").collect()
+    assert [r["count"] for r in tiles] == [4, 4, 3, 3, 3]
+
+
+def test_bounded_trust_equals_a_fold_whatever_the_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, i, float(rng.normal(0.5, 2))) for u in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "u int, i int, s double")
+    want = {}
+    for u in range(4):
+        x = 0.5
+        for _, _, s in sorted(r for r in rows if r[0] == u):
+            x = min(1, max(0, 0.7 * x + 0.3 * s))
+        want[u] = x
+    for width in (1, 7, 100):
+        got = {r["u"]: r["trust"] for r in metrics.bounded_trust(df, ["u"], "s", ["i"], F.floor(F.col("i") / width), 0.3).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+    with pytest.raises(ValueError):
+        metrics.bounded_trust(df, ["u"], "s", ["i"], F.col("i"), 0.0)
 
 
-def test_fusion_takes_the_last_place(spark):
-    lists = spark.createDataFrame([(1, 1, "a", 0), (1, 2, "a", 4), (1, 1, "b", 1)], "query_id int, list_id int, doc_id string, position int")
-    got = {r["doc_id"]: r["score"] for r in retrieval.reciprocal_rank_fusion(lists).collect()}
-    assert got == {"a": pytest.approx(1 / 65, abs=1e-9), "b": pytest.approx(1 / 62, abs=1e-9)}
+def test_overlap_counts_all_pairs(spark):
+    sets = [[1, 2], [1, 2], [2, 3], [4]]
+    df = spark.createDataFrame([(0, s) for s in sets], "k int, s array<int>")
+    j = [len({*a} & {*b}) / len({*a} | {*b}) for i, a in enumerate(sets) for b in sets[i + 1 :]]
+    r = metrics.overlap_within(df, ["k"], "s").collect()[0]
+    assert r["pairs"] == 6 and r["jaccard"] == pytest.approx(np.mean(j), abs=1e-6)
 
 
 def test_metric_conventions(spark):
@@ -201,4 +260,5 @@ def test_chunks_recovery_and_letters(spark):
     assert len(got[1]) == 5 and " ".join(got[1]) == long and got[2] is None and got[3] is None
     pair = spark.createDataFrame([("a b", "B c"), ("", "x")], "a string, b string")
     assert [r[0] for r in pair.select(t.term_recovery(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0]
-    assert [r[0] for r in spark.createDataFrame([("The answer is B.",), ("none",)], "x string").select(t.answer_letter(F.col("x"))).collect()] == ["B", None]
+    letters = [("The answer is B.",), ("none",), ("(C) since A",), ("D",), (" E or A",)]
+    assert [r[0] for r in spark.createDataFrame(letters, "x string").select(t.answer_letter(F.col("x"))).collect()] == ["B", None, "C", "D", "A"]
