@@ -29,17 +29,19 @@ def published(centroids: DataFrame) -> DataFrame:
     return each.agg(F.array_sort(F.collect_list(F.struct("source_id", "centroids"))).alias("sources"))
 
 
-def centroid_arrays(queries: DataFrame, centroids: DataFrame, clip: bool = False) -> DataFrame:
+def centroid_arrays(queries: DataFrame, centroids: DataFrame, clip: bool = False, product: bool = False) -> DataFrame:
     """Queries (query_id, vec) with scored: array<struct<source_id, scores array<struct<centroid_ix, score>>>>, in order.
 
     What sources publish is small beside the questions: as one broadcast row it meets every question in a map, and all
     of a question's scores are in its own row, so ranking needs no shuffle. Beyond BROADCAST_CENTROIDS the centroids go
-    through a join by parts of the table instead and are gathered per question; the rows are the same.
+    through a join by parts of the table instead and are gathered per question; the rows are the same. product scores by
+    the product of the question's unit vector with the centroid as it is.
     """
-    q = queries.select("query_id", widen(F.col("vec")).alias("qv")).withColumn("qn", norm(F.col("qv")))
+    asked = widen(F.col("vec"))
+    q = queries.select("query_id", (normalise(asked) if product else asked).alias("qv")).withColumn("qn", norm(F.col("qv")))
 
     def score(c: Column) -> Column:
-        s = cosine(F.col("qv"), c["vec"], F.col("qn"), c["norm"])
+        s = dot(F.col("qv"), c["vec"]) if product else cosine(F.col("qv"), c["vec"], F.col("qn"), c["norm"])
         return F.round(clip01(s) if clip else s, 6)
 
     inner = lambda x: F.transform(x["centroids"], lambda c: F.struct(c["centroid_ix"].alias("centroid_ix"), score(c).alias("score")))

@@ -59,9 +59,8 @@ K3 = f"WITH {OPENED} SELECT query_id, source_id, doc_id, row_number() OVER (PART
 
 def k15_private_retrieve(spark, sf):
     """Each node opens its two nearest clusters and one other by a hash, and returns its best passage of the wanted ones."""
-    q = topics(spark, sf).select("query_id", v.normalise(F.col("vec")).alias("u"))
-    near = q.crossJoin(F.broadcast(r.published(centroids(spark, sf)))).select("query_id", "u", F.explode("sources").alias("s"))
-    order = F.array_sort(F.transform("s.centroids", lambda x: F.struct((-F.round(v.dot(F.col("u"), x["vec"]), 6)).alias("k"), x["centroid_ix"].alias("c"))))
+    near = r.centroid_arrays(topics(spark, sf), centroids(spark, sf), product=True).select("query_id", F.explode("scored").alias("s"))
+    order = F.array_sort(F.transform("s.scores", lambda x: F.struct((-x["score"]).alias("k"), x["centroid_ix"].alias("c"))))
     ranked = near.select("query_id", F.col("s.source_id").alias("source_id"), F.posexplode(order).alias("p", "x")).select("query_id", "source_id", "p", F.col("x.c").alias("cluster"))
     key = F.sha2(F.concat_ws(":", F.col("query_id").cast("string"), F.col("source_id").cast("string"), F.col("cluster").cast("string")), 256)
     other = ranked.where("p >= 2").withColumn("n", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy(key))).where("n = 1").select("query_id", "source_id", "cluster", F.lit(False).alias("wanted"))

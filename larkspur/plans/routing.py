@@ -314,9 +314,8 @@ R22 = with_base("SELECT query_id, source_id || ':' || centroid_ix AS topic FROM
 
 def r23_assign_clusters(spark, sf):
     """The two clusters of each source that a question probes, by product with its unit vector."""
-    q = questions(spark, sf).select("query_id", v.normalise(F.col("vec")).alias("qv")).crossJoin(F.broadcast(r.published(centroids(spark, sf))))
-    s = q.select("query_id", "qv", F.explode("sources").alias("s"))
-    order = F.array_sort(F.transform("s.centroids", lambda c: F.struct((-F.round(v.dot(F.col("qv"), c["vec"]), 6)).alias("k"), c["centroid_ix"].alias("centroid_ix"))))
+    s = r.centroid_arrays(questions(spark, sf), centroids(spark, sf), product=True).select("query_id", F.explode("scored").alias("s"))
+    order = F.array_sort(F.transform("s.scores", lambda c: F.struct((-c["score"]).alias("k"), c["centroid_ix"].alias("centroid_ix"))))
     each = s.select("query_id", F.col("s.source_id").alias("source_id"), F.posexplode(F.slice(order, 1, 2)).alias("p", "c"))
     return each.select("query_id", "source_id", "c.centroid_ix", (-F.col("c.k")).alias("score"), (F.col("p") + 1).alias("rank"))
 

@@ -27,7 +27,11 @@ def as_array(sources, *columns):
 
 
 def with_known(rows, facts, *columns):
-    """rows with sources: array<struct<source_id, score>> widened by what is known of each source."""
+    """rows with sources: array<struct<source_id, score>> widened by what is known of each source.
+
+    What is broadcast has one element per source, as each row's own array has.
+    """
+
     def fact(x):
         return r.let(F.get(F.filter("known", lambda k: k["source_id"] == x["source_id"]), F.lit(0)), lambda k: F.struct(x["source_id"].alias("source_id"), x["score"].alias("score"), *(k[c].alias(c) for c in columns)))
 
