@@ -234,10 +234,16 @@ def apply_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", counte
 
     counted adds n_<label> columns, or raises those that are there.
     """
+    after = "redacted_" + "_" * sum(c.startswith("redacted_") for c in df.columns)
     for rule in rules:
         text, name = F.col(text_col), f"n_{rule.label.lower()}"
-        more = {name: F.coalesce(rule.count(text), F.lit(0)) + (F.col(name) if name in df.columns else F.lit(0))} if counted else {}
-        df = df.withColumns({text_col: rule.apply(text), **more})
+        if not counted:
+            df = df.withColumn(text_col, rule.apply(text))
+            continue
+        # most texts have no match of a rule, and only those that changed are searched again to count
+        n = F.when(text.isNull() | (F.col(after) == text), F.lit(0)).otherwise(rule.count(text))
+        df = df.withColumn(after, rule.apply(text)).withColumn(name, n + (F.col(name) if name in df.columns else F.lit(0)))
+        df = df.withColumn(text_col, F.col(after)).drop(after)
     return df
 
 
