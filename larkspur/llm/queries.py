@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, chat, embedding_dedup, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
+from . import binary_search, chat, embedding_dedup, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 
 #: Production parameters: the shards that documents are dealt to.
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -63,6 +63,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(added).withColumn("parts", chat.text_part(F.col("text")))))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 OP10_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -118,6 +122,28 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN roots ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+def _vector_codes_sql() -> str:
+    """The contract's arithmetic with every part against every entry, round by round."""
+    out = """WITH kept AS (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM kept, range(16) r(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 64)"""
+    near = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)])::BIGINT"
+    for r in range(3):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := {near}, e := e)) AS m FROM parts JOIN b{r} USING (p) GROUP BY vec_id, p)"""
+        if r < 2:
+            out += f""",
+s{r} AS (SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (SELECT p, m.e AS e, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM a{r}, range(1, len(x) + 1) t(i) GROUP BY ALL) GROUP BY p, e),
+b{r + 1} AS (SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM b{r} b LEFT JOIN s{r} s ON s.p = b.p AND s.e = b.e)"""
+    return out + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), book"""
+
+
+OP11_SQL = _vector_codes_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -129,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_vector_codes": op11_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op6_binary_search": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_chat_formatting": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op6_binary_search": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_chat_formatting": OP10_SQL, "op11_vector_codes": OP11_SQL}
