@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, chat, embedding_dedup, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity, vector_codes
+from . import binary_search, chat, conversation_repair, embedding_dedup, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 
 #: Production parameters: the shards that documents are dealt to.
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -67,6 +67,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(conversation_repair.repair(damaged, dropped_col="dropped"))
+
+
 OP10_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -144,6 +149,40 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 OP11_SQL = _vector_codes_sql()
 
+def _repair_sql() -> str:
+    """Costs and whole audits of the four states, row by row: the least of (cost, audit) is the cheapest and ASCII-least."""
+    blank = r"'[^\x20\x09-\x0D]'"
+    add = lambda q, cost, edit, only="true": f"{{'c': a.{q}.c + CASE WHEN {only} THEN {cost} ELSE 1000000 END, 'a': a.{q}.a || '{edit}'}}"
+    cut, may = "(x.k LIKE '%.')::INT", "x.k <> 'x'"
+    keep = lambda q, role: add(q, cut, "K", f"x.k LIKE '{role}%'")
+    rename = lambda q: add(q, f"2 + {cut}", "R", may)
+    users = ", ".join([*map(rename, ("q0", "q1", "q3")), *(keep(q, "u") for q in ("q0", "q1", "q3"))])
+    took = f"""{{'k': x.k, 'q0': {add("q0", 3, "D")}, 'q1': least({add("q1", 3, "D")}, {keep("q0", "s")}),
+      'q2': least({add("q2", 3, "D")}, {users}), 'q3': least({add("q3", 3, "D")}, {rename("q2")}, {keep("q2", "a")})}}"""
+    put = f"""{{'k': x.k, 'q0': a.q0, 'q1': a.q1, 'q2': least(a.q2, {add("q0", 2, "I")}, {add("q1", 2, "I")}, {add("q3", 2, "I")}), 'q3': least(a.q3, {add("q2", 2, "I")})}}"""
+    state = lambda k, far: f"{{'k': {k}, 'q0': {{'c': 0::BIGINT, 'a': ''}}, 'q1': {{'c': {far}::BIGINT, 'a': ''}}, 'q2': {{'c': {far}::BIGINT, 'a': ''}}, 'q3': {{'c': {far}::BIGINT, 'a': ''}}}}"
+    return f"""WITH keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, [CASE WHEN k % 8 = 0 THEN ascii(id[k // 8 + 1])::BIGINT ELSE 0 END FOR k IN range(8 * length(id))]),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS kind FROM keyed),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM crc, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+copies AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM rows_),
+placed AS (SELECT *, row_number() OVER w AS r, lead(role[1:1]) OVER w AS next FROM copies WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+seen AS (SELECT *, CASE WHEN NOT regexp_matches(text, {blank}) THEN 'b' WHEN again THEN 'd' WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (next IS NOT NULL AND role[1:1] || next NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE '' END || CASE WHEN fault = 't' THEN '.' ELSE '' END END ORDER BY r) AS ks FROM seen GROUP BY conv_id),
+best AS (SELECT * EXCLUDE (e), least(e.q0, e.q3) AS m FROM (SELECT * EXCLUDE (ks), list_reduce(list_concat([{state("''", 1000000)}],
+    [{state("y", 0)} FOR y IN list_concat(flatten([['+', '+', k] FOR k IN ks]), ['+', '+'])]), lambda a, x: CASE WHEN x.k = '+' THEN {put} ELSE {took} END) AS e FROM facts)),
+edits AS (SELECT conv_id, j, m.a[j] AS e, length(replace(m.a[1:j], 'I', '')) AS r FROM best, range(1, length(m.a) + 1) t(j)),
+left_ AS (SELECT conv_id, j, e, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY j) - 1 AS p, first_value(e = 'K' AND role[1:1] = 's') OVER (PARTITION BY conv_id ORDER BY j) AS sys FROM edits LEFT JOIN seen USING (conv_id, r) WHERE e <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (p - sys::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS l FROM left_ GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(m.c, 0) AS cost, coalesce(m.a, '') AS audit, sha256(coalesce(l, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best USING (conv_id) LEFT JOIN lines USING (conv_id)"""
+
+
+OP12_SQL = _repair_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -156,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op6_binary_search": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_chat_formatting": OP10_SQL, "op11_vector_codes": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op6_binary_search": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_chat_formatting": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_conversation_repair": OP12_SQL}
