@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, chat, conversation_repair, embedding_dedup, minhash_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity, vector_codes
+from . import binary_search, chat, conversation_repair, embedding_dedup, minhash_dedup, packing, pii_boosting, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 
 #: Production parameters: the shards that documents are dealt to.
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -72,6 +72,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.repair(damaged, dropped_col="dropped"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boosting.digest(pii_boosting.find(table(spark, sf_dir, "documents")))
+
+
 OP10_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -196,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op6_binary_search": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_chat_formatting": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_conversation_repair": OP12_SQL}
