@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .registry import mark_registry
+
 # ---- Fixed values: patterns, cue words and lists that must equal the published rules. ----
 
 EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
@@ -199,7 +201,7 @@ def all_uncommon(proper: Column) -> Callable[[Column], Column]:
 
 
 def registry_pattern(names: list[str]) -> str | None:
-    """Known names and ids in all their forms, longest first, as whole words in any case."""
+    """Known names and ids in all their forms (fixed values), longest first, as whole words in any case: for short lists."""
     forms = {n.strip() for n in names if n and n.strip()}
     for name in sorted(forms):
         *first, last = name.split()
@@ -248,7 +250,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", counte
 
 
 def deidentify(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "basic", registry: list[str] = (), id_patterns: list[str] = (), common: DataFrame | None = None,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "basic", registry: list[str] | DataFrame = (), id_patterns: list[str] = (), common: DataFrame | None = None,
     counted: bool = False, recogniser: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """df with identifiers in its text replaced by marks; other columns stay, null texts stay null.
@@ -257,17 +259,21 @@ def deidentify(
     of words that writers use in lower case, one column word) it also replaces pairs of capitalised words and places
     none of whose words is common: the texts' capitalised words meet the table in a join, so the dictionary may be of any
     size. id_col must tell rows apart for that step. A recogniser (a table to a table) runs first at level basic,
-    before the cued names at safe_harbor. A match that fails its rule's test is passed over whole.
+    before the cued names at safe_harbor. A match that fails its rule's test is passed over whole. registry is a short list
+    of known names and ids, or a table of any size (one column name), whose rows meet the texts' words in joins.
     """
     if level not in ("basic", "safe_harbor"):
         raise ValueError(f"unknown level: {level}")
     sh = level == "safe_harbor"
     if counted:
         df = df.withColumns({f"n_{x.lower()}": F.lit(0) for x in LABELS})
-    rules = basic_rules(registry, id_patterns, sh)
+    listed = registry if not isinstance(registry, DataFrame) else ()
+    rules = basic_rules(listed, id_patterns, sh)
     names = next(k for k, r in enumerate(rules) if r.label == "NAME")
     if recogniser is not None and not sh:
         df = recogniser(df)
+    if isinstance(registry, DataFrame):
+        df = mark_registry(df, registry, id_col, text_col, count_col="n_registry" if counted else None)
     df = apply_rules(df, rules[:names], text_col, counted)
     if recogniser is not None and sh:
         df = recogniser(df)

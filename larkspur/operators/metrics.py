@@ -60,6 +60,17 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def scorecard(df: DataFrame, row: str, axis: str, value: str, most: int = 1_000) -> DataFrame:
+    """Mean value per row and axis value, one column for each axis value that occurs, blank where there is none.
+
+    More than most different axis values are an error, since they would be columns.
+    """
+    found = [r[0] for r in df.select(axis).distinct().where(F.col(axis).isNotNull()).orderBy(axis).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns")
+    return df.groupBy(row).pivot(axis, found).agg(F.round(F.avg(value), 6))
+
+
 def source_inference(log: DataFrame, n: int) -> DataFrame:
     """The sources most contacted per topic (topic, source_id, seq): ties go to the one first observed."""
     c = log.groupBy("topic", "source_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import deidentify as d
 from ..functions import text as t
+from ..functions.registry import mark_registry
 from .routing import read
 
 GIVEN = ["Amara", "Bruno", "Chiara", "Devi", "Emeka", "Farah", "Goran", "Hana"]
@@ -102,6 +103,29 @@ def d3_case_notes(spark, sf):
     return out.select("doc_id", F.md5("text").alias("digest"), sum((F.col(n) for n in _sums(rules)), F.lit(0)).alias("marks"))
 
 
+def _person(key):
+    """A given name and a family name of letters that stand for the key's digits, one for each customer."""
+    given = F.element_at(F.array(*map(F.lit, GIVEN)), (F.pmod(key, F.lit(len(GIVEN))) + 1).cast("int"))
+    return given, F.concat(F.lit("K"), F.translate(key.cast("string"), "0123456789", "abcdefghij"))
+
+
+def d11_registry(spark, sf):
+    """Visit notes of all orders with their customers' names in several forms, against a registry of every second customer."""
+    key = F.col("o_custkey")
+    given, family = _person(key)
+    parts = [F.lit("Seen: "), given, F.lit(" "), family, F.lit("; "), F.upper(F.concat(family, F.lit(", "), given)), F.lit(" ("), F.left(given, F.lit(1)), F.lit(". "), family, F.lit("/"), F.left(given, F.lit(1)), F.lit(" "), family, F.lit(") not "), given, F.lit("-"), family, F.lit("x "), family, F.lit(" "), given, F.lit(".")]
+    notes = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(*parts).alias("text"))
+    one, two = _person(F.col("c_custkey"))
+    names = read(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(one, F.lit(" "), two).alias("name"))
+    return mark_registry(notes, names, count_col="marks").select("doc_id", F.md5("text").alias("digest"), "marks")
+
+
+_GIVEN_SQL, _FAMILY_SQL = _pick(GIVEN, "o_custkey"), "('K' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij'))"
+D11 = f"""WITH n AS (SELECT o_orderkey AS doc_id, {_GIVEN_SQL} AS g, {_FAMILY_SQL} AS f, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AS known FROM orders)
+SELECT doc_id, md5(CASE WHEN known THEN 'Seen: [NAME_OR_ID]; [NAME_OR_ID] ([NAME_OR_ID]/[NAME_OR_ID]) not ' || g || '-' || f || 'x [NAME_OR_ID].'
+  ELSE 'Seen: ' || g || ' ' || f || '; ' || upper(f || ', ' || g) || ' (' || g[1] || '. ' || f || '/' || g[1] || ' ' || f || ') not ' || g || '-' || f || 'x ' || f || ' ' || g || '.' END) AS digest, CASE WHEN known THEN 5 ELSE 0 END AS marks FROM n"""
+
+
 def d14_label_counts(spark, sf):
     """Replacements of each kind in the case notes, by order priority."""
     return _counted(case_notes(spark, sf).select("kind", "text"), d.basic_rules(REGISTRY, ID_PATTERNS), "kind")
@@ -168,6 +192,6 @@ w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t F
 SELECT bucket, count(*) AS docs, sum(n)::BIGINT AS n FROM b GROUP BY bucket"""
 
 QUERIES = {
-    "d1_redact_pii": (d1_redact_pii, D1), "d2_redact": (d2_redact, _counted_sql(d.basic_rules(), "documents", "source")), "d3_case_notes": (d3_case_notes, D3), "d13_safe_harbor": (d13_safe_harbor, None), "d14_label_counts": (d14_label_counts, D14),
+    "d1_redact_pii": (d1_redact_pii, D1), "d2_redact": (d2_redact, _counted_sql(d.basic_rules(), "documents", "source")), "d3_case_notes": (d3_case_notes, D3), "d11_registry": (d11_registry, D11), "d13_safe_harbor": (d13_safe_harbor, None), "d14_label_counts": (d14_label_counts, D14),
     "d15_placeholders": (d15_placeholders, D15), "a22_redaction_density": (a22_redaction_density, A22), "a22_redaction_recall": (a22_redaction_recall, A22_RECALL), "c14_embedded_texts": (c14_embedded_texts, C14),
 }

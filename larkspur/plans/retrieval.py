@@ -83,9 +83,12 @@ K16 = f"WITH {SCORED} SELECT f.doc_id, f.query_id AS guess, f.score, e.label = f
 
 
 def source_questions(spark, sf):
-    """One benchmark passage per source as its question: query_id (the source), text, terms."""
-    b = read(spark, sf, "benchmark").where("item_id < 20")
-    return b.select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("query_id"), "text", t.tokens(F.col("text")).alias("terms"))
+    """One benchmark passage per source as its question, by the source's number: query_id (the source), text, terms."""
+    b = read(spark, sf, "benchmark")
+    number = F.coalesce(F.regexp_extract("query_id", "[0-9]+", 0).try_cast("long"), F.lit(0))
+    sources = read(spark, sf, "documents").select(F.col("source").alias("query_id")).where("query_id is not null").distinct()
+    asked = sources.crossJoin(F.broadcast(b.agg(F.count("*").alias("n")))).withColumn("item_id", F.pmod(number, F.greatest(F.lit(1), "n")))
+    return asked.join(b, "item_id").select("query_id", "text", t.tokens(F.col("text")).alias("terms"))
 
 
 def source_pool(spark, sf):
@@ -98,10 +101,12 @@ def k4_bm25(spark, sf):
 
 
 _STOP = ", ".join(f"'{w}'" for w in t.LEXICAL_STOPWORDS)
-BM25 = f"""words AS (SELECT doc_id, source AS query_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS t FROM documents),
+ASKED = """asked AS (SELECT s.source AS query_id, b.text FROM (SELECT DISTINCT source, coalesce(TRY_CAST(regexp_extract(source, '[0-9]+') AS BIGINT), 0) % (SELECT count(*) FROM benchmark) AS k FROM documents) s JOIN benchmark b ON b.item_id = s.k),"""
+BM25 = f"""{ASKED}
+words AS (SELECT doc_id, source AS query_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS t FROM documents),
 lens AS (SELECT doc_id, query_id, len(t) AS len FROM words), stats AS (SELECT query_id, count(*) AS n, avg(len) AS avg_len FROM lens GROUP BY query_id),
 flat AS (SELECT doc_id, query_id, unnest(t) AS term FROM words),
-terms AS (SELECT DISTINCT 'src' || item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM benchmark WHERE item_id < 20),
+terms AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM asked),
 tf AS (SELECT f.query_id, f.doc_id, f.term, count(*) AS tf FROM flat f JOIN terms USING (query_id, term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
 part AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / coalesce(nullif(avg_len, 0), 1)))) AS bm25 FROM tf JOIN df USING (query_id, term) JOIN lens USING (query_id, doc_id) JOIN stats USING (query_id) GROUP BY query_id, doc_id),
 bm25 AS (SELECT query_id, doc_id, round(coalesce(bm25, 0)::DOUBLE, 6) AS bm25 FROM lens LEFT JOIN part USING (query_id, doc_id))"""
@@ -124,7 +129,7 @@ def hybrid_pool(spark, sf):
 
 
 HYBRID = f"""{BM25}, toks AS (SELECT doc_id, source AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), dn AS (SELECT doc_id, query_id, (('0x' || substr(sha256('m:' || w), 1, 8))::BIGINT % 256)::INT AS b, count(*)::DOUBLE AS n FROM toks GROUP BY ALL),
-qn AS (SELECT query_id, (('0x' || substr(sha256('m:' || w), 1, 8))::BIGINT % 256)::INT AS b, count(*)::DOUBLE AS n FROM (SELECT 'src' || item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id < 20) GROUP BY ALL),
+qn AS (SELECT query_id, (('0x' || substr(sha256('m:' || w), 1, 8))::BIGINT % 256)::INT AS b, count(*)::DOUBLE AS n FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM asked) GROUP BY ALL),
 ql AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM qn GROUP BY query_id), dl AS (SELECT doc_id, query_id, sqrt(sum(n * n)) AS l FROM dn GROUP BY ALL), dots AS (SELECT doc_id, sum(dn.n * qn.n) AS dot FROM dn JOIN qn USING (query_id, b) GROUP BY doc_id),
 p AS (SELECT b.query_id, b.doc_id, bm25, round(coalesce(dot / dl.l / ql.l, 0), 6) AS cosine FROM bm25 b LEFT JOIN dots USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN ql ON ql.query_id = b.query_id),
 z AS (SELECT query_id, doc_id, cosine, round(CASE WHEN count(*) OVER w < 2 THEN cosine ELSE
@@ -223,12 +228,12 @@ def d21_prompts(spark, sf):
     """Prompts with options, and with a conversation's turns as numbered passages."""
     turns = read(spark, sf, "conversations")
     by = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("all"))
-    one = by.select("conv_id", t.choice_prompt(F.get("all", F.lit(0)), F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.lit("yes"))).alias("a"), t.passage_prompt(F.get("all", F.lit(0)), F.slice("all", 2, 1000)).alias("b"))
+    one = by.select("conv_id", t.choice_prompt(F.get("all", F.lit(0)), F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.lit("yes"))).alias("a"), t.passage_prompt(F.get("all", F.lit(0)), F.slice("all", F.lit(2), F.size("all"))).alias("b"))
     return one.select("conv_id", F.md5("a").alias("choice"), F.md5("b").alias("passages"))
 
 
 D21_PROMPTS = f"""WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations GROUP BY conv_id),
-p AS (SELECT conv_id, x[1] AS q, array_to_string([('[' || i || '] ' || y) FOR y, i IN x[2:1001]], chr(10)) AS l FROM t)
+p AS (SELECT conv_id, x[1] AS q, array_to_string([('[' || i || '] ' || y) FOR y, i IN x[2:]], chr(10)) AS l FROM t)
 SELECT conv_id, md5(q || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || chr(10) || 'Choose the best option. Reply with the single option letter only.') AS choice,
   md5('{t.PROMPT[0].replace("'", "''").split(chr(10))[0]}' || chr(10) || chr(10) || 'Question: ' || q || chr(10) || chr(10) || 'Passages:' || chr(10) || CASE WHEN l = '' THEN '(none returned)' ELSE l END || chr(10) || chr(10) || 'Answer:') AS passages FROM p"""
 

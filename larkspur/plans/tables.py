@@ -101,7 +101,7 @@ def s9_node_files(spark, sf):
     s = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     listed = s.groupBy(F.concat(F.lit("node_"), F.col("n_regionkey").cast("string")).alias("node_id"), F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("s_name")).alias("all"))
     plain = F.when(F.col("k") % 2 == 0, F.col("all"))
-    named = F.when(F.col("k") % 2 == 1, F.create_map(F.lit("public"), F.slice("all", 1, 1), F.lit("clinical"), F.slice("all", 2, 10_000)))
+    named = F.when(F.col("k") % 2 == 1, F.create_map(F.lit("public"), F.slice("all", 1, 1), F.lit("clinical"), F.slice("all", F.lit(2), F.size("all"))))
     rows = listed.select("node_id", plain.alias("documents"), named.alias("collections"))
     lines = rows.select(F.to_json(F.struct("node_id", "documents", "collections")).alias("value")).unionByName(spark.range(1).select(F.lit('{"node_id": "broken", "documents": [').alias("value")))
     lines.withColumn("file", F.xxhash64("value")).repartition("file").write.partitionBy("file").text(path)
