@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
+from .quantiles import blocks_for, resample_shares, resample_sums
 
 #: Vectors of a source whose rounds one task takes, vectors of one block, and centroids of one part.
 LOCAL, BLOCK, PART = 20_000, 2_048, 1_024
@@ -259,27 +260,43 @@ def dirichlet_partition(docs: DataFrame, clients: int, alpha: float, seed: int =
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 1) -> DataFrame:
-    """Intervals of the paired metrics' difference and ratio (unit, a, b): mean_a, mean_b, diff, low, high, ratio, ratio_low, ratio_high, p, n.
+    """Intervals of the paired metrics' difference and ratio (unit, a, b), from resamples of n pairs: mean_a, mean_b, diff, low, high, ratio, ratio_low, ratio_high, p, n.
 
-    A unit without one of the two values is an error. Every pair gets a Poisson(1) weight per resample from a generator of
-    its own key, so resamples are partial sums that combine before the shuffle: the driver sees one row per resample. p is
-    twice the share of resamples on the far side of 0, 1 at most.
+    A unit without one of the two values is an error. Each resample draws exactly n pairs with replacement. Pairs are dealt
+    to blocks by a hash of the unit; how many of a resample's draws fall into a block follows from binomials that every
+    task computes alike (resample_shares()), and a block's own draws from a generator of its own. Tasks add up their
+    blocks, so what is shuffled is one row per task and resample, and the driver sees the blocks' sizes, 4,096 at most.
     """
-    d = pairs.select(F.xxhash64("unit").alias("unit"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    d = checkpointed(pairs.select("unit", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))
     broken, n = d.agg(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("int")), F.count("*")).first()
     if broken:
         raise ValueError("a paired comparison needs both values of every unit")
+    blocks = blocks_for(n)
+    dealt = d.withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int"))
+    sizes = [0] * blocks
+    for r in dealt.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+    share = resample_shares(sizes, resamples, seed)
 
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((resamples, 3))
-        for frame in frames:
-            for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
-                w = np.random.default_rng([seed, *(part["unit"].to_numpy().view(np.uint64) >> np.uint64(1)).tolist()]).poisson(1, (len(part), resamples))
-                total += w.T @ np.stack([part["a"], part["b"], np.ones(len(part))], 1)
-        yield pd.DataFrame({"r": np.arange(resamples, dtype=np.int32), "a": total[:, 0], "b": total[:, 1], "w": total[:, 2]})
+        total, held = np.zeros((resamples, 2)), []
+
+        def add() -> None:
+            block, values = int(held[0]["block"].iloc[0]), np.concatenate([h[["a", "b"]].to_numpy() for h in held])
+            total[:] += resample_sums(values, share(block), seed, block)
 
-    sums = d.mapInPandas(weigh, "r int, a double, b double, w double").groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).where("w > 0")
+        for frame in frames:
+            for _, part in frame.groupby("block", sort=True):
+                if held and held[0]["block"].iloc[0] != part["block"].iloc[0]:
+                    add()
+                    held = []
+                held.append(part)
+        if held:
+            add()
+        yield pd.DataFrame({"r": np.arange(resamples, dtype=np.int32), "a": total[:, 0], "b": total[:, 1]})
+
+    ordered = dealt.repartition("block").sortWithinPartitions("block", "unit", "a", "b").select("block", "a", "b")
+    sums = ordered.mapInPandas(weigh, "r int, a double, b double").groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("w", F.lit(n)).where("w > 0")
     means = sums.select((F.col("a") / F.col("w")).alias("a"), (F.col("b") / F.col("w")).alias("b")).select((F.col("a") - F.col("b")).alias("m"), (F.col("a") / F.greatest("b", F.lit(1e-12))).alias("q"))
     at = lambda c, q, name: F.percentile(c, F.lit(q)).alias(name)
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))

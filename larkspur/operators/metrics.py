@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
 from .routing import small
 from .running import running
 
@@ -53,11 +54,12 @@ def graded_metrics(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean, least, most, population deviation and exact percentiles of a metric."""
-    return df.groupBy(*keys).agg(
+    """Mean, least, most, population deviation and exact percentiles of a metric, for groups of any size."""
+    facts = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.min(value), 6).alias("least"), F.round(F.max(value), 6).alias("most"), F.round(F.stddev_pop(value), 6).alias("sd"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"),
     )
+    ranks = percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}).select(*(F.col(k).alias(f"p_{k}") for k in keys), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return facts.join(small(ranks), [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys]).drop(*(f"p_{k}" for k in keys))
 
 
 def scorecard(df: DataFrame, row: str, axis: str, value: str, most: int = 1_000) -> DataFrame:

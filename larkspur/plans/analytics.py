@@ -60,7 +60,7 @@ def a16_paired_bootstrap(spark, sf):
     one = m.binary_metrics(routed(spark, sf), rel, 5).select("query_id", F.col("ndcg").alias("a"))
     mean = r.ranked_sources(r.aggregate_arrays(scored(spark, sf), "mean")).select("query_id", F.col("source_id").alias("item"), "rank")
     two = m.binary_metrics(mean, rel, 5).select("query_id", F.col("ndcg").alias("b"))
-    return clusters.paired_bootstrap(one.join(two, "query_id").select(F.col("query_id").alias("unit"), "a", "b"))
+    return clusters.paired_bootstrap(one.join(two, "query_id", "full").select(F.col("query_id").alias("unit"), "a", "b"))
 
 
 def a18_stream_thirds(spark, sf):
