@@ -19,6 +19,8 @@ from .quantiles import blocks_for, resample_shares, resample_sums
 
 #: Vectors of a source whose rounds one task takes, vectors of one block, and centroids of one part.
 LOCAL, BLOCK, PART = 20_000, 2_048, 1_024
+#: Parts of a source's centroids that go to every block of it, to make bounds exact; with more, only their moves go.
+TIGHT = 64
 #: Centroids that move no further than this have settled.
 STILL = 1e-12
 
@@ -30,6 +32,48 @@ def _nearest(x: np.ndarray, centre: np.ndarray, spherical: bool) -> tuple[np.nda
     return best, score[np.arange(len(x)), best]
 
 
+def _two_nearest(x: np.ndarray, centre: np.ndarray, spherical: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _nearest(), and the score of the second best centroid."""
+    score = x @ centre.T - (0 if spherical else (centre * centre).sum(axis=1) / 2)
+    best, rows = score.argmax(axis=1), np.arange(len(x))
+    first = score[rows, best]
+    score[rows, best] = -np.inf
+    return best, first, score.max(axis=1)
+
+
+def _distance(x: np.ndarray, score: np.ndarray, spherical: bool) -> np.ndarray:
+    """Euclidean distance of each vector from a centroid with that score; from none, infinite."""
+    square = 2 - 2 * score if spherical else (x * x).sum(axis=1) - 2 * score
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _undecided(x: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndarray, shift: np.ndarray, level: bool, centre: np.ndarray | None, spherical: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors whose nearest centroid may have changed, and bounds moved along with the centroids.
+
+    upper is at least the distance from the own centroid, lower at most that from any other. Centroids that moved by shift
+    change them by no more than that, and a vector whose bounds still leave a gap keeps its centroid without a product.
+    Where they don't, one product with the own centroid makes upper exact again, if the centroids are at hand. The margin
+    covers rounding. Without level (centroids that are not all of length 1) products don't follow distances, and nothing
+    is decided.
+    """
+    if not level:
+        return np.ones(len(x), bool), upper, lower
+    upper, lower = upper + shift[own], lower - shift.max(initial=0.0)
+    margin = 1e-7 * (1 + np.sqrt((x * x).sum(axis=1)))
+    open_ = upper + margin >= lower
+    if centre is not None:
+        at = np.flatnonzero(open_ & np.isfinite(upper))
+        mine = centre[own[at]]
+        score = (x[at] * mine).sum(axis=1) - (0 if spherical else (mine * mine).sum(axis=1) / 2)
+        upper[at] = _distance(x[at], score, spherical)
+        open_[at] = upper[at] + margin[at] >= lower[at]
+    return open_, upper, lower
+
+
+def _level(centre: np.ndarray, spherical: bool) -> bool:
+    return not spherical or bool((np.abs((centre * centre).sum(axis=1) - 1) <= 1e-9).all())
+
+
 def _totals(x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sum and number of each cluster's vectors."""
     order = np.argsort(own, kind="stable")
@@ -77,11 +121,13 @@ def _matrix(packed: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f8").reshape(-1, width)
 
 
-def _fold(docs: DataFrame, keys: list[str], k: Column, rounds: int, spherical: bool, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _fold(docs: DataFrame, keys: list[str], k: Column, rounds: int, spherical: bool, least: int, seed: int, products: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Clusters of each group of docs (keys, doc_id, vec): members (keys, doc_id, cluster), and centroids (keys, cluster, vec, n).
 
     k is an expression of size, the group's number of vectors. The first k vectors in the order of a hash of doc_id are
-    the first centroids. least merges smaller clusters (0: none).
+    the first centroids. least merges smaller clusters (0: none). Bounds on the distances tell which vectors can have changed
+    their centroid; only these are multiplied with the centroids: see _undecided(). products, if given, gets the number of
+    products and of all that there would be in each round of the groups too large for one task.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     group = ", ".join(f"{c} {kinds[c]}" for c in keys)
@@ -93,11 +139,18 @@ def _fold(docs: DataFrame, keys: list[str], k: Column, rounds: int, spherical: b
         frame = frame.sort_values(["h", "doc_id"]).reset_index(drop=True)
         x = np.stack([np.asarray(v, np.float64) for v in frame["vec"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), STILL) if spherical else x
-        centre = x[: int(frame["k"].iloc[0])]
+        centre, own, shift = x[: int(frame["k"].iloc[0])], np.zeros(len(x), np.int64), np.zeros(1)
+        upper, lower = np.full(len(x), np.inf), np.zeros(len(x))
         for _ in range(rounds):
-            own = np.concatenate([_nearest(x[a : a + BLOCK], centre, spherical)[0] for a in range(0, len(x), BLOCK)])
+            open_, upper, lower = _undecided(x, own, upper, lower, shift, _level(centre, spherical), centre, spherical)
+            rows = np.flatnonzero(open_)
+            for a in range(0, len(rows), BLOCK):
+                part = rows[a : a + BLOCK]
+                own[part], first, second = _two_nearest(x[part], centre, spherical)
+                upper[part], lower[part] = _distance(x[part], first, spherical), _distance(x[part], second, spherical)
             total, n = _totals(x, own, len(centre))
             moved = _moved(centre, total, n, spherical)
+            shift = np.sqrt(((moved - centre) ** 2).sum(axis=1))
             still, centre = np.abs(moved - centre).max() <= STILL, moved
             if still:
                 break
@@ -114,11 +167,11 @@ def _fold(docs: DataFrame, keys: list[str], k: Column, rounds: int, spherical: b
     large = named.where(F.col("size") > LOCAL)
     if large.isEmpty():
         return out
-    far = _rounds(large, keys, group, kinds["doc_id"], rounds, spherical, least)
+    far = _rounds(large, keys, group, kinds["doc_id"], rounds, spherical, least, products)
     return out[0].unionByName(far[0]), out[1].unionByName(far[1])
 
 
-def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds: int, spherical: bool, least: int) -> tuple[DataFrame, DataFrame]:
+def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds: int, spherical: bool, least: int, products: list | None = None) -> tuple[DataFrame, DataFrame]:
     """The rounds of groups too large for one task: see _fold(). Each round's centroids are checkpointed."""
     named = checkpointed(named)
     width = named.select(F.size("vec")).first()[0]
@@ -142,36 +195,80 @@ def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds:
         frame = frame.sort_values("cluster")
         x = np.stack([np.asarray(v, np.float64) for v in frame["vec"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), STILL) if spherical else x
-        return frame.iloc[[0]][[*keys, "part"]].assign(x=[x.tobytes()], total=[b""], n=[b""], moved=np.inf)
+        return frame.iloc[[0]][[*keys, "part"]].assign(x=[x.tobytes()], total=[b""], n=[b""], shift=[np.zeros(len(x)).tobytes()], moved=np.inf, level=_level(x, spherical))
 
-    shape = f"{group}, part long, x binary, total binary, n binary, moved double"
+    shape = f"{group}, part long, x binary, total binary, n binary, shift binary, moved double, level boolean"
     centres = checkpointed(first.withColumn("part", F.floor(F.col("cluster") / PART)).groupBy(*keys, "part").applyInPandas(part, shape))
+    bounds = f"{group}, block long, own binary, upper binary, lower binary"
 
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = [len(_matrix([x], width)) for x in frame["x"]]
+            yield frame[[*keys, "block"]].assign(own=[np.zeros(k, "<i8").tobytes() for k in n], upper=[np.full(k, np.inf).tobytes() for k in n], lower=[np.zeros(k).tobytes() for k in n])
+
+    def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks with their moved bounds and the rows that are still open, with these rows' vectors."""
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                best, score = _nearest(_matrix([r.x], width), _matrix([r.c], width), spherical)
-                rows.append((*(getattr(r, c) for c in keys), r.block, (best + r.part * PART).astype("<i8").tobytes(), score.tobytes()))
-            yield pd.DataFrame(rows, columns=[*keys, "block", "best", "score"])
+                x, parts = _matrix([r.x], width), sorted(r.shifts, key=lambda s: s["part"])
+                shift, centre = np.concatenate([np.frombuffer(s["shift"], "<f8") for s in parts]), None
+                if all(s["x"] for s in parts):
+                    centre = _matrix([s["x"] for s in parts], width)
+                open_, upper, lower = _undecided(x, np.frombuffer(r.own, "<i8"), np.frombuffer(r.upper, "<f8"), np.frombuffer(r.lower, "<f8"), shift, r.level, centre, spherical)
+                at = np.flatnonzero(open_)
+                rows.append((*(getattr(r, c) for c in keys), r.block, r.own, upper.tobytes(), lower.tobytes(), at.astype("<i8").tobytes(), x[at].tobytes(), len(at), len(x)))
+            yield pd.DataFrame(rows, columns=[*keys, "block", "own", "upper", "lower", "rows", "x", "open", "size"])
 
-    def best_of(frame: pd.DataFrame) -> pd.DataFrame:
-        best = np.stack([np.frombuffer(b, "<i8") for b in frame["best"]])
-        score = np.stack([np.frombuffer(b, "<f8") for b in frame["score"]])
-        order = np.lexsort((best, -score), axis=0)[0] if len(best) > 1 else np.zeros(best.shape[1], np.int64)
-        return frame.iloc[[0]][[*keys, "block"]].assign(own=[best[order, np.arange(best.shape[1])].tobytes()])
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                best, one, two = _two_nearest(_matrix([r.x], width), _matrix([r.c], width), spherical)
+                rows.append((*(getattr(r, c) for c in keys), r.block, (best + r.part * PART).astype("<i8").tobytes(), one.tobytes(), two.tobytes()))
+            yield pd.DataFrame(rows, columns=[*keys, "block", "best", "one", "two"])
+
+    def best_of(key: tuple, old: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """The block's bounds with its open rows settled: the best of all parts, and the second best of all."""
+        own, upper, lower = (np.frombuffer(old[c].iloc[0], kind).copy() for c, kind in (("own", "<i8"), ("upper", "<f8"), ("lower", "<f8")))
+        if len(found):
+            at, x = np.frombuffer(old["rows"].iloc[0], "<i8"), _matrix(old["x"], width)
+            best, one, two = (np.stack([np.frombuffer(b, kind) for b in found[c]]) for c, kind in (("best", "<i8"), ("one", "<f8"), ("two", "<f8")))
+            order = np.lexsort((best, -one), axis=0)[0] if len(best) > 1 else np.zeros(best.shape[1], np.int64)
+            each = np.arange(best.shape[1])
+            first = one[order, each]
+            rest = one.copy()
+            rest[order, each] = -np.inf
+            own[at], upper[at], lower[at] = best[order, each], _distance(x, first, spherical), _distance(x, np.maximum(rest.max(axis=0), two.max(axis=0)), spherical)
+        return old.iloc[[0]][[*keys, "block"]].assign(own=[own.tobytes()], upper=[upper.tobytes()], lower=[lower.tobytes()])
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums per part of the clusters, added up over the blocks that a task has before anything is shuffled."""
+        held: dict = {}
         for frame in frames:
-            rows = []
             for r in frame.itertuples(index=False):
                 x, own = _matrix([r.x], width), np.frombuffer(r.own, "<i8")
                 for p in np.unique(own // PART):
                     mine = own // PART == p
                     total, n = _totals(x[mine], own[mine] - p * PART, PART)
-                    used = np.flatnonzero(n)
-                    rows.append((*(getattr(r, c) for c in keys), int(p), used.astype("<i8").tobytes(), total[used].tobytes(), n[used].tobytes()))
-            yield pd.DataFrame(rows, columns=[*keys, "part", "used", "total", "n"])
+                    name = (*(getattr(r, c) for c in keys), int(p))
+                    if name in held:
+                        held[name][0][:] += total
+                        held[name][1][:] += n
+                    else:
+                        held[name] = (total, n)
+            if len(held) > 256:
+                yield _sent(held)
+                held = {}
+        if held:
+            yield _sent(held)
+
+    def _sent(held: dict) -> pd.DataFrame:
+        rows = []
+        for name, (total, n) in held.items():
+            used = np.flatnonzero(n)
+            rows.append((*name, used.astype("<i8").tobytes(), total[used].tobytes(), n[used].tobytes()))
+        return pd.DataFrame(rows, columns=[*keys, "part", "used", "total", "n"])
 
     def move(key: tuple, old: pd.DataFrame, added: pd.DataFrame) -> pd.DataFrame:
         centre = _matrix(old["x"], width)
@@ -181,11 +278,20 @@ def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds:
             total[used] += _matrix([r.total], width)
             n[used] += np.frombuffer(r.n, "<i8")
         moved = _moved(centre, total, n, spherical)
-        return old.iloc[[0]][[*keys, "part"]].assign(x=[moved.tobytes()], total=[total.tobytes()], n=[n.tobytes()], moved=np.abs(moved - centre).max())
+        shift = np.sqrt(((moved - centre) ** 2).sum(axis=1))
+        return old.iloc[[0]][[*keys, "part"]].assign(x=[moved.tobytes()], total=[total.tobytes()], n=[n.tobytes()], shift=[shift.tobytes()], moved=np.abs(moved - centre).max(), level=_level(moved, spherical))
 
+    own = blocks.mapInPandas(begin, bounds)
     for _ in range(rounds):
-        pairs = blocks.join(centres.select(*keys, "part", F.col("x").alias("c")), keys).select(*keys, "block", "part", "x", "c")
-        own = checkpointed(pairs.mapInPandas(near, f"{group}, block long, best binary, score binary").groupBy(*keys, "block").applyInPandas(best_of, f"{group}, block long, own binary"))
+        whole = F.when(F.count("*") <= TIGHT, F.collect_list(F.struct("part", "shift", "x"))).otherwise(F.collect_list(F.struct("part", "shift", F.lit(b"").alias("x"))))
+        shifts = centres.groupBy(*keys).agg(whole.alias("shifts"), F.min("level").alias("level"))
+        open_ = checkpointed(blocks.drop("size", "ids").join(own, [*keys, "block"]).join(shifts, keys).mapInPandas(narrow, f"{bounds}, rows binary, x binary, open long, size long"))
+        if products is not None:
+            k = centres.groupBy(*keys).agg(F.sum(F.octet_length("shift") / 8).alias("k"))
+            products.append(tuple(open_.join(k, keys).agg(F.sum(F.col("open") * F.col("k")), F.sum(F.col("size") * F.col("k"))).first()))
+        pairs = open_.where("open > 0").select(*keys, "block", "x").join(centres.select(*keys, "part", F.col("x").alias("c")), keys)
+        found = pairs.mapInPandas(near, f"{group}, block long, best binary, one binary, two binary")
+        own = checkpointed(open_.groupBy(*keys, "block").cogroup(found.groupBy(*keys, "block")).applyInPandas(best_of, bounds))
         added = blocks.join(own, [*keys, "block"]).mapInPandas(sums, f"{group}, part long, used binary, total binary, n binary")
         centres = checkpointed(centres.groupBy(*keys, "part").cogroup(added.groupBy(*keys, "part")).applyInPandas(move, shape))
         if centres.agg(F.max("moved")).first()[0] <= STILL:
