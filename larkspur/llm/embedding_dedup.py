@@ -22,13 +22,13 @@ NEIGHBOURS, MOST_NEIGHBOURS = 16, 64
 #: Candidates that one neighbourhood offers to each member's list, and rounds of the descent.
 OFFERS, ROUNDS = 2, 14
 #: Share of the list entries that still changes when the descent ends; the audit tells whether that was too early.
-SETTLED = 0.03
+SETTLED = 0.001
 #: Tries with more tables and longer lists, vectors of the audit, and the recall that it asks for.
 TRIES, AUDIT, RECALL = 3, 512, 0.998
 #: What half-precision cosines may be off by.
 ROUGH = 0.01
-#: Vectors of one block of the exact counts, and rows that share one salted key.
-BLOCK, SALTED = 512, 50_000
+#: Vectors of one block of the exact counts, blocks of a component from which they grow, and rows that share one salted key.
+BLOCK, BLOCKS, SALTED = 512, 32, 50_000
 #: Vectors of one block when gaps are closed, and the fewest blocks that share the work.
 GAP_BLOCK, GAP_BLOCKS = 16384, 8
 
@@ -283,12 +283,13 @@ def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     """Links of each vector within its component (rep, component, n, x): rep, linked (rows that have a linked vector).
 
     All links lie within components. Small ones are counted many at a time, in groups whose number follows the members';
-    a large one is cut into blocks, and each pair of blocks is one product of two matrices: no pair of vectors is a row
-    anywhere.
+    a large one is cut into blocks, which grow with it up to GAP_BLOCK, and each pair of blocks is one product of two
+    matrices: no pair of vectors is a row anywhere, and a vector is sent as often as its component has blocks.
     """
     groups = 64 + members.count() // 1_000
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    width = F.greatest(F.lit(BLOCK), F.least(F.lit(GAP_BLOCK), F.ceil(F.col("size") / BLOCKS)))
+    blocks = F.ceil(F.col("size") / width).cast("int")
     sized = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = sized.select("rep", "component", "n", "x", "own", F.explode(others).alias("pair"), "blocks")
