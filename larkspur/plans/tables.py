@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..operators.running import rank_by_hash
 from ..sources import readers
+from ..sources.keyed import KeyedTable, embed_cached
 from ..sources.shared import shared_folder
 from .routing import BASE, centroids, read, vectors
 
@@ -162,6 +163,28 @@ def s14_cache_misses(spark, sf):
 S14 = "WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0), m AS (SELECT count(DISTINCT text) AS misses FROM documents WHERE text NOT IN (SELECT text FROM c)) SELECT lang, count(*) AS hits, (SELECT misses FROM m) AS misses FROM documents WHERE text IN (SELECT text FROM c) GROUP BY lang"
 
 
+def s14_embedding_upsert(spark, sf):
+    """A cache that is asked twice: it holds every second document's text at first, embeds and stores what it misses, and
+    then has all; every tenth text is embedded anew at the end, and its newest vector counts."""
+    d = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    cache = KeyedTable(spark, folder(spark, "vectors"), "key string, vec array<double>", buckets=16)
+    lengths = lambda k: lambda t: t.select("key", F.array((F.char_length("text") * k).cast("double"), F.lit(1.0)).alias("vec"))
+    embed_cached(d.where("doc_id % 2 = 0"), cache, "m", lengths(1))
+    first, missed = embed_cached(d, cache, "m", lengths(1))
+    again, none = embed_cached(d, cache, "m", lengths(5))
+    key = F.sha2(F.concat(F.lit("m\0"), F.col("text")).cast("binary"), 256)
+    cache.upsert(lengths(2)(d.where("doc_id % 10 = 0").select(key.alias("key"), "text").distinct()))
+    newest = again.select("lang", "key").join(cache.read(), "key").groupBy("lang").agg(F.sum(F.get("vec", F.lit(0))).alias("length"))
+    hits = first.groupBy("lang").agg(F.sum(F.col("cached").cast("long")).alias("hits"), F.count("*").alias("asked"))
+    counts = missed.agg(F.count("*").alias("embedded")).crossJoin(F.broadcast(none.agg(F.count("*").alias("embedded_again"))))
+    return hits.join(newest, "lang").crossJoin(F.broadcast(counts))
+
+
+S14_UPSERT = """WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT text FROM documents WHERE doc_id % 10 = 0)
+SELECT lang, count(*) FILTER (text IN (SELECT text FROM c)) AS hits, count(*) AS asked, sum(length(text) * CASE WHEN text IN (SELECT text FROM n) THEN 2 ELSE 1 END)::DOUBLE AS length,
+  (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM c)) AS embedded, 0::BIGINT AS embedded_again FROM documents GROUP BY lang"""
+
+
 def s17_newest_file(spark, sf):
     """Two files of one kind, the second newer: its row wins for each key that both have."""
     path = folder(spark, "newest")
@@ -197,5 +220,5 @@ F9 = "SELECT label, sum((vec_id % 9 <> 0)::INT)::BIGINT AS usable, round(sum(gre
 
 QUERIES = {
     "s1_corpus_file": (s1_corpus_file, S1), "s2_first_rows": (s2_first_rows, S2), "s3_qrels_file": (s3_qrels_file, S3), "s4_graded_file": (s4_graded_file, S4), "s5_queries_file": (s5_queries_file, S5), "s6_mapping_files": (s6_mapping_files, S6), "s7_similar_patients": (s7_similar_patients, S7), "s9_node_files": (s9_node_files, S9),
-    "s13_questions_file": (s13_questions_file, S13), "s14_cache_misses": (s14_cache_misses, S14), "s15_query_log": (s15_query_log, S15), "s16_results": (s16_results, S16), "s17_newest_file": (s17_newest_file, S17), "d22_payloads": (d22_payloads, D22), "f9_vector_checks": (f9_vector_checks, F9),
+    "s13_questions_file": (s13_questions_file, S13), "s14_cache_misses": (s14_cache_misses, S14), "s14_embedding_upsert": (s14_embedding_upsert, S14_UPSERT), "s15_query_log": (s15_query_log, S15), "s16_results": (s16_results, S16), "s17_newest_file": (s17_newest_file, S17), "d22_payloads": (d22_payloads, D22), "f9_vector_checks": (f9_vector_checks, F9),
 }
