@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import clusters as c
+from ..operators import inverted
 from ..operators import metrics as m
 from ..operators import retrieval as k
 from ..operators import routing as r
@@ -18,6 +19,7 @@ from ..operators.running import rank_by_hash
 from .analytics import A5, contacts, relevant, routed
 from .retrieval import SCORED, scored, topics
 from .routing import BASE, PLANES, centroids, count_bucket, grades, questions, read, vectors
+from .tables import folder
 
 
 def members(spark, sf):
@@ -101,11 +103,20 @@ K2 = f"WITH {SCORED}, r AS (SELECT query_id, source_id, row_number() OVER (PARTI
 
 
 def k10_inverted_lists(spark, sf):
-    """Ten nearest by distance among the three nearest lists of an index over label means."""
+    """Ten nearest by distance among the three nearest lists of a written index over label means."""
     docs = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vec")
-    lists = topics(spark, sf).select(F.col("query_id").alias("list_id"), "vec")
+    path = folder(spark, "lists")
+    inverted.write_lists(docs, topics(spark, sf).select(F.col("query_id").alias("list_id"), "vec"), path)
     asked = v.mean_vectors(vectors(spark, sf), ["shard"]).withColumnRenamed("shard", "query_id")
-    return k.probe_lists(asked, lists, k.inverted_lists(docs, lists), 3, 10)
+    return inverted.search_lists(spark, path, asked, 3, 10)
+
+
+def k10_trained_lists(spark, sf):
+    """The same over lists that are trained on the vectors, as many as the root of their number; every fiftieth vector asks."""
+    docs = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vec")
+    path = folder(spark, "lists")
+    inverted.write_lists(docs, inverted.train_lists(docs), path)
+    return inverted.search_lists(spark, path, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 8, 10)
 
 
 _SQUARE = "round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip({a}, {b})]), 9)"
@@ -120,6 +131,14 @@ def k13_corpus_selection(spark, sf):
     return k.bm25_corpus(read(spark, sf, "documents").select("doc_id", "text"), q, 3).groupBy("doc_id").agg(F.count("*").alias("wanted"))
 
 
+def k13_block_maxima(spark, sf):
+    """The same from written postings: only blocks of documents whose largest weights can reach the third best are opened."""
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), t.tokens(F.col("text")).alias("terms"))
+    path = folder(spark, "postings")
+    inverted.write_postings(read(spark, sf, "documents").select("doc_id", "text"), path)
+    return inverted.search_postings(spark, path, q, 3).groupBy("doc_id").agg(F.count("*").alias("wanted"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in t.LEXICAL_STOPWORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP}))"
 K13 = f"""WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM w), q AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS term FROM benchmark),
@@ -333,7 +352,7 @@ def s18_audit(spark, sf):
 S18 = "WITH l AS (SELECT user_id AS session, list((json_extract_string(props, '$.k')::INT % 12)::INT ORDER BY ts, event_id) AS d FROM events GROUP BY user_id), g AS (SELECT *, list_sort(list_distinct(d))[1:3] AS g FROM l) SELECT session, array_to_string([x FOR x IN d IF NOT list_contains(g, x)], ',') AS decoys FROM g"
 
 QUERIES = {
-    "k2_server_cap": (k2_server_cap, K2), "k3_rerank_pools": (k3_rerank_pools, K3), "k8_cross_node_rerank": (k8_cross_node_rerank, K8), "k10_inverted_lists": (k10_inverted_lists, K10), "k13_corpus_selection": (k13_corpus_selection, K13), "k14_blind_retrieve": (k14_blind_retrieve, K14), "k15_private_retrieve": (k15_private_retrieve, K15),
+    "k2_server_cap": (k2_server_cap, K2), "k3_rerank_pools": (k3_rerank_pools, K3), "k8_cross_node_rerank": (k8_cross_node_rerank, K8), "k10_inverted_lists": (k10_inverted_lists, K10), "k10_trained_lists": (k10_trained_lists, None), "k13_block_maxima": (k13_block_maxima, K13), "k13_corpus_selection": (k13_corpus_selection, K13), "k14_blind_retrieve": (k14_blind_retrieve, K14), "k15_private_retrieve": (k15_private_retrieve, K15),
     "k17_seeded_sample": (k17_seeded_sample, K17), "k18_required_first": (k18_required_first, K18), "j4_relevant_nodes": (j4_relevant_nodes, J4), "j6_chunked_envelopes": (j6_chunked_envelopes, J6), "j7_bucket_join": (j7_bucket_join, J7), "v12_multi_probe": (v12_multi_probe, V12), "a6_graded_ndcg": (a6_graded_ndcg, A6), "a12_recall": (a12_recall, A12),
     "a13_release": (a13_release, A13), "a17_cluster_bootstrap": (a17_cluster_bootstrap, None), "a27_contact_summary": (a27_contact_summary, A27), "a28_node_status": (a28_node_status, A28), "a29_agreement": (a29_agreement, None), "f3_public_only": (f3_public_only, F3), "f5_restricted_centroids": (f5_restricted_centroids, F5),
     "f10_registrations": (f10_registrations, F10), "s18_audit": (s18_audit, S18),
