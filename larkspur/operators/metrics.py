@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine
 from .quantiles import percentiles
 from .routing import small
 from .running import running
@@ -198,3 +199,29 @@ def trust_signal(weights: dict[str, float], field=F.col) -> Column:
     """Weighted mean of signals; weights that sum to 0 give 0."""
     total = sum(weights.values())
     return sum((field(c) * F.lit(w) for c, w in weights.items()), F.lit(0.0)) / total if total else F.lit(0.0)
+
+
+def attack_cases(cases: DataFrame, attacks: DataFrame, evidence: DataFrame, dispatched: DataFrame, attacker: str, top_ks: tuple[int, ...] = (0, 2)) -> DataFrame:
+    """How planted passages fare, per number of passages that stay (0: all): evidence_top_k, attack_cases, selected, cited,
+    mean_rank (when selected), attack_types.
+
+    cases: case_id, vec. attacks: attack_id, case_id, vec (of the planted passage), attack_type; an attack on a case that
+    isn't there is left out, several on one case count each. evidence: case_id, source_id, score (an honest source's best
+    passage). dispatched: case_id, source_id. Each contacted source gives its best passage, the attacker the planted one.
+    """
+    joined = attacks.join(small(cases.select("case_id", F.col("vec").alias("asked"))), "case_id").select("attack_id", "case_id", "attack_type", F.round(cosine(F.col("asked"), F.col("vec")), 6).alias("planted"))
+    contacts = joined.join(dispatched, "case_id").join(evidence, ["case_id", "source_id"], "left").withColumn("score", F.when(F.col("source_id") == attacker, F.col("planted")).otherwise(F.col("score")))
+    place = F.row_number().over(Window.partitionBy("attack_id").orderBy(F.desc("score"), "source_id"))
+    found = contacts.where("score is not null").withColumn("rank", place).where(F.col("source_id") == attacker).select(F.col("attack_id").alias("a"), "rank")
+    each = joined.join(found, F.col("attack_id") == F.col("a"), "left")
+    parts = [
+        each.agg(
+            F.lit(k).alias("evidence_top_k"), F.count("*").alias("attack_cases"), F.round(F.avg(F.col("rank").isNotNull().cast("int")), 6).alias("selected"),
+            F.round(F.avg(F.coalesce((F.col("rank") <= k) if k else F.col("rank").isNotNull(), F.lit(False)).cast("int")), 6).alias("cited"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.array_join(F.array_sort(F.collect_set("attack_type")), ",").alias("attack_types"),
+        )
+        for k in top_ks
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import clusters
+from ..operators import clusters, logs
 from ..operators import metrics as m
 from ..operators import routing as r
 from ..operators.running import running
+from ..sources import readers
+from ..sources.shared import shared_folder
 from .routing import BASE, GRADES, grades, read, scored, shard_table
 
 
@@ -72,25 +76,41 @@ def a18_stream_thirds(spark, sf):
 A18 = "SELECT user_id, third, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT user_id, value, ntile(3) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS third FROM events) GROUP BY user_id, third"
 
 
+def question_log(spark, sf):
+    """Orders as questions, their suppliers' groups as contacted sources: records with maps, written as JSON lines and read back."""
+    line = read(spark, sf, "lineitem").withColumn("node", F.concat(F.lit("node_"), F.pmod("l_suppkey", F.lit(12)).cast("string")))
+    per = line.groupBy("l_orderkey", "node").agg(F.sum("l_quantity").alias("ms"), F.count("*").alias("n"), F.sum(F.round("l_extendedprice")).alias("price"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("back"), F.max((F.col("l_quantity") == 50).cast("int")).alias("full"))
+    maps = lambda c: F.map_from_entries(F.collect_list(F.struct("node", c)))
+    by = per.groupBy("l_orderkey").agg(maps(F.col("ms")).alias("contact_ms"), maps(F.col("n") * 100.0).alias("request"), maps(F.col("price")).alias("response"), maps(F.col("back")).alias("disclosed"), maps(F.col("n")).alias("probes"), F.sum("ms").alias("all"),
+        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("full") == 1, F.struct("node", F.lit("timeout").alias("e")))), lambda x: x.isNotNull())).alias("errors"))
+    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("mode"))
+    stage = F.create_map(F.lit("embed"), F.lit(3.0), F.lit("routing"), F.lit(2.0), F.lit("total"), F.col("all") + 5.0)
+    log = by.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").cast("string").alias("query_id"), "mode", stage.alias("stage_ms"), "contact_ms", "request", "response", "disclosed", "probes", "errors")
+    path = f"{shared_folder(spark)}/question-log-{uuid.uuid4().hex}"
+    readers.append_log(log, path)
+    return spark.read.schema(logs.RECORD).json(path)
+
+
 def a20_transport(spark, sf):
-    """Milliseconds and bytes by node from the log's maps."""
-    e = read(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    log = e.select("event_type", F.create_map(F.lit("ms"), F.col("value"), F.lit("bytes"), (k * 100).cast("double")).alias("parts"))
-    return log.select("event_type", F.explode("parts").alias("metric", "x")).groupBy("event_type", "metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", F.lit(0.95)), 6).alias("p95"), F.count("*").alias("n"))
+    """Times and bytes by mode from the log's maps."""
+    out = logs.transport(question_log(spark, sf))
+    return out.select("mode", "questions", "errors", *(F.round(c, 6).alias(c) for c in ("contacts", "total_ms", "total_p95", "contact_ms", "contact_p95", "request_bytes", "response_bytes")))
 
 
-A20 = """WITH p AS (SELECT event_type, unnest([{'metric': 'ms', 'x': value}, {'metric': 'bytes', 'x': (json_extract_string(props, '$.k')::INT * 100)::DOUBLE}], recursive := true) FROM events)
-SELECT event_type, metric, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.95), 6) AS p95, count(*) AS n FROM p GROUP BY event_type, metric"""
+QUESTIONS = """per AS (SELECT l_orderkey, o_orderpriority AS mode, l_suppkey % 12 AS node, sum(l_quantity) AS ms, count(*) * 100.0::DOUBLE AS asked, sum(round(l_extendedprice)) AS got, sum((l_returnflag = 'R')::INT) AS disclosed, count(*) AS probes, max((l_quantity = 50)::INT) AS err
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+A20 = f"""WITH {QUESTIONS}, q AS (SELECT l_orderkey, mode, count(*) AS contacts, sum(ms) + 5 AS total, sum(asked) AS asked, sum(got) AS got, sum(err) AS errors FROM per GROUP BY l_orderkey, mode),
+c AS (SELECT mode, round(avg(ms), 6) AS contact_ms, round(quantile_cont(ms, 0.95), 6) AS contact_p95 FROM per GROUP BY mode)
+SELECT q.mode, count(*) AS questions, sum(errors)::BIGINT AS errors, round(avg(contacts), 6) AS contacts, round(avg(total), 6) AS total_ms, round(quantile_cont(total, 0.95), 6) AS total_p95, any_value(contact_ms) AS contact_ms, any_value(contact_p95) AS contact_p95, round(avg(asked), 6) AS request_bytes, round(avg(got), 6) AS response_bytes FROM q JOIN c USING (mode) GROUP BY q.mode"""
 
 
 def a21_modelled_latency(spark, sf):
-    """Slowest contacted supplier of each order: round trip, work and transfer."""
-    part = F.lit(40.0) + F.col("l_quantity") + F.col("l_extendedprice") / 12500.0
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.max(part) + 5.0, 6).alias("latency"), F.count("*").alias("contacts"))
+    """Each question's device time and its slowest source: round trip, work and transfer."""
+    out = logs.modelled_latency(question_log(spark, sf))
+    return out.select(F.col("query_id").cast("long").alias("l_orderkey"), F.round("latency", 6).alias("latency"), F.col("contacts").cast("long").alias("contacts"))
 
 
-A21 = "SELECT l_orderkey, round(max(40.0::DOUBLE + l_quantity + l_extendedprice / 12500.0::DOUBLE) + 5.0, 6) AS latency, count(*) AS contacts FROM lineitem GROUP BY l_orderkey"
+A21 = f"WITH {QUESTIONS} SELECT l_orderkey, round(5 + max(40.0::DOUBLE + ms + got * 8000.0::DOUBLE / 1e8), 6) AS latency, count(*) AS contacts FROM per GROUP BY l_orderkey"
 
 
 def a24_scorecard(spark, sf):

@@ -176,6 +176,33 @@ e AS (SELECT * FROM b UNION ALL SELECT query_id, -1, round(list_cosine_similarit
 SELECT count(*) AS cases, round(avg((rank <= 2)::INT), 6) AS cited_top2, 1.0::DOUBLE AS cited_all, round(avg(rank), 6) AS mean_rank FROM r WHERE source_id = -1"""
 
 
+def j12_attack_cases(spark, sf):
+    """Planted passages against the topics that they aim at (none at the last one): a forged source at the attacked questions' mean
+    among the published ones, four contacts a question; the passages are each label's first and last vector."""
+    q = topics(spark, sf)
+    e = vectors(spark, sf).where("label < 9")
+    pick = lambda f, kind, k: e.groupBy("label").agg(f("vec", "vec_id").alias("vec")).select((F.col("label") * 2 + k).alias("attack_id"), F.col("label").alias("case_id"), "vec", F.lit(kind).alias("attack_type"))
+    attacks = pick(F.min_by, "first", 0).unionByName(pick(F.max_by, "last", 1))
+    aimed = attacks.select(F.col("case_id").alias("query_id")).join(r.small(q), "query_id")
+    forged = v.mean_vectors(aimed.withColumn("all", F.lit(1)), ["all"]).select(F.lit("attacker").alias("source_id"), F.lit(0).alias("centroid_ix"), v.normalise(F.col("vec")).alias("vec"))
+    name = F.concat(F.lit("shard_"), F.lpad(F.col("source_id").cast("string"), 2, "0")).alias("source_id")
+    published = centroids(spark, sf).select(name, "centroid_ix", "vec").unionByName(forged)
+    sent = r.cosine_router(q, published, "max", 4).select(F.col("query_id").alias("case_id"), "source_id")
+    best = passages(spark, sf).groupBy("query_id", "source_id").agg(F.max("score").alias("score")).select(F.col("query_id").alias("case_id"), name, "score")
+    return m.attack_cases(q.withColumnRenamed("query_id", "case_id"), attacks, best, sent, "attacker")
+
+
+J12 = f"""WITH {SCORED}, b AS (SELECT query_id, 'shard_' || lpad(source_id::VARCHAR, 2, '0') AS source, max(score) AS score FROM found GROUP BY ALL),
+t AS (SELECT label * 2 AS attack_id, label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS p, 'first' AS kind FROM embeddings WHERE label < 9 GROUP BY label UNION ALL SELECT label * 2 + 1, label, arg_max(embedding, vec_id)::DOUBLE[], 'last' FROM embeddings WHERE label < 9 GROUP BY label),
+a AS (SELECT t.*, q, round(list_cosine_similarity(q, p), 6) AS planted FROM t JOIN asked USING (query_id)),
+f AS (SELECT list(x ORDER BY i) AS vec FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a) GROUP BY i)),
+c AS (SELECT 'shard_' || lpad(source_id::VARCHAR, 2, '0') AS source, vec FROM centroids UNION ALL SELECT 'attacker', vec FROM f),
+sent AS (SELECT query_id, source FROM (SELECT query_id, source, max(round(list_cosine_similarity(q, vec), 6)) AS s FROM asked, c GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source) <= 4),
+e AS (SELECT attack_id, source, row_number() OVER (PARTITION BY attack_id ORDER BY CASE WHEN source = 'attacker' THEN planted ELSE score END DESC, source) AS r FROM a JOIN sent USING (query_id) LEFT JOIN b USING (query_id, source)),
+w AS (SELECT a.attack_id, kind, r FROM a LEFT JOIN (SELECT * FROM e WHERE source = 'attacker') x USING (attack_id))
+SELECT k AS evidence_top_k, count(*) AS attack_cases, round(avg((r IS NOT NULL)::INT), 6) AS selected, round(avg((r IS NOT NULL AND (k = 0 OR r <= k))::INT), 6) AS cited, round(avg(r), 6) AS mean_rank, string_agg(DISTINCT kind, ',' ORDER BY kind) AS attack_types FROM w, (VALUES (0), (2)) n(k) GROUP BY k"""
+
+
 def l19_enumeration(spark, sf):
     """Fewest questions, and days of a budget of six points, until two clusters a question have opened all of a source's."""
     n = centroids(spark, sf).groupBy("source_id").agg(F.count("*").alias("clusters"))
@@ -222,5 +249,5 @@ SELECT topic, query_id, sum((seen = k)::INT)::BIGINT AS always FROM s GROUP BY t
 
 QUERIES = {
     "l3_running_intersection": (l3_running_intersection, L3), "l5_repeated_topics": (l5_repeated_topics, L5), "l7_session_attack": (l7_session_attack, L7), "l10_evaluate": (l10_evaluate, L10), "l13_floors": (l13_floors, L13), "l14_exemption": (l14_exemption, L14),
-    "l15_heavy_means": (l15_heavy_means, L15), "l16_recovery_by_noise": (l16_recovery_by_noise, None), "l18_planted_passage": (l18_planted_passage, L18), "l19_enumeration": (l19_enumeration, L19), "l20_defences": (l20_defences, None), "t4_decoy_exemption": (t4_decoy_exemption, T4),
+    "l15_heavy_means": (l15_heavy_means, L15), "l16_recovery_by_noise": (l16_recovery_by_noise, None), "l18_planted_passage": (l18_planted_passage, L18), "l19_enumeration": (l19_enumeration, L19), "j12_attack_cases": (j12_attack_cases, J12), "l20_defences": (l20_defences, None), "t4_decoy_exemption": (t4_decoy_exemption, T4),
 }

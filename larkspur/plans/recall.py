@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import clusters as c
-from ..operators import inverted
+from ..operators import inverted, logs
 from ..operators import metrics as m
 from ..operators import retrieval as k
 from ..operators import routing as r
 from ..operators.quantiles import percentiles
 from ..operators.running import rank_by_hash
-from .analytics import A5, contacts, relevant, routed
+from .analytics import A5, QUESTIONS, question_log, relevant, routed
 from .retrieval import SCORED, scored, topics
 from .routing import BASE, PLANES, centroids, count_bucket, grades, questions, read, vectors
 from .tables import folder
@@ -278,12 +278,11 @@ def a17_cluster_bootstrap(spark, sf):
 
 
 def a27_contact_summary(spark, sf):
-    """What left the device for each source: contacts, bytes, times, disclosed passages and probes."""
-    log = contacts(spark, sf)
-    return log.groupBy("source_id").agg(F.struct(F.count("*").alias("contacts"), F.round(F.avg("value"), 6).alias("ms"), F.sum(F.length("topic") * 100).alias("bytes")).alias("x"), F.sum((F.col("topic") == "purchase").cast("int")).alias("disclosed"), (4 * F.countDistinct("session")).alias("probes")).select("source_id", "x.contacts", "x.ms", "x.bytes", "disclosed", "probes")
+    """What left the device for each source: contacts, bytes, times, disclosed passages, probes and errors, from the log's maps."""
+    return logs.privacy_summary(question_log(spark, sf)).withColumn("ms", F.round("ms", 6))
 
 
-A27 = "WITH log AS (SELECT user_id AS session, event_type AS topic, (json_extract_string(props, '$.k')::INT % 12)::INT AS source_id, value FROM events) SELECT source_id, count(*) AS contacts, round(avg(value), 6) AS ms, sum(length(topic) * 100)::BIGINT AS bytes, sum((topic = 'purchase')::INT)::BIGINT AS disclosed, 4 * count(DISTINCT session) AS probes FROM log GROUP BY source_id"
+A27 = f"WITH {QUESTIONS} SELECT 'node_' || node AS node, count(*) AS contacts, round(avg(ms), 6) AS ms, sum(asked) AS request_bytes, sum(got) AS response_bytes, sum(disclosed)::BIGINT AS disclosed, sum(probes)::BIGINT AS probes, sum(err)::BIGINT AS errors FROM per GROUP BY node"
 
 
 def a28_node_status(spark, sf):
