@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -457,24 +456,29 @@ def forge_profile(centroids: DataFrame, source_id: object, target: DataFrame) ->
     return both.select("source_id", "centroid_ix", F.when(mine, widen(F.col("forged"))).otherwise(widen(F.col("vec"))).alias("vec"), F.when(mine, F.col("version") + 1).otherwise(F.col("version")).alias("version"))
 
 
-def feedback_loop(stream: DataFrame, top_k: int, start: float = 0.5) -> DataFrame:
+def feedback_loop(stream: DataFrame, top_k: int) -> DataFrame:
     """Routing in which each query's dispatch updates the trust that the next one sees.
 
-    stream: run, seq, source_id, relevance, signal (what a contact would show). One run is sequential by nature; runs
-    (conditions, seeds) are dealt to tasks. Returns run, seq, source_id, score, trust (after the contact).
+    stream: run, seq, source_id, relevance, signal (what a contact would show). One run is sequential by nature, runs
+    (conditions, seeds) are dealt to tasks: a run's questions, each with its candidates, stream through in order, and each
+    source's trust is all that is kept. Returns run, seq, source_id, score, trust (after the contact).
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        total, seen, out = {}, {}, []
-        for seq, rows in frame.sort_values(["seq", "source_id"]).groupby("seq", sort=True):
-            trust = rows["source_id"].map(lambda s: (1 + total.get(s, 0.0)) / (2 + seen.get(s, 0)))
-            score = (rows["relevance"] * trust).round(9)
-            for k in score.sort_values(ascending=False, kind="stable").index[:top_k]:
-                s = rows["source_id"][k]
-                total[s], seen[s] = total.get(s, 0.0) + rows["signal"][k], seen.get(s, 0) + 1
-                out.append((frame["run"].iloc[0], seq, s, score[k], (1 + total[s]) / (2 + seen[s])))
-        return pd.DataFrame(out, columns=["run", "seq", "source_id", "score", "trust"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy("run").applyInPandas(one, f"run {kinds['run']}, seq {kinds['seq']}, source_id {kinds['source_id']}, score double, trust double")
-
+    from .folds import fold_rows
+
+    each = stream.groupBy("run", "seq").agg(F.array_sort(F.collect_list(F.struct(F.col("source_id"), F.col("relevance").cast("double").alias("relevance"), F.col("signal").cast("double").alias("signal")))).alias("candidates"))
+
+    def step(trust: dict, values: tuple) -> tuple[dict, list]:
+        scored = []
+        for c in values[0]:
+            total, seen = trust.get(c["source_id"], (0.0, 0))
+            scored.append((-round(c["relevance"] * ((1 + total) / (2 + seen)), 9), len(scored), c))
+        out = []
+        for score, _, c in sorted(scored, key=lambda x: x[:2])[:top_k]:
+            total, seen = trust.get(c["source_id"], (0.0, 0))
+            trust[c["source_id"]] = (total + c["signal"], seen + 1)
+            out.append({"source_id": c["source_id"], "score": -score, "trust": (1 + total + c["signal"]) / (3 + seen)})
+        return trust, out
+
+    kind = stream.schema["source_id"].dataType.simpleString()
+    done = fold_rows(each, ["run"], ["seq"], {"candidates": F.col("candidates")}, dict, step, f"sent array<struct<source_id:{kind},score:double,trust:double>>")
+    return done.select("run", "seq", F.explode("sent").alias("x")).select("run", "seq", "x.*")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import clusters, logs
+from ..operators import clusters, folds, logs
 from ..operators import metrics as m
 from ..operators import routing as r
 from ..operators.running import running
@@ -272,11 +272,9 @@ T8 = f"WITH {LOG} SELECT query_id, round(count(*) OVER (PARTITION BY topic, sour
 
 def t9_daily_budget(spark, sf):
     """Points that each user is granted per day within 120; a request that doesn't fit is refused and not charged."""
-    e = read(spark, sf, "events")
-    item = F.struct("ts", "event_id", F.col("event_id").cast("string").alias("id"), F.round("value", 2).cast("decimal(18,6)").alias("cost"), F.lit(False).alias("protected"))
-    g = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    out = g.select("user_id", "day", F.size("items").alias("asked"), r.skip_greedy(F.col("items"), F.lit(120)).alias("s"))
-    return out.select("user_id", "day", "asked", F.size("s.kept").alias("granted"), F.round(F.col("s.spent").cast("double"), 2).alias("spent"))
+    e = read(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", F.round("value", 2).alias("cost"))
+    g = folds.granted(e, ["user_id", "day"], ["ts", "event_id"], F.col("cost"), 120)
+    return g.groupBy("user_id", "day").agg(F.count("*").cast("int").alias("asked"), F.sum(F.col("granted").cast("int")).cast("int").alias("granted"), F.round(F.sum(F.when(F.col("granted"), F.col("cost").cast("decimal(18,6)")).otherwise(0)).cast("double"), 2).alias("spent"))
 
 
 T9 = """SELECT user_id, day, len(c) AS asked, r.n::INT AS granted, round(r.s::DOUBLE / 100, 2) AS spent FROM (

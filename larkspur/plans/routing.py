@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..operators import folds
 from ..operators import routing as r
 
 SHARDS = 12
@@ -286,10 +287,9 @@ SELECT query_id, source_id, score, rank FROM (SELECT *, row_number() OVER (PARTI
 
 def r21_exposure_budget(spark, sf):
     """Per customer, orders kept in order of date within a budget; urgent ones are protected and charged."""
-    o = read(spark, sf, "orders")
-    item = F.struct("o_orderdate", "o_orderkey", F.col("o_orderkey").cast("string").alias("id"), F.round(F.col("o_totalprice") / 1000, 2).cast("decimal(18,6)").alias("cost"), F.col("o_orderpriority").startswith("1").alias("protected"))
-    out = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(item)).alias("items")).select("o_custkey", r.skip_greedy(F.col("items"), F.lit(900)).alias("s"), F.size("items").alias("n"))
-    return out.select("o_custkey", F.size("s.kept").alias("kept"), F.col("n").alias("asked"), F.round(F.col("s.spent").cast("double"), 2).alias("spent"))
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") / 1000, 2).alias("cost"), F.col("o_orderpriority").startswith("1").alias("urgent"))
+    g = folds.granted(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("cost"), 900, F.col("urgent"))
+    return g.groupBy("o_custkey").agg(F.sum(F.col("granted").cast("int")).cast("int").alias("kept"), F.count("*").cast("int").alias("asked"), F.round(F.sum(F.when(F.col("granted"), F.col("cost").cast("decimal(18,6)")).otherwise(0)).cast("double"), 2).alias("spent"))
 
 
 R21 = """WITH RECURSIVE items AS (SELECT o_custkey, round(o_totalprice / 1000, 2)::DECIMAL(18,6) AS cost, o_orderpriority LIKE '1%' AS protected, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
