@@ -139,14 +139,24 @@ def unicode(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+#: What any match of a rule must contain; texts without it are passed over before the rule's own pattern is tried.
+DIGIT, AT, LINK = r"(?U)\d", "@", r"(?i)http|www"
+#: A character that stands for a match while its text is rebuilt; texts that hold it take the longer way.
+CUT = "\x01"
+
+
 @dataclass
 class Rule:
-    """Matches of a pattern become the mark; with a test, only those whose second group passes, and groups 1 and 3 stay."""
+    """Matches of a pattern become the mark; with a test, only those whose second group passes, and groups 1 and 3 stay.
+
+    The three groups of a tested pattern make up the whole match. needs is a short pattern that every match contains.
+    """
 
     label: str
     pattern: str
     mark: str
     test: Callable[[Column], Column] | None = None
+    needs: str | None = None
 
     def matches(self, text: Column, group: int) -> Column:
         return F.regexp_extract_all(text, F.lit(unicode(self.pattern)), F.lit(group))
@@ -156,10 +166,31 @@ class Rule:
             return F.regexp_count(text, F.lit(unicode(self.pattern)))
         return F.size(F.filter(self.matches(text, 2), self.test))
 
+    def _pieces(self, text: Column) -> Column:
+        """Text between the matches and matches in turn, these as their three groups."""
+        groups = F.regexp_replace(text, unicode(self.pattern), f"{CUT}$1{CUT}$2{CUT}$3{CUT}")
+        return F.split(groups, CUT, -1)
+
+    def cut(self, text: Column) -> Column:
+        """The text with each replaced match as CUT and its mark: one search gives the text and the count."""
+        if self.test is None:
+            return F.regexp_replace(text, unicode(self.pattern), CUT + self.mark)
+
+        # pieces are text, group 1, group 2, group 3, text, ...
+        def put(x: Column, i: Column) -> Column:
+            return F.when((i % 4 == 2) & self.test(x), F.lit(CUT + self.mark)).otherwise(x)
+
+        return F.array_join(F.transform(self._pieces(text), put), "")
+
     def apply(self, text: Column) -> Column:
+        if self.test is None:
+            return F.regexp_replace(text, unicode(self.pattern), self.mark)
+        return F.when(F.contains(text, F.lit(CUT)), self._long_way(text)).otherwise(F.replace(self.cut(text), F.lit(CUT), F.lit("")))
+
+    def _long_way(self, text: Column) -> Column:
         p = unicode(self.pattern)
         if self.test is None:
-            return F.regexp_replace(text, p, self.mark)
+            return self.apply(text)
         found = F.arrays_zip(*(self.matches(text, g).alias(n) for g, n in enumerate(("m", "a", "name", "z"))))
         put = F.transform(found, lambda x: F.when(self.test(x["name"]), F.concat(x["a"], F.lit(self.mark), x["z"])).otherwise(x["m"]))
         around = F.zip_with(F.split(text, p, -1), F.concat(put, F.array(F.lit(""))), lambda t, m: F.concat(t, m))
@@ -217,11 +248,12 @@ def basic_rules(registry: list[str] = (), id_patterns: list[str] = (), safe_harb
     rules = [Rule("REGISTRY", known, "[NAME_OR_ID]")] if known else []
     rules += [Rule("ID", p, "[ID]") for p in id_patterns]
     if safe_harbor:
-        rules += [Rule("PHONE", FAX, "[PHONE]"), Rule("ID", LABELLED_NUMBER, "[ID]")]
+        rules += [Rule("PHONE", FAX, "[PHONE]", needs=DIGIT), Rule("ID", LABELLED_NUMBER, "[ID]", needs=DIGIT)]
     for label, pattern in STRUCTURED:
         if safe_harbor and label == "AGE":
-            rules += [Rule("DATE", p, "[DATE]") for p in PARTIAL_DATES] + [Rule("DATE", MONTH_YEAR, "[DATE] $1")]
-        rules.append(Rule("CARD", f"()({CARD})()", "[CARD]", luhn) if label == "CARD" else Rule(label, pattern, f"[{label}]"))
+            rules += [Rule("DATE", p, "[DATE]", needs=DIGIT) for p in PARTIAL_DATES] + [Rule("DATE", MONTH_YEAR, "[DATE] $1", needs=DIGIT)]
+        needs = {"EMAIL": AT, "URL": LINK}.get(label, DIGIT)
+        rules.append(Rule("CARD", f"()({CARD})()", "[CARD]", luhn, needs) if label == "CARD" else Rule(label, pattern, f"[{label}]", needs=needs))
     if safe_harbor:
         rules += [Rule("ORGANIZATION", INSTITUTION, "[ORGANIZATION]"), *(Rule("LOCATION", p, "[LOCATION]") for p in POSTCODES)]
         rules += [Rule("LOCATION", p, "[LOCATION]", first_word_is_a_place) for p in PLACE_CUES]
@@ -234,19 +266,27 @@ def basic_rules(registry: list[str] = (), id_patterns: list[str] = (), safe_harb
 def apply_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", counted: bool = False) -> DataFrame:
     """df with its text replaced, rule after rule, each a projection of its own so that none is computed twice.
 
-    counted adds n_<label> columns, or raises those that are there.
+    counted adds n_<label> columns, or raises those that are there. What rules need is looked for once, in the text as it
+    comes: no mark contains any of it. Most texts lack it, and then the rule's own pattern is never tried.
     """
-    after = "redacted_" + "_" * sum(c.startswith("redacted_") for c in df.columns)
+    taken = [c.lower() for c in df.columns]
+    free = "rule_" + "_" * sum(c.startswith("rule_") for c in taken)
+    needs = {n: f"{free}{k}" for k, n in enumerate(dict.fromkeys(r.needs for r in rules if r.needs))}
+    flags, after = {**needs, "": f"{free}cut"}, f"{free}after"
+    df = df.withColumns({flags[""]: F.contains(text_col, F.lit(CUT)), **{c: F.contains(text_col, F.lit(n)) if n == AT else F.col(text_col).rlike(n) for n, c in needs.items()}})
     for rule in rules:
         text, name = F.col(text_col), f"n_{rule.label.lower()}"
+        may = F.col(needs[rule.needs]) if rule.needs else F.lit(True)
         if not counted:
-            df = df.withColumn(text_col, rule.apply(text))
+            df = df.withColumn(text_col, F.when(may, rule.apply(text)).otherwise(text))
             continue
-        # most texts have no match of a rule, and only those that changed are searched again to count
-        n = F.when(text.isNull() | (F.col(after) == text), F.lit(0)).otherwise(rule.count(text))
-        df = df.withColumn(after, rule.apply(text)).withColumn(name, n + (F.col(name) if name in df.columns else F.lit(0)))
-        df = df.withColumn(text_col, F.col(after)).drop(after)
-    return df
+        odd = F.col(flags[""])
+        df = df.withColumn(after, F.when(may, F.when(odd, rule._long_way(text)).otherwise(rule.cut(text))).otherwise(text))
+        clean = F.replace(F.col(after), F.lit(CUT), F.lit(""))
+        n = F.when(text.isNull() | ~may | (F.col(after) == text), F.lit(0)).when(odd, rule.count(text)).otherwise(F.char_length(after) - F.char_length(clean))
+        df = df.withColumn(name, n + (F.col(name) if name in df.columns else F.lit(0)))
+        df = df.withColumn(text_col, F.when(odd, F.col(after)).otherwise(clean)).drop(after)
+    return df.drop(*flags.values())
 
 
 def deidentify(

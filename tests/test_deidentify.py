@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import deidentify as d
 
+# ---- Fixed values: texts of the published rules' own tests, and what must go from them or stay. ----
+
 RECORD = "Patient Rahul Menon, MRN 4432189, DOB 12/03/1984, tel +44 7700 900123, email rahul.m@example.invalid. Chest pain."
 GONE = [
     (RECORD, "Rahul Menon"), (RECORD, "4432189"), (RECORD, "12/03/1984"), (RECORD, "900123"), (RECORD, "rahul.m@example.invalid"),
@@ -33,6 +35,8 @@ SH_LEFT = [
     "Kaplan Meier curves were drawn; Graves disease was treated.", "The policy changes reduced admissions; serial measurements were taken.", "A diagnosis of tetralogy of Fallot was made; the circle of Willis was normal.",
     "Bence Jones protein was detected in Graves disease.", "Cultures from Escherichia coli grew; Parkinson disease was excluded.", "A 63-year-old African American female was admitted.", "She is of Mexican descent, as shown in Figs.",
 ]
+# ---- End of fixed values. ----
+
 COMMON = "he was admitted to the patient presented with fever disease excluded a of we thank for his help policy bloods were repeated on written consent obtained from postcode cultures grew".split()
 
 
@@ -82,6 +86,14 @@ def test_nulls_counts_and_clashing_columns(spark):
     assert d.deidentify(df.limit(0)).count() == 0
 
 
+def test_texts_with_the_cut_character_take_the_longer_way(spark):
+    df = spark.createDataFrame([(1, "a\x01b Dr. Roe, card 4111 1111 1111 1111\x01 The Dr. The x@y.org"), (2, "Dr. Roe, card 4111 1111 1111 1111 Dr. The x@y.org"), (3, "plain \x01 text")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in d.apply_rules(df, d.basic_rules(), counted=True).collect()}
+    assert got[1]["text"] == "a\x01b Dr. [NAME], card [CARD]\x01 The Dr. The [EMAIL]" and got[2]["text"] == "Dr. [NAME], card [CARD] Dr. The [EMAIL]" and got[3]["text"] == "plain \x01 text"
+    assert [(got[k]["n_name"], got[k]["n_card"], got[k]["n_email"]) for k in (1, 2, 3)] == [(1, 1, 1), (1, 1, 1), (0, 0, 0)]
+    assert [r["text"] for r in d.apply_rules(df, d.basic_rules()).orderBy("doc_id").collect()] == [got[k]["text"] for k in (1, 2, 3)]
+
+
 def plain(text, rules):
     """The same rules by the re module, match after match."""
     tests = {
