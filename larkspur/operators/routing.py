@@ -16,9 +16,30 @@ BROADCAST_CENTROIDS = 200_000
 BROADCAST_SOURCES = 500_000
 
 
+#: Bytes that a broadcast side may have, whatever its number of rows.
+BROADCAST_BYTES = 128 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: text by its length, arrays of numbers by their elements, other nested values as JSON."""
+
+    def one(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if kind.startswith("array<") and "<" not in kind[6:] and "string" not in kind:
+            return F.greatest(F.size(c), F.lit(0)) * 8
+        if "<" in kind:
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        return F.lit(8)
+
+    return sum((one(f.name, f.dataType.simpleString()) for f in df.schema), F.lit(0)).cast("long")
+
+
 def small(df: DataFrame, most: int = BROADCAST_SOURCES) -> DataFrame:
-    """df with a broadcast hint if its counted size allows it; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df with a broadcast hint if its counted rows and bytes allow it; else Spark chooses the join."""
+    n, size = df.limit(most + 1).select(row_bytes(df).alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
 def published(centroids: DataFrame) -> DataFrame:
@@ -44,10 +65,11 @@ def centroid_arrays(queries: DataFrame, centroids: DataFrame, clip: bool = False
         return F.round(clip01(s) if clip else s, 6)
 
     inner = lambda x: F.transform(x["centroids"], lambda c: F.struct(c["centroid_ix"].alias("centroid_ix"), score(c).alias("score")))
-    if centroids.limit(BROADCAST_CENTROIDS + 1).count() <= BROADCAST_CENTROIDS:
+    n, elements = centroids.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    parts = max(math.ceil(n / BROADCAST_CENTROIDS), math.ceil(elements * 8 / BROADCAST_BYTES))
+    if parts <= 1:
         rows = q.crossJoin(F.broadcast(published(centroids)))
         return rows.select("query_id", F.transform("sources", lambda x: F.struct(x["source_id"].alias("source_id"), inner(x).alias("scores"))).alias("scored"))
-    parts = math.ceil(centroids.count() / BROADCAST_CENTROIDS)
     dealt = centroids.withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(parts)))
     sources = dealt.select("part", "source_id", "centroid_ix", widen(F.col("vec")).alias("vec")).withColumn("norm", norm(F.col("vec"))).groupBy("part", "source_id").agg(F.array_sort(F.collect_list(F.struct("centroid_ix", "vec", "norm"))).alias("centroids"))
     asked = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..operators import folds
 from ..operators import routing as r
+from ..sources.shared import checkpointed
 
 SHARDS = 12
 
@@ -22,9 +23,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
-    """One centroid per shard and label: what sources publish."""
+    """One centroid per shard and label: what sources publish, computed once and kept."""
     c = v.mean_vectors(vectors(spark, sf), ["shard", "label"])
-    return c.select(F.col("shard").alias("source_id"), F.col("label").alias("centroid_ix"), "vec")
+    return checkpointed(c.select(F.col("shard").alias("source_id"), F.col("label").alias("centroid_ix"), "vec"))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
