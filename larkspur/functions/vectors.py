@@ -26,9 +26,11 @@ def cosine(a: Column, b: Column, a_norm: Column | None = None, b_norm: Column |
     return dot(a, b) / F.when(product == 0, F.lit(1.0)).otherwise(product)
 
 
-def normalise(v: Column) -> Column:
+def normalise(v: Column, least: float = 0.0) -> Column:
+    """v at length 1. A zero vector stays zero; with least, lengths below it count as least, so that tiny ones aren't blown up."""
     n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    size = F.greatest(n, F.lit(least)) if least else F.when(n == 0, F.lit(1.0)).otherwise(n)
+    return F.transform(v, lambda x: x / size)
 
 
 def clip01(x: Column) -> Column:

@@ -195,6 +195,19 @@ def evidence_trust(log: DataFrame, keys: list[str], signal: str, order: list[str
     return both.withColumn("trust", F.round((1 + F.col("_signals")) / (F.col("_rows") + 2) + 1e-9, 6)).withColumn("observations", F.col("_rows")).drop("_signals", "_rows")
 
 
+def lives(log: DataFrame, key: str, order: list[str], registers: Column, identity: Column, coarse: Column) -> DataFrame:
+    """log with life: how often its key's trust has started anew up to each row.
+
+    A registration starts it anew unless it carries the same signing identity as the key's registration before; a missing
+    identity never is the same. Only registrations meet in one window, the rest count them by ranges (running()).
+    """
+    marked = log.withColumns({"_registers": F.coalesce(registers, F.lit(False)), "_identity": identity})
+    before = F.lag("_identity").over(Window.partitionBy(key).orderBy(*order))
+    fresh = marked.where("_registers").withColumn("_new", F.when(F.coalesce(F.col("_identity") == before, F.lit(False)), 0).otherwise(1))
+    both = fresh.unionByName(marked.where("not _registers").withColumn("_new", F.lit(0)))
+    return running(both, [key], coarse, order, {"life": F.col("_new")}).drop("_registers", "_identity", "_new")
+
+
 def trust_signal(weights: dict[str, float], field=F.col) -> Column:
     """Weighted mean of signals; weights that sum to 0 give 0."""
     total = sum(weights.values())

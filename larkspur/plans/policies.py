@@ -194,14 +194,16 @@ T3 = "SELECT l_suppkey, round(avg(l_discount * 10 * 0.3::DOUBLE + l_tax * 12 * 0
 
 
 def t5_trust_resets(spark, sf):
-    """Trust of each user since the last sign-up, which starts it anew."""
-    e = read(spark, sf, "events").withColumn("reset", (F.col("event_type") == "signup").cast("int"))
-    life = F.sum("reset").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("life", life).where("reset = 0")
+    """Trust of each user since the sign-up that last started it anew: one under another key than before, or under none."""
+    k = F.get_json_object("props", "$.k").cast("int") % 3
+    e = m.lives(read(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.when(k > 0, k), F.to_date("ts"))
+    e = e.where("event_type <> 'signup'")
     return e.groupBy("user_id", "life").agg(F.round((1 + F.sum(F.col("value") / 100)) / (F.count("*") + 2) + 1e-9, 6).alias("trust"), F.count("*").alias("observations"))
 
 
-T5 = "WITH e AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS life FROM events) SELECT user_id, life, round((1 + sum(value / 100)) / (count(*) + 2) + 1e-9, 6) AS trust, count(*) AS observations FROM e WHERE event_type <> 'signup' GROUP BY user_id, life"
+T5 = """WITH e AS (SELECT *, nullif(json_extract_string(props, '$.k')::INT % 3, 0) AS k FROM events), s AS (SELECT event_id, (k IS NULL OR k IS DISTINCT FROM lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS new FROM e WHERE event_type = 'signup'),
+l AS (SELECT e.*, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY ts, e.event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS life FROM e LEFT JOIN s USING (event_id))
+SELECT user_id, life, round((1 + sum(value / 100)) / (count(*) + 2) + 1e-9, 6) AS trust, count(*) AS observations FROM l WHERE event_type <> 'signup' GROUP BY user_id, life"""
 
 
 def x4_chunks(spark, sf):

@@ -76,13 +76,16 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS co
 
 
 def v2_normalise(spark, sf):
+    """Vectors at length 1, with every seventh zero and every eleventh tiny: zeros stay, tiny ones only grow without a least length."""
+    scale = F.when(F.col("vec_id") % 7 == 0, 0.0).when(F.col("vec_id") % 11 == 0, 1e-13).otherwise(1.0)
+    e = vectors(spark, sf).withColumn("vec", F.transform("vec", lambda x: x * scale))
     n = v.normalise(F.col("vec"))
-    return vectors(spark, sf).select("vec_id", F.round(v.norm(n), 6).alias("norm"), F.round(n[0], 6).alias("first"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return e.select("vec_id", F.round(v.norm(n), 6).alias("norm"), F.round(n[0], 6).alias("first"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(v.norm(v.normalise(F.col("vec"), 1e-12)), 6).alias("guarded"))
 
 
-V2 = """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
-u AS (SELECT vec_id, [x / CASE WHEN n = 0 THEN 1 ELSE n END FOR x IN e] AS u FROM n)
-SELECT vec_id, round(sqrt(list_inner_product(u, u)), 6) AS norm, round(u[1], 6) AS first, round(list_sum(u), 6) AS total FROM u"""
+V2 = """WITH s AS (SELECT vec_id, [x::DOUBLE * CASE WHEN vec_id % 7 = 0 THEN 0.0::DOUBLE WHEN vec_id % 11 = 0 THEN 1e-13::DOUBLE ELSE 1.0::DOUBLE END FOR x IN embedding] AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM s), u AS (SELECT vec_id, [x / CASE WHEN n = 0 THEN 1 ELSE n END FOR x IN e] AS u, [x / greatest(n, 1e-12) FOR x IN e] AS w FROM n)
+SELECT vec_id, round(sqrt(list_inner_product(u, u)), 6) AS norm, round(u[1], 6) + 0.0::DOUBLE AS first, round(list_sum(u), 6) + 0.0::DOUBLE AS total, round(sqrt(list_inner_product(w, w)), 6) AS guarded FROM u"""
 
 
 def v4_mean_vector(spark, sf):

@@ -45,3 +45,12 @@ def test_attacks_join_their_cases(spark):
     got = {r["evidence_top_k"]: r for r in metrics.attack_cases(cases, attacks, evidence, sent, "attacker").collect()}
     assert got[0]["attack_cases"] == 3 and got[0]["selected"] == got[0]["cited"] == pytest.approx(2 / 3, abs=1e-6) and got[0]["mean_rank"] == 2
     assert got[2]["cited"] == pytest.approx(1 / 3, abs=1e-6) and got[2]["attack_types"] == "x,y"
+
+
+def test_trust_starts_anew_unless_the_key_stays(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 1, "x", None), (1, 2, "reg", "k"), (1, 3, "x", None), (1, 4, "reg", "k"), (1, 5, "x", None), (1, 6, "reg", None), (1, 7, "reg", None), (1, 8, "x", None), (1, 9, "reg", "k"), (2, 1, "x", None)]
+    df = spark.createDataFrame(rows, "user int, seq int, kind string, id string")
+    got = metrics.lives(df, "user", ["seq"], F.col("kind") == "reg", F.col("id"), F.floor(F.col("seq") / 3))
+    assert sorted((r["user"], r["seq"], r["life"]) for r in got.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 1), (1, 6, 2), (1, 7, 3), (1, 8, 3), (1, 9, 4), (2, 1, 0)]
