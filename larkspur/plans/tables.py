@@ -139,6 +139,21 @@ def s15_query_log(spark, sf):
 S15 = "SELECT event_type AS topic_key, count(*) AS n, count(DISTINCT event_id) AS questions FROM events GROUP BY event_type"
 
 
+def s18_pruned_audits(spark, sf):
+    """Records of three questions looked up in a sorted log with Bloom filters, each by its first record in time, with its decoys."""
+    path = folder(spark, "sorted-log")
+    e = read(spark, sf, "events")
+    ids = F.concat(F.lit("q"), F.pmod("event_id", F.lit(500)).cast("string"))
+    sent = F.array(F.col("event_type"), F.lit("x"), F.concat(F.lit("u"), "user_id"), F.lit("x"))
+    log = e.select(ids.alias("query_id"), F.col("event_type").alias("topic_key"), F.array("event_type").alias("genuine"), F.array().cast("array<string>").alias("decoys"), sent.alias("dispatched"), F.array().cast("array<string>").alias("coarse"), F.lit(None).cast("map<string,double>").alias("stage_latency_ms"), F.lit(None).cast("map<string,double>").alias("bytes_transferred"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000.0 + F.col("event_id") % 1000).alias("timestamp"), F.col("event_id").cast("string").alias("extra"))
+    readers.write_sorted_log(log, path, 8)
+    found = [readers.audit_at(spark, path, q) for q in ("q7", "q123", "q499", "nowhere")]
+    return readers.union_results(found).select("query_id", F.col("extra").cast("long").alias("event_id"), F.array_join("derived_decoys", ",").alias("decoys"))
+
+
+S18 = "SELECT 'q' || (event_id % 500) AS query_id, event_id, 'x,u' || user_id || ',x' AS decoys FROM events WHERE event_id % 500 IN (7, 123, 499) QUALIFY row_number() OVER (PARTITION BY event_id % 500 ORDER BY epoch_us(ts) * 1000.0::DOUBLE + event_id % 1000) = 1"
+
+
 def s16_results(spark, sf):
     """Result tables with different columns as one, written as CSV and read back, blanks where a table has none."""
     path = folder(spark, "results")
@@ -220,5 +235,5 @@ F9 = "SELECT label, sum((vec_id % 9 <> 0)::INT)::BIGINT AS usable, round(sum(gre
 
 QUERIES = {
     "s1_corpus_file": (s1_corpus_file, S1), "s2_first_rows": (s2_first_rows, S2), "s3_qrels_file": (s3_qrels_file, S3), "s4_graded_file": (s4_graded_file, S4), "s5_queries_file": (s5_queries_file, S5), "s6_mapping_files": (s6_mapping_files, S6), "s7_similar_patients": (s7_similar_patients, S7), "s9_node_files": (s9_node_files, S9),
-    "s13_questions_file": (s13_questions_file, S13), "s14_cache_misses": (s14_cache_misses, S14), "s14_embedding_upsert": (s14_embedding_upsert, S14_UPSERT), "s15_query_log": (s15_query_log, S15), "s16_results": (s16_results, S16), "s17_newest_file": (s17_newest_file, S17), "d22_payloads": (d22_payloads, D22), "f9_vector_checks": (f9_vector_checks, F9),
+    "s13_questions_file": (s13_questions_file, S13), "s14_cache_misses": (s14_cache_misses, S14), "s14_embedding_upsert": (s14_embedding_upsert, S14_UPSERT), "s15_query_log": (s15_query_log, S15), "s16_results": (s16_results, S16), "s18_pruned_audits": (s18_pruned_audits, S18), "s17_newest_file": (s17_newest_file, S17), "d22_payloads": (d22_payloads, D22), "f9_vector_checks": (f9_vector_checks, F9),
 }

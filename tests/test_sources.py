@@ -55,3 +55,20 @@ def test_newest_file_wins_union_and_cache(spark, tmp_path):
     asked = spark.createDataFrame([("t",), ("t",), ("u",)], "text string")
     hit, miss = r.cached(asked, spark.createDataFrame([], "key string, vec array<double>"), "m")
     assert hit.count() == 0 and miss.count() == 2
+
+
+def test_a_lookup_in_a_sorted_log_reads_few_rows(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("concat('q', lpad(id * 2, 6, '0')) AS query_id", "'t' AS topic_key", "array('a') AS genuine", "cast(array() AS array<string>) AS decoys", "array('b', 'a', 'b') AS dispatched", "cast(array() AS array<string>) AS coarse", "cast(null AS map<string,double>) AS stage_latency_ms", "cast(null AS map<string,double>) AS bytes_transferred", "cast(id AS double) AS timestamp", "'' AS extra")
+    again = rows.where("query_id = 'q000100'").selectExpr("* EXCEPT (timestamp)", "-1.0D AS timestamp").select(rows.columns)
+    path = str(tmp_path / "log")
+    r.write_sorted_log(rows.unionByName(again), path, 8)
+
+    def looked_up(q):
+        df = r.audit_at(spark, path, q)
+        found = df.collect()
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    found, read = looked_up("q000100")
+    assert found[0]["timestamp"] == -1.0 and found[0]["derived_decoys"] == ["b", "b"] and 0 < read <= 5_000
+    assert looked_up("q000101") == ([], 0)
