@@ -13,6 +13,7 @@ from ..operators import routing as r
 from ..operators.running import running
 from ..sources import readers
 from ..sources.shared import shared_folder
+from ..streaming.cover import cover_schedule, sent_ticks
 from .routing import BASE, GRADES, grades, read, scored, shard_table
 
 
@@ -284,16 +285,30 @@ SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(round(value * 100)::BIGINT
 
 def t10_cover_traffic(spark, sf):
     """The tick at which each user's question is sent when one goes per hour: the first free one after it is asked."""
-    e = read(spark, sf, "events").select("user_id", "event_id", F.floor(F.unix_timestamp("ts") / 3600).alias("arrived"), "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    j = e.withColumn("j", F.row_number().over(w))
-    wait = F.max(F.col("arrived") - F.col("j")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return j.select("user_id", "event_id", (F.col("j") + wait).cast("long").alias("tick"))
+    return sent_ticks(_asked(spark, sf)).select(F.col("device").alias("user_id"), F.col("question").alias("event_id"), "tick")
+
+
+def _asked(spark, sf):
+    return read(spark, sf, "events").select(F.col("user_id").alias("device"), F.col("event_id").alias("question"), "ts")
 
 
 T10 = "SELECT user_id, event_id, (j + max(arrived - j) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS tick FROM (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS arrived, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM events)"
 
 
+def t10_cover_rounds(spark, sf):
+    """Rounds of every user from the first question to the log's last hour: all, with a question, as cover; and what still waits."""
+    asked = _asked(spark, sf)
+    until = asked.agg(F.max(F.floor(F.unix_timestamp("ts") / 3600))).first()[0]
+    sent = cover_schedule(asked, int(until or 0)).groupBy("device").agg(F.count("*").alias("rounds"), F.count("question").alias("questions"), F.count_if(F.col("kind") == "cover").alias("covers"))
+    n = asked.groupBy("device").agg(F.count("*").alias("n"))
+    return n.join(sent, "device").select(F.col("device").alias("user_id"), "rounds", "questions", "covers", (F.col("n") - F.col("questions")).alias("waiting"))
+
+
+T10_ROUNDS = f"""WITH t AS ({T10}), e AS (SELECT user_id, min(floor(epoch(ts) / 3600)::BIGINT) AS first FROM events GROUP BY user_id), u AS (SELECT max(floor(epoch(ts) / 3600)::BIGINT) AS until FROM events),
+c AS (SELECT user_id, any_value(until) - any_value(first) + 1 AS rounds, count(*) FILTER (tick <= until) AS questions, count(*) FILTER (tick > until) AS waiting FROM t JOIN e USING (user_id), u GROUP BY user_id)
+SELECT user_id, rounds, questions, rounds - questions AS covers, waiting FROM c"""
+
+
 def t11_cache_refresh(spark, sf):
     """How often each user's cached table is fetched: whenever the key's epoch (day) differs from the last seen."""
     e = read(spark, sf, "events").select("user_id", F.to_date("ts").alias("epoch"), "ts", "event_id")
@@ -343,6 +358,6 @@ QUERIES = {
     "a1_binary_metrics": (a1_binary_metrics, A1), "a5_graded_metrics": (a5_graded_metrics, A5), "a14_group_summary": (a14_group_summary, A14), "a16_paired_bootstrap": (a16_paired_bootstrap, None), "a18_stream_thirds": (a18_stream_thirds, A18),
     "a20_transport": (a20_transport, A20), "a21_modelled_latency": (a21_modelled_latency, A21), "a24_scorecard": (a24_scorecard, A24), "a25_majority_topic": (a25_majority_topic, A25), "a26_accuracy_rollup": (a26_accuracy_rollup, A26),
     "l1_source_inference": (l1_source_inference, L1), "l3_intersection": (l3_intersection, L3), "l6_history_attacker": (l6_history_attacker, L6), "l9_macro_f1": (l9_macro_f1, L9), "l11_dispatch_overlap": (l11_dispatch_overlap, L11), "j10_first_pairs": (j10_first_pairs, J10), "l12_source_attack": (l12_source_attack, L12),
-    "t1_evidence_trust": (t1_evidence_trust, T1), "t2_bounded_trust": (t2_bounded_trust, T2), "t6_legacy_signal": (t6_legacy_signal, T6), "t8_linkability": (t8_linkability, T8), "t9_daily_budget": (t9_daily_budget, T9), "t10_cover_traffic": (t10_cover_traffic, T10), "t11_cache_refresh": (t11_cache_refresh, T11),
+    "t1_evidence_trust": (t1_evidence_trust, T1), "t2_bounded_trust": (t2_bounded_trust, T2), "t6_legacy_signal": (t6_legacy_signal, T6), "t8_linkability": (t8_linkability, T8), "t9_daily_budget": (t9_daily_budget, T9), "t10_cover_traffic": (t10_cover_traffic, T10), "t10_cover_rounds": (t10_cover_rounds, T10_ROUNDS), "t11_cache_refresh": (t11_cache_refresh, T11),
     "s1_corpus": (s1_corpus, S1), "s14_embedding_cache": (s14_embedding_cache, S14), "s17_newest_wins": (s17_newest_wins, S17), "s19_resume": (s19_resume, S19),
 }
