@@ -7,6 +7,7 @@ only sums of blocks meet. Both follow the same rules, so a source's size decides
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,12 @@ LOCAL, BLOCK, PART = 20_000, 2_048, 1_024
 TIGHT = 64
 #: Centroids that move no further than this have settled.
 STILL = 1e-12
+#: Clusters of a source whose small ones are merged within one task; with more, small ones a round, and neighbours of each.
+MERGE, AHEAD, NEAR = 20_000, 512, 4
+#: Bytes of all groups' smallest clusters that are broadcast in a round.
+HEADS = 128 << 20
+#: Products of merging clusters are compared at this many digits, so that ties don't hang on how they are summed.
+DIGITS = 12
 
 
 def _nearest(x: np.ndarray, centre: np.ndarray, spherical: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +114,7 @@ def _absorb(total: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
         small = int(size.argmin())
         if size[small] >= least:
             break
-        near = np.where(live, unit(total) @ unit(total[small]), -np.inf)
+        near = np.where(live, np.round(unit(total) @ unit(total[small]), DIGITS), -np.inf)
         near[small] = -np.inf
         target = int(near.argmax())
         total[target] += total[small]
@@ -117,6 +124,132 @@ def _absorb(total: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
     return np.where(np.isin(into, np.flatnonzero(live)), (np.cumsum(live) - 1)[into], -1)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), STILL)
+
+
+def _replayed(asked: list[tuple], near: dict, width: int, least: int, more: bool) -> list[tuple]:
+    """Merges of the smallest clusters as far as they are certain: (cluster, target or -1, total, n) of every changed cluster.
+
+    asked: (n, cluster, total) of the smallest ones in order; near: the nearest others of each (score, cluster, total, n), all of them
+    if under NEAR. Clusters that changed are compared anew; of those that didn't, the first that near lists is the nearest.
+    The replay ends at a cluster that has changed itself, whose listed neighbours all have, or, with more, beyond what was asked.
+    """
+    heap, totals = [(n, c) for n, c, _ in asked], {c: t for _, c, t in asked}
+    changed: dict = {}
+    gone: dict = {}
+    heapq.heapify(heap)
+    while heap:
+        n, j = heapq.heappop(heap)
+        if j in gone or (j in changed and changed[j][1] != n):
+            continue
+        if j in changed or (more and (n, j) > asked[-1][:2]):
+            break
+        fresh = next((x for x in near[j] if x[1] not in changed and x[1] not in gone), None)
+        if fresh is None and len(near[j]) >= NEAR:
+            break
+        found = [] if fresh is None else [(-fresh[0], fresh[1])]
+        if changed:
+            names = sorted(changed)
+            score = np.round(_unit(np.stack([changed[c][0] for c in names])) @ _unit(totals[j]), DIGITS)
+            found.append((-score.max(), names[int(score.argmax())]))
+        if not found:
+            break
+        target = min(found)[1]
+        total, size = changed[target] if target in changed else fresh[2:]
+        changed[target] = (total + totals[j], size + n)
+        gone[j] = target
+        if size + n < least:
+            heapq.heappush(heap, (size + n, target))
+    return [*((j, t, np.zeros(width), 0) for j, t in gone.items()), *((c, -1, t, n) for c, (t, n) in changed.items())]
+
+
+def _merged(parts: DataFrame, keys: list[str], group: str, width: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """_absorb() for groups of any number of clusters: parts (keys, part, total, n) after merging, and moves (keys, cluster, target).
+
+    A round takes the AHEAD smallest clusters of each group, finds the NEAR nearest of each in blocks, and merges in order as far as
+    these tell: see _replayed(). The first of a round always goes, so rounds end; what a task holds is bounded, whatever the number of clusters.
+    """
+    shape = f"{group}, cluster long, n long, total binary"
+
+    def small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                n, total = np.frombuffer(r.n, "<i8"), _matrix([r.total], width)
+                rows += [(*(getattr(r, c) for c in keys), r.part * PART + k, n[k], total[k].tobytes()) for k in np.flatnonzero((n > 0) & (n < least))]
+            yield pd.DataFrame(rows, columns=[*keys, "cluster", "n", "total"])
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "cluster"])
+        kept = frame.iloc[:AHEAD]
+        return frame.iloc[[0]][keys].assign(ids=[kept["cluster"].to_numpy("<i8").tobytes()], totals=[b"".join(kept["total"])], ns=[kept["n"].to_numpy("<i8").tobytes()], more=len(frame) > AHEAD)
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                name = tuple(getattr(r, c) for c in keys)
+                ids, n, total = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.n, "<i8"), _matrix([r.total], width)
+                here = np.arange(len(n)) + r.part * PART
+                score = np.round(_unit(_matrix([r.totals], width)) @ _unit(total).T, DIGITS)
+                score[(ids[:, None] == here) | (n == 0)] = -np.inf
+                for k, j in enumerate(ids.tolist()):
+                    best = np.lexsort((here, -score[k]))[:NEAR]
+                    mine = [(score[k, b], int(here[b]), total[b], int(n[b])) for b in best if score[k, b] > -np.inf]
+                    held[name, j] = sorted([*held.get((name, j), []), *mine], key=lambda x: (-x[0], x[1]))[:NEAR]
+        rows = [(*name, j, s, c, t.tobytes(), n) for (name, j), best in held.items() for s, c, t, n in best]
+        yield pd.DataFrame(rows, columns=[*keys, "asked", "score", "cluster", "total", "n"])
+
+    def replay(key: tuple, asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        r = asked.iloc[0]
+        ids, ns, totals = np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["ns"], "<i8").tolist(), _matrix([r["totals"]], width)
+        by: dict = {j: [] for j in ids}
+        for x in found.sort_values(["score", "cluster"], ascending=[False, True]).itertuples(index=False):
+            by[x.asked].append((x.score, x.cluster, np.frombuffer(x.total, "<f8"), x.n))
+        rows = _replayed(list(zip(ns, ids, totals, strict=True)), by, width, least, bool(r["more"]))
+        out = pd.DataFrame([(c, t, v.tobytes(), n) for c, t, v, n in rows], columns=["cluster", "target", "total", "n"])
+        return pd.concat([asked.iloc[[0] * len(out)][keys].reset_index(drop=True), out], axis=1)
+
+    def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = frame[[*keys, "part"]].copy()
+            totals, ns = [], []
+            for r in frame.itertuples(index=False):
+                total, n = _matrix([r.total], width).copy(), np.frombuffer(r.n, "<i8").copy()
+                for x in () if r.changes is None else r.changes:
+                    total[x["cluster"] - r.part * PART], n[x["cluster"] - r.part * PART] = np.frombuffer(x["total"], "<f8"), x["n"]
+                totals.append(total.tobytes())
+                ns.append(n.tobytes())
+            yield out.assign(total=totals, n=ns)
+
+    parts, moves = checkpointed(parts), None
+    order = Window.partitionBy(*keys).orderBy("n", "cluster")
+    while True:
+        first = parts.mapInPandas(small, shape).withColumn("place", F.row_number().over(order)).where(F.col("place") <= AHEAD + 1)
+        asked = checkpointed(first.groupBy(*keys).applyInPandas(pack, f"{group}, ids binary, totals binary, ns binary, more boolean"))
+        size = asked.agg(F.coalesce(F.sum(F.octet_length("totals")), F.lit(0))).first()[0]
+        heads = asked.select(*keys, "ids", "totals")
+        found = parts.join(F.broadcast(heads) if size <= HEADS else heads, keys).mapInPandas(near, f"{group}, asked long, score double, cluster long, total binary, n long")
+        best = found.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "asked").orderBy(F.desc("score"), "cluster"))).where(F.col("place") <= NEAR).drop("place")
+        done = checkpointed(asked.groupBy(*keys).cogroup(best.groupBy(*keys)).applyInPandas(replay, f"{group}, cluster long, target long, total binary, n long"))
+        if done.isEmpty():
+            break
+        new = done.where("target >= 0").select(*keys, "cluster", "target")
+        moves = new if moves is None else moves.unionByName(new)
+        changes = done.groupBy(*keys, F.floor(F.col("cluster") / PART).alias("part")).agg(F.collect_list(F.struct("cluster", "total", "n")).alias("changes"))
+        parts = checkpointed(parts.join(changes, [*keys, "part"], "left").mapInPandas(update, f"{group}, part long, total binary, n binary"))
+    if moves is None:
+        return parts, parts.select(*keys, F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("target")).where(F.lit(False))
+    moves = checkpointed(moves)
+    while True:  # a target that was merged later leads on: chains halve each time
+        on = moves.select(*keys, F.col("cluster").alias("target"), F.col("target").alias("_on"))
+        longer = checkpointed(moves.join(on, [*keys, "target"], "left"))
+        moves = longer.select(*keys, "cluster", F.coalesce("_on", "target").alias("target"))
+        if longer.where("_on is not null").isEmpty():
+            return parts, moves
+
+
 def _matrix(packed: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f8").reshape(-1, width)
 
@@ -312,7 +445,16 @@ def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds:
         pad = [None] * len(new)
         return rows.assign(old=[*range(len(new)), *[None] * len(centre)], cluster=[*new.tolist(), *range(len(centre))], vec=[*pad, *centre], n=[*pad, *n.tolist()])
 
-    numbers = checkpointed(centres.groupBy(*keys).applyInPandas(number, f"{group}, old long, cluster int, vec array<double>, n long"))
+    listed = f"{group}, old long, cluster int, vec array<double>, n long"
+    if least and width:
+        k = centres.groupBy(*keys).agg(F.sum(F.octet_length("n") / 8).alias("k"))
+        many = checkpointed(centres.join(k.where(F.col("k") > MERGE).select(*keys), keys, "left_semi"))
+        numbers = centres.join(k.where(F.col("k") <= MERGE).select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(number, listed)
+        if not many.isEmpty():
+            numbers = numbers.unionByName(_renumbered(*_merged(many.select(*keys, "part", "total", "n"), keys, group, width, least), keys, group, width, spherical))
+    else:
+        numbers = centres.groupBy(*keys).applyInPandas(number, listed)
+    numbers = checkpointed(numbers)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -323,6 +465,28 @@ def _rounds(named: DataFrame, keys: list[str], group: str, id_kind: str, rounds:
     return members, numbers.where("old is null").select(*keys, "cluster", "vec", "n")
 
 
+def _renumbered(parts: DataFrame, moves: DataFrame, keys: list[str], group: str, width: int, spherical: bool) -> DataFrame:
+    """Clusters left after _merged() with closed-up numbers, and the new number of every old one: keys, old, cluster, vec, n."""
+
+    def live(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                n, total = np.frombuffer(r.n, "<i8"), _matrix([r.total], width)
+                centre = _moved(np.zeros_like(total), total, n, spherical)
+                rows += [(*(getattr(r, c) for c in keys), r.part, r.part * PART + k, place, centre[k], n[k]) for place, k in enumerate(np.flatnonzero(n > 0))]
+            yield pd.DataFrame(rows, columns=[*keys, "part", "old", "place", "vec", "n"])
+
+    kept = checkpointed(parts.mapInPandas(live, f"{group}, part long, old long, place long, vec array<double>, n long"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = kept.groupBy(*keys, "part").agg(F.count("*").alias("c")).select(*keys, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    new = kept.join(offset, [*keys, "part"]).withColumn("cluster", (F.col("offset") + F.col("place")).cast("int"))
+    own = new.select(*keys, "old", "cluster")
+    led = moves.withColumnRenamed("cluster", "old").join(own.withColumnRenamed("old", "target"), [*keys, "target"]).select(*keys, "old", "cluster")
+    empty = [F.lit(None).cast("array<double>").alias("vec"), F.lit(None).cast("long").alias("n")]
+    return own.unionByName(led).select(*keys, "old", "cluster", *empty).unionByName(new.select(*keys, F.lit(None).cast("long").alias("old"), "cluster", "vec", "n"))
+
+
 def cluster_index(docs: DataFrame, per_cluster: int = 10, least: int = 5, seed: int = 0) -> DataFrame:
     """Clusters of each source's documents (source_id, collection, doc_id, vec): source_id, collection, cluster_id, doc_id.
 
