@@ -342,10 +342,18 @@ SELECT user_id, CASE WHEN NOT signed THEN 'bad_signature' WHEN key <> held THEN
 
 
 def s18_audit(spark, sf):
-    """A question's decoys by its record: what was dispatched besides the genuine sources, in order and with repeats."""
-    log = contacts(spark, sf).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_id"))), lambda x: x["source_id"]).alias("dispatched"))
-    genuine = F.slice(F.array_sort(F.array_distinct("dispatched")), 1, 3)
-    return log.select("session", F.array_join(F.transform(F.filter("dispatched", lambda x: ~F.array_contains(genuine, x)), lambda x: x.cast("string")), ",").alias("decoys"))
+    """A question's decoys by its record: what was dispatched besides the genuine sources, in order and with repeats.
+
+    The genuine ones are a session's three smallest, so a decoy is above the third. Each day is put in order apart and then
+    only its ids are gathered. Missing times and ids come last.
+    """
+    e = read(spark, sf, "events").select(F.col("user_id").alias("session"), F.to_date("ts").alias("day"), F.struct(F.col("ts").isNull().alias("undated"), "ts", F.col("event_id").isNull().alias("unnamed"), "event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("int") % 12).alias("source_id"))
+    third = e.groupBy(F.col("session").alias("of")).agg(F.collect_set("source_id").alias("kinds")).select("of", F.get(F.array_sort("kinds"), F.lit(2)).alias("third"))
+    days = e.groupBy("session", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "source_id"))), lambda x: x["source_id"]).alias("dispatched"))
+    decoys = F.transform(F.filter("dispatched", lambda x: x > F.col("third")), lambda x: x.cast("string"))
+    parts = days.join(third, F.col("session").eqNullSafe(F.col("of"))).select("session", "day", F.array_join(decoys, ",").alias("part"))
+    shown = F.sort_array(F.collect_list(F.when(F.col("part") != "", F.struct(F.col("day").isNull().alias("undated"), "day", "part"))))
+    return parts.groupBy("session").agg(F.array_join(F.transform(shown, lambda x: x["part"]), ",").alias("decoys"))
 
 
 S18 = "WITH l AS (SELECT user_id AS session, list((json_extract_string(props, '$.k')::INT % 12)::INT ORDER BY ts, event_id) AS d FROM events GROUP BY user_id), g AS (SELECT *, list_sort(list_distinct(d))[1:3] AS g FROM l) SELECT session, array_to_string([x FOR x IN d IF NOT list_contains(g, x)], ',') AS decoys FROM g"
