@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
 from .registry import mark_registry
 
 # ---- Fixed values: patterns, cue words and lists that must equal the published rules. ----
@@ -298,7 +299,7 @@ def deidentify(
     level safe_harbor adds labelled numbers, partial dates, institutions, places and untitled names. With common (a table
     of words that writers use in lower case, one column word) it also replaces pairs of capitalised words and places
     none of whose words is common: the texts' capitalised words meet the table in a join, so the dictionary may be of any
-    size. id_col must tell rows apart for that step. A recogniser (a table to a table) runs first at level basic,
+    size. id_col must tell rows apart for that step, before which the texts are staged: the rules run once. A recogniser (a table to a table) runs first at level basic,
     before the cued names at safe_harbor. A match that fails its rule's test is passed over whole. registry is a short list
     of known names and ids, or a table of any size (one column name), whose rows meet the texts' words in joins.
     """
@@ -320,6 +321,7 @@ def deidentify(
     df = apply_rules(df, rules[names:], text_col, counted)
     if not sh or common is None:
         return df
+    df = staged(df)
     proper = "proper_nouns_" + "_" * sum(c.startswith("proper_nouns") for c in df.columns)
     found = F.concat(*(F.flatten(F.transform(F.regexp_extract_all(text_col, F.lit(unicode(p)), F.lit(2)), _words)) for p in (UNCOMMON_PAIR, UNCOMMON_PLACE)))
     words = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(found, F.lower))).alias("word"))

@@ -13,11 +13,18 @@ GIVEN = ["Amara", "Bruno", "Chiara", "Devi", "Emeka", "Farah", "Goran", "Hana"]
 FAMILY = ["Okafor", "Silva", "McDonald", "O'Neil", "Smith-Jones", "Perera", "Novak", "Survey", "Haddad"]
 REGISTRY = ["Bruno Silva", "Hana Novak"]
 ID_PATTERNS = [r"\bREC-\d{4}\b"]
+#: Notes of a task where all rules run over them: a file of orders in one piece would be one task otherwise.
+NOTES_A_TASK = 2_048
 
 
-def case_notes(spark, sf):
-    """One note per order (doc_id, kind, text) with identifiers of most kinds, from its keys, dates and prices."""
+def case_notes(spark, sf, per_task=None):
+    """One note per order (doc_id, kind, text) with identifiers of most kinds, from its keys, dates and prices.
+
+    per_task deals the orders over tasks of about so many, before their notes are written.
+    """
     o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    if per_task:
+        o = o.repartition(max(1, -(-o.count() // per_task)), "o_orderkey")
     one = lambda words, key: F.element_at(F.array(*map(F.lit, words)), (F.pmod(key, F.lit(len(words))) + 1).cast("int"))
     given, family = one(GIVEN, F.col("o_custkey")), one(FAMILY, k)
     parts = [
@@ -139,7 +146,7 @@ D14 = f"WITH {NOTES} {_counted_sql(_NOTE_RULES, 'notes', 'kind')}"
 def d13_safe_harbor(spark, sf):
     """The strict level on case notes, with the words that documents write in lower case as the dictionary."""
     words = t.common_words(read(spark, sf, "documents")).select("word")
-    out = d.deidentify(case_notes(spark, sf), level="safe_harbor", registry=REGISTRY, id_patterns=ID_PATTERNS, common=words, counted=True)
+    out = d.deidentify(case_notes(spark, sf, NOTES_A_TASK), level="safe_harbor", registry=REGISTRY, id_patterns=ID_PATTERNS, common=words, counted=True)
     names = [f"n_{x.lower()}" for x in d.LABELS]
     return out.groupBy("kind").agg(*(F.sum(n).alias(n) for n in names), F.sum(F.length("text")).alias("chars_left"))
 

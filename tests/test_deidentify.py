@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import deidentify as d
+from larkspur.plans import deid
 
 # ---- Fixed values: texts of the published rules' own tests, and what must go from them or stay. ----
 
@@ -119,3 +120,13 @@ def test_equals_a_plain_loop_over_documents(spark, level):
     rules = d.basic_rules(safe_harbor=level == "safe_harbor")
     got = {r["doc_id"]: r["text"] for r in d.apply_rules(df, rules).collect()}
     assert all(got[r["doc_id"]] == plain(r["text"], rules) for r in df.collect())
+
+
+def test_rules_run_once_and_notes_are_dealt_over_tasks(spark):
+    df = spark.createDataFrame([(1, RECORD), (2, "We thank Liam Walsh for his help.")], "doc_id long, text string").withColumn("kind", F.lit(None))
+    out = d.deidentify(df, level="safe_harbor", common=words(spark))
+    assert d.INSTITUTION not in out._jdf.queryExecution().optimizedPlan().toString()  # else the rest reads the rules' input, twice
+    assert [(r["kind"], "Walsh" in r["text"]) for r in out.orderBy("doc_id").collect()] == [(None, False)] * 2
+    dealt, whole = deid.case_notes(spark, "/root/testdata/sf0.001", 200), deid.case_notes(spark, "/root/testdata/sf0.001")
+    sizes = dealt.groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(sizes) == 8 and max(sizes)[0] < 400 and sorted(dealt.collect()) == sorted(whole.collect())
