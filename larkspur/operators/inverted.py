@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -96,25 +96,70 @@ def search_lists(spark: SparkSession, path: str, queries: DataFrame, nprobe: int
     return top_n(found, ["query_id"], knn, [F.col("distance"), F.col("doc_id")])
 
 
+def _folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+
+
+def _ends(s: Column, key) -> Column:
+    """Places where runs of equal keys end in a sorted array."""
+    return F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(key(F.get(s, i + 1)) != key(x), F.lit(True)), i)), lambda i: i.isNotNull())
+
+
+def _packed(t: Column) -> Column:
+    """A document's words by folder: array of (folder, terms), terms as "word count word count ..."; words hold no blanks.
+
+    Words are sorted by folder, and the places where runs end tell counts and folders, so time follows the document's length.
+    """
+    once = lambda x, use: F.flatten(F.transform(F.array(x), use))  # noqa: E731  x is computed once for all its uses
+    before = lambda e, k: F.coalesce(F.get(e, k - 1), F.lit(-1))
+    words = F.sort_array(F.transform(t, lambda w: F.struct(_folder(w).alias("folder"), w.alias("term"))))
+
+    def counts(s: Column, e: Column) -> Column:
+        return F.transform(e, lambda i, k: F.struct(F.get(s, i)["folder"].alias("folder"), F.concat_ws(" ", F.get(s, i)["term"], (i - before(e, k)).cast("string")).alias("terms")))
+
+    def folders(s: Column, e: Column) -> Column:
+        joined = lambda i, k: F.array_join(F.transform(F.slice(s, before(e, k) + 2, i - before(e, k)), lambda x: x["terms"]), " ")
+        return F.transform(e, lambda i, k: F.struct(F.get(s, i)["folder"].alias("folder"), joined(i, k).alias("terms")))
+
+    found = once(words, lambda s: once(_ends(s, lambda x: x), lambda e: counts(s, e)))
+    return once(found, lambda s: once(_ends(s, lambda x: x["folder"]), lambda e: folders(s, e)))
+
+
 def write_postings(docs: DataFrame, path: str, per_block: int = 256, k1: float = 1.2, b: float = 0.75) -> None:
     """Okapi postings of docs (doc_id, text) in a folder: one row per term and block of documents, with its largest weight.
 
     Blocks are documents of one range of a hash, about per_block each. postings: term, block, docs (array of doc_id and
     weight); maxima: term, block, most. Weights are the scores' summands, with the corpus's own statistics. Both are in
-    folders by a hash of the term.
+    folders by a hash of the term. A document's counts are packed by folder in its own row and go through one shuffle, by
+    folder and part of the blocks; the number of documents of each term comes along as a row before its blocks. Nothing is staged.
     """
     words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    n = totals.first()["n"]
-    blocks = max(1, -(-n // per_block))
-    tf = checkpointed(words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    count, average = F.col("n"), F.when(F.col("avg_len") == 0, F.lit(1.0)).otherwise(F.col("avg_len"))
-    idf = F.log1p((count - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(totals)).select("term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    rows = weighed.groupBy("term", "block").agg(F.collect_list(F.struct("doc_id", "w")).alias("docs"), F.max("w").alias("most")).withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
-    rows.repartition("folder", F.pmod("block", F.lit(8))).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
+    n, average = words.agg(F.count("*"), F.avg(F.size("t"))).first()
+    blocks, parts = max(1, -(-n // per_block)), 8
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # outer: else Spark puts a filter with the same computing before it
+        packed = words.select("doc_id", F.size("t").alias("len"), F.inline_outer(_packed(F.col("t")))).where("folder is not null")
+        terms = words.select(F.explode_outer(F.array_distinct("t")).alias("term")).where("term is not null")
+    else:
+        tf = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        packed, terms = tf.select("doc_id", "len", _folder(F.col("term")).alias("folder"), F.concat_ws(" ", "term", F.col("tf").cast("string")).alias("terms")), tf.select("term")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    rows = packed.select("folder", F.pmod(block, F.lit(parts)).alias("part"), block.alias("block"), "doc_id", "len", "terms", F.lit(0).cast("long").alias("df"))
+    df = terms.groupBy(F.col("term").alias("terms")).agg(F.count("*").alias("df")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("doc_id", "len")]
+    df = df.select(_folder(F.col("terms")).alias("folder"), "part", F.lit(-1).alias("block"), *none, F.concat("terms", F.lit(" 0")).alias("terms"), "df")
+    met = rows.unionByName(df).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "folder", "part")
+    # words and counts in turn
+    pairs = F.transform(F.array(F.split("terms", " ")), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2, F.lit(2)), lambda i: F.struct(F.get(s, i).alias("term"), F.get(s, i + 1).cast("int").alias("tf"))))
+    each = met.select("folder", "part", "block", "doc_id", "len", "df", F.explode_outer(F.flatten(pairs)).alias("x")).select("folder", "part", "block", "doc_id", "len", "df", "x.term", "x.tf")
+    listed = each.groupBy("folder", "part", "term", "block").agg(F.collect_list(F.when(F.col("block") >= 0, F.struct("doc_id", "tf", "len"))).alias("docs"), F.max("df").alias("df"))
+    first = Window.partitionBy("folder", "part", "term").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = listed.withColumn("df", F.max("df").over(first)).where("block >= 0")
+    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = lambda x: F.col("idf") * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * x["len"] / F.lit(average or 1.0)))
+    weighed = listed.withColumn("idf", idf).withColumn("docs", F.transform("docs", lambda x: F.struct(x["doc_id"].alias("doc_id"), weight(x).alias("w"))))
+    out = weighed.select("term", "block", "docs", F.array_max("docs.w").alias("most"), "folder")
+    out.sortWithinPartitions("folder", "term", "block").write.option("compression", "zstd").partitionBy("folder").parquet(f"{path}/postings")
 
 
 def search_postings(spark: SparkSession, path: str, questions: DataFrame, per_question: int, first: int = 4, opened: list | None = None) -> DataFrame:

@@ -59,3 +59,15 @@ def test_block_maxima_give_the_rows_of_a_full_scan_and_open_few_blocks(spark, tm
     want = sorted(map(tuple, retrieval.bm25_corpus(docs, q, 5).select("query_id", "doc_id", "bm25", "rank").collect()))
     assert got == want and {r[0] for r in got} == {0, 1, 2, 5}
     assert opened[0][0] < 0.6 * opened[0][1], opened
+
+
+def test_postings_stage_nothing_and_repeated_ids_count_as_in_a_full_scan(spark, tmp_path, monkeypatch):
+    texts = ["red fox red", "red fox red", "blue fox über", "", None, "blue_1 red 7up " * 50]
+    docs = spark.createDataFrame([(k % 5, x) for k, x in enumerate(texts)] + [(0, "red red fox")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, ["red", "fox"]), (2, ["über", "blue_1"])], "query_id int, terms array<string>")
+    for k, part in enumerate((docs, docs.where("doc_id > 0"))):
+        with monkeypatch.context() as m:
+            m.setattr(inverted, "checkpointed", None)  # a staged table of all counts was the most of the disk
+            inverted.write_postings(part, str(tmp_path / f"p{k}"), per_block=2)
+        got = sorted(map(tuple, inverted.search_postings(spark, str(tmp_path / f"p{k}"), q, 4).select("query_id", "doc_id", "bm25", "rank").collect()))
+        assert got == sorted(map(tuple, retrieval.bm25_corpus(part, q, 4).select("query_id", "doc_id", "bm25", "rank").collect())) and len(got) >= 3
