@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.vectors import widen
 from ..sources.shared import checkpointed
-from .clusters import _fold
+from .clusters import BLOCK, LOCAL, PART, STILL, _fold, _moved, _nearest, _totals
 from .retrieval import top_n
 from .routing import small
 
@@ -20,6 +20,8 @@ from .routing import small
 TRAIN_PER_LIST = 256
 #: Bytes of centroids that go to a task at a time; more make further passes over the vectors.
 CENTROID_BYTES = 64 << 20
+#: Probes of all queries that are broadcast to the lists; more meet them in a shuffled join.
+BROADCAST_ASKED = 50_000
 #: Folders of the written lists and postings, each with the lists or terms of a hash.
 FOLDERS = 64
 
@@ -33,10 +35,59 @@ def train_lists(docs: DataFrame, nlist: int | None = None, rounds: int = 25, see
     nlist = nlist or max(1, round(n**0.5))
     share = min(1.0, nlist * TRAIN_PER_LIST / max(n, 1))
     picked = docs.where(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
+    width = docs.agg(F.max(F.size("vec"))).first()[0] or 0
+    if n * share > LOCAL and 8 * nlist * width <= CENTROID_BYTES // 4:
+        return _trained(picked.select("doc_id", widen(F.col("vec")).alias("vec")), nlist, rounds, seed)
     _, centres = _fold(picked.select(F.lit(0).alias("source_id"), "doc_id", "vec"), ["source_id"], F.lit(nlist), rounds, False, 0, seed)
     return centres.select(F.col("cluster").alias("list_id"), "vec")
 
 
+def _trained(docs: DataFrame, k: int, rounds: int, seed: int) -> DataFrame:
+    """The rounds of _fold() for one group whose centroids fit a quarter of CENTROID_BYTES: list_id, vec.
+
+    A round is one job over packed blocks: centroids go to the tasks, each task adds up its vectors by cluster, and the sums are
+    added by parts of the clusters before the driver gets them, one vector a cluster. So what the driver keeps of jobs stays small.
+    """
+    spark = docs.sparkSession
+    first = checkpointed(docs.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(k).select("vec"))  # else the driver merges every task's k
+    centre = np.array([r["vec"] for r in first.collect()], np.float64)
+    width = centre.shape[1]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a in range(0, len(frame), BLOCK):
+                yield pd.DataFrame({"x": [np.stack([np.asarray(v, np.float64) for v in frame["vec"].iloc[a : a + BLOCK]]).tobytes()]})
+
+    def add(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["total", "n"])  # the same sums in whatever order they come
+        total, n = (sum(np.frombuffer(b, kind) for b in found[c]) for c, kind in (("total", "<f8"), ("n", "<i8")))
+        return pd.DataFrame({"part": [key[0]], "total": [total.tobytes()], "n": [n.tobytes()]})
+
+    blocks, shape = checkpointed(docs.select("vec").mapInPandas(pack, "x binary")), "part long, total binary, n binary"
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(centre)
+
+        def sums(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            c = sent.value
+            total, n = np.zeros(c.shape), np.zeros(len(c), np.int64)
+            for frame in frames:
+                for packed in frame["x"]:
+                    x = np.frombuffer(packed, "<f8").reshape(-1, width)
+                    more, m = _totals(x, _nearest(x, c, False)[0], len(c))
+                    total, n = total + more, n + m
+            cuts = range(0, len(c) if n.any() else 0, PART)
+            yield pd.DataFrame({"part": [a // PART for a in cuts], "total": [total[a : a + PART].tobytes() for a in cuts], "n": [n[a : a + PART].tobytes() for a in cuts]})
+
+        added = sorted(blocks.mapInPandas(sums, shape).groupBy("part").applyInPandas(add, shape).collect())
+        sent.destroy()
+        total, n = np.frombuffer(b"".join(r["total"] for r in added), "<f8").reshape(-1, width), np.frombuffer(b"".join(r["n"] for r in added), "<i8")
+        moved = _moved(centre, total, n, False)
+        still, centre = np.abs(moved - centre).max() <= STILL, moved
+        if still:
+            break
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centre)], "list_id int, vec array<double>")
+
+
 def assign_lists(docs: DataFrame, centroids: DataFrame) -> DataFrame:
     """docs with list_id, the centroid nearest to vec (ties to the smaller number), by matrix products in Arrow batches.
 
@@ -92,7 +143,7 @@ def search_lists(spark: SparkSession, path: str, queries: DataFrame, nprobe: int
     asked = checkpointed(near.select("query_id", "qv", "list_id", F.pmod("list_id", F.lit(FOLDERS)).alias("folder")))
     folders = [r["folder"] for r in asked.select("folder").distinct().collect()]
     lists = spark.read.parquet(f"{path}/lists").where(F.col("folder").isin(folders))
-    found = lists.join(small(asked), ["folder", "list_id"]).select("query_id", "doc_id", F.round(_square(F.col("qv"), F.col("vec")), 9).alias("distance"))
+    found = lists.join(small(asked, BROADCAST_ASKED), ["folder", "list_id"]).select("query_id", "doc_id", F.round(_square(F.col("qv"), F.col("vec")), 9).alias("distance"))
     return top_n(found, ["query_id"], knn, [F.col("distance"), F.col("doc_id")])
 
 

@@ -40,6 +40,16 @@ def test_trained_lists_hold_every_vector_and_probes_find_the_nearest(spark, vect
     assert "PartitionFilters: [folder" in found._jdf.queryExecution().executedPlan().toString().replace("isnotnull(folder", "folder")
 
 
+def test_rounds_of_one_job_give_the_centroids_of_the_general_rounds(spark, vectors, monkeypatch):
+    _, docs = vectors
+    want = {r["list_id"]: r["vec"] for r in inverted.train_lists(docs, rounds=4).collect()}
+    monkeypatch.setattr(inverted, "LOCAL", 100)
+    monkeypatch.setattr(inverted, "PART", 7)
+    monkeypatch.setattr(inverted, "_fold", None)  # its many jobs a round filled the driver
+    got = {r["list_id"]: r["vec"] for r in inverted.train_lists(docs, rounds=4).collect()}
+    assert sorted(got) == sorted(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
 def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, vec array<double>")
     inverted.write_lists(none, inverted.train_lists(none), str(tmp_path / "ix"))
